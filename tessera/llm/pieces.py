@@ -111,43 +111,73 @@ def lattices(units: list[str], v: Vocabulary) -> Lattices:
         h = h * BASE + code[at + length] + np.uint64(1)
         if not len(at):
             break
-    start, span, piece = np.concatenate(starts), np.concatenate(spans), np.concatenate(ids)
-    end = start + span - 1
     width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
-    weight = np.where(piece >= 0, v.weights[piece], v.weights[v.byte_ids[0]] * width[start])
-    order = np.lexsort((span, end, end - begin[end]))
-    start, span, piece, end, weight = start[order], span[order], piece[order], end[order], weight[order]
-    alpha, value = np.zeros(len(code)), np.empty(len(end))
-    depth = end - begin[end]
-    turns = np.concatenate([np.flatnonzero(np.append(True, np.diff(depth) > 0)), [len(end)]])
-    for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
-        s, e = start[a:b], end[a:b]
-        val = weight[a:b] + np.where(s > begin[e], alpha[s - 1], 0.0)
-        groups = np.flatnonzero(np.append(True, np.diff(e) != 0))
-        top = np.maximum.reduceat(val, groups)
-        total = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, np.diff(np.append(groups, b - a)))), groups))
-        alpha[e[groups]] = total
-        value[a:b] = val
-    order = np.lexsort((span, end))
-    span, piece, end = span[order], piece[order], end[order]
-    share = np.exp(value[order] - alpha[end])
-    heads = np.flatnonzero(np.append(True, np.diff(end) != 0))
-    within = np.arange(len(end)) - np.repeat(heads, np.diff(np.append(heads, len(end))))
-    for r in range(1, int(within.max(initial=0)) + 1):  # sums within a group, in its own order: the same whatever the batch
-        at = np.flatnonzero(within == r)
-        share[at] += share[at - 1]
-    mark = np.minimum(share * 2.0**31, 2.0**31 - 1).astype(np.uint64)
-    mark[np.append(heads[1:], len(end)) - 1] = np.uint64(2**31)
+    # Edges by (end, length) without a sort: within each length ends differ, and lengths come in order.
+    count = np.zeros(len(code), np.int64)
+    for start, span in zip(starts, spans, strict=True):
+        count[start + span - 1] += 1
+    offset = np.cumsum(count) - count
+    total = int(count.sum())
+    span, piece, value = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+    filled = offset.copy()
+    for start, length, some in zip(starts, spans, ids, strict=True):
+        end = start + length - 1
+        to = filled[end]
+        span[to], piece[to] = length, some
+        value[to] = np.where(some >= 0, v.weights[some], v.weights[v.byte_ids[0]] * width[start])
+        filled[end] += 1
+    alpha = np.zeros(len(code))
+    bylength = np.argsort(-sizes, kind="stable")
+    descending = -sizes[bylength]
+    for depth in range(int(sizes.max(initial=0))):  # all units together, one character further each time
+        node = first[bylength[: np.searchsorted(descending, -depth)]] + depth
+        edges = count[node]
+        most = int(edges.max(initial=0))
+        top = np.full(len(node), -np.inf)
+        for r in range(most):
+            has = edges > r
+            e = offset[node[has]] + r
+            length = span[e]
+            value[e] += np.where(length <= depth, alpha[np.maximum(node[has] - length, 0)], 0.0)
+            top[has] = np.maximum(top[has], value[e])
+        sums = np.zeros(len(node))
+        for r in range(most):
+            has = edges > r
+            e = offset[node[has]] + r
+            sums[has] += np.exp(value[e] - top[has])
+            value[e] = sums[has]  # cumulated, and divided by the sum below
+        alpha[node] = top + np.log(sums)
+        for r in range(most):
+            has = edges > r
+            value[offset[node[has]] + r] /= sums[has]
+    end = np.repeat(np.arange(len(code)), count)
+    mark = np.minimum(value * 2.0**31, 2.0**31 - 1).astype(np.uint64)
+    mark[offset + count - 1] = np.uint64(2**31)
     return Lattices(first, first + sizes - 1, (end.astype(np.uint64) << np.uint64(32)) | mark, span, piece, code)
 
 
+class Numbered(dict):
+    """Units by the order in which they were first met."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+def units_of(text: str) -> list[str]:
+    if "\x1f" in text or "  " in text or text[0] == " ":
+        return UNIT.findall(" " + text)
+    # The same units by splitting, where every space has a word or newline before and after it.
+    parts = (" " + text).replace(" \n", "\x1f \x1f\n").replace("\n", "\x1f\n\x1f").replace(" ", "\x1f ").split("\x1f")
+    return [p for p in parts if p]
+
+
 def encode(texts: list[str | None], seeds: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
     """Piece ids of each text, sampled; seeds are one uint64 a text. Null texts are empty; an empty text has no pieces."""
-    known: dict[str, int] = {}
-    found, counts = [], []
+    known, found, counts = Numbered(), [], []
     for text in texts:
-        parts = UNIT.findall(" " + text) if text else []
-        found += [known.setdefault(p, len(known)) for p in parts]
+        parts = units_of(text) if text else []
+        found += map(known.__getitem__, parts)
         counts.append(len(parts))
     if not found:
         return [np.zeros(0, np.int32) for _ in texts]
