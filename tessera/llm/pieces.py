@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from tessera.llm.common import mix64, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
-#: Characters encoded at a time within a batch; a longer text is encoded alone.
-AT_ONCE = 6_000_000
+#: Bytes of text encoded at a time within a batch; a longer text is encoded alone.
+AT_ONCE = 2_500_000
 BASE, BYTE = np.uint64(0x100000001B3), -1
 
 
@@ -86,46 +87,47 @@ class Lattices:
     code: np.ndarray
 
 
+def byte_width(code: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of characters."""
+    return np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
+
+
 def lattices(units: list[str], v: Vocabulary) -> Lattices:
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    begin, stop = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
-    at, h = np.arange(len(code)), code + np.uint64(1)
-    starts, spans, ids = [], [], []
+    stop = np.repeat((first + sizes).astype(np.int32), sizes)
+    at, h = np.arange(len(code), dtype=np.int32), code + np.uint64(1)
+    found = []  # (starts, length, pieces): narrow types, as there are a few edges for every character
     for length, (hashes, ids_of) in enumerate(v.tables, 1):
         place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         known = hashes[place] == h
         piece = np.where(known, ids_of[place], -1)
         if length == 1:
             lone = piece < 0
-            starts.append(at[lone])
-            spans.append(np.ones(lone.sum(), np.int64))
-            ids.append(np.full(lone.sum(), BYTE))
+            found.append((at[lone], 1, np.full(lone.sum(), BYTE, np.int32)))
         whole = piece >= 0
-        starts.append(at[whole])
-        spans.append(np.full(whole.sum(), length))
-        ids.append(piece[whole])
+        found.append((at[whole], length, piece[whole].astype(np.int32)))
         more = known & (at + length < stop[at])
         at, h = at[more], h[more]
         h = h * BASE + code[at + length] + np.uint64(1)
         if not len(at):
             break
-    width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
     # Edges by (end, length) without a sort: within each length ends differ, and lengths come in order.
-    count = np.zeros(len(code), np.int64)
-    for start, span in zip(starts, spans, strict=True):
-        count[start + span - 1] += 1
+    count = np.zeros(len(code), np.int32)
+    for start, length, _ in found:
+        count[start + (length - 1)] += 1
     offset = np.cumsum(count) - count
     total = int(count.sum())
-    span, piece, value = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+    span, piece, value = np.empty(total, np.int8), np.empty(total, np.int32), np.empty(total)
     filled = offset.copy()
-    for start, length, some in zip(starts, spans, ids, strict=True):
-        end = start + length - 1
+    for start, length, some in found:
+        end = start + (length - 1)
         to = filled[end]
         span[to], piece[to] = length, some
-        value[to] = np.where(some >= 0, v.weights[some], v.weights[v.byte_ids[0]] * width[start])
+        value[to] = np.where(some >= 0, v.weights[some], v.weights[v.byte_ids[0]] * byte_width(code[start]))
         filled[end] += 1
+    del found, filled
     alpha = np.zeros(len(code))
     bylength = np.argsort(-sizes, kind="stable")
     descending = -sizes[bylength]
@@ -150,10 +152,10 @@ def lattices(units: list[str], v: Vocabulary) -> Lattices:
         for r in range(most):
             has = edges > r
             value[offset[node[has]] + r] /= sums[has]
-    end = np.repeat(np.arange(len(code)), count)
-    mark = np.minimum(value * 2.0**31, 2.0**31 - 1).astype(np.uint64)
-    mark[offset + count - 1] = np.uint64(2**31)
-    return Lattices(first, first + sizes - 1, (end.astype(np.uint64) << np.uint64(32)) | mark, span, piece, code)
+    keys = np.minimum(value * 2.0**31, 2.0**31 - 1).astype(np.uint64)
+    keys[offset + count - 1] = np.uint64(2**31)
+    keys |= np.repeat(np.arange(len(code), dtype=np.uint64), count) << np.uint64(32)
+    return Lattices(first, first + sizes - 1, keys, span, piece, code.astype(np.uint32))
 
 
 class Numbered(dict):
@@ -199,7 +201,7 @@ def encode(texts: list[str | None], seeds: np.ndarray, v: Vocabulary) -> list[np
         live, node, first = live[go], node[go], first[go]
         turn += 1
     ends = np.cumsum(used)
-    flat, char = np.empty(int(ends[-1]), np.int64), np.empty(int(ends[-1]), np.uint64)
+    flat, char = np.empty(int(ends[-1]), np.int32), np.empty(int(ends[-1]), np.uint32)
     for turn, (at, piece, code) in enumerate(steps):
         flat[ends[at] - 1 - turn], char[ends[at] - 1 - turn] = piece, code
     per_row = np.bincount(row, weights=used, minlength=len(texts)).astype(np.int64)
@@ -213,7 +215,7 @@ def with_bytes(flat: np.ndarray, char: np.ndarray, row: np.ndarray, v: Vocabular
     lone = np.flatnonzero(flat == BYTE)
     width = np.ones(len(flat), np.int64)
     code = char[lone]
-    width[lone] = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
+    width[lone] = byte_width(code)
     out = np.repeat(flat, width)
     chars, inverse = np.unique(code, return_inverse=True)
     raw = [v.byte_ids[np.frombuffer(chr(int(c)).encode(), np.uint8)] for c in chars]
@@ -243,16 +245,16 @@ def sampled_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            texts, ids = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            sizes = np.cumsum([len(t or "") for t in texts]) // AT_ONCE
-            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
-                some = [texts[i] for i in part]
-                keys = mix64(np.array([zlib.crc32((ids[i] or "").encode()) << 32 | (seed & 0xFFFFFFFF) for i in part], np.uint64))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes)) + 1):
+                some = batch.column(2).slice(part[0], len(part)).to_pylist()
+                ids = batch.column(1).slice(part[0], len(part)).to_pylist()
+                keys = mix64(np.array([zlib.crc32((i or "").encode()) << 32 | (seed & 0xFFFFFFFF) for i in ids], np.uint64))
                 found = encode(some, keys, v)
                 fine = [decode(p, v) == (t or "") for p, t in zip(found, some, strict=True)]
                 n = np.array([len(p) for p in found], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), lists, pa.array(n), pa.array(fine)], ["doc_id", "pieces", "n_pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part[0], len(part)), lists, pa.array(n), pa.array(fine)], ["doc_id", "pieces", "n_pieces", "lossless"])
 
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("__key"), F.col(text_col).alias("__text")))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, pieces array<int>, n_pieces int, lossless boolean")

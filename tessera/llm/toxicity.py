@@ -19,9 +19,9 @@ from tessera.llm.common import mix64, spread
 #: Places in the weight table: 2^BITS single-precision numbers, 4 MB, whatever the corpus.
 BITS = 20
 #: Labelled rows to fit on at most: those of the smallest hash of their id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 #: Words a task remembers hashes of before it starts afresh.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 class WordHash(dict):
@@ -110,7 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = rows.select("doc_id", "text", "label").mapInArrow(hashed, "doc_id long, label int, at array<int>").toArrow()
     ids, label, at = table["doc_id"].to_numpy(), table["label"].to_numpy(), table["at"]
     order = np.lexsort((ids, mix64(ids.astype(np.uint64)))) if len(ids) else []
-    return Model(*ftrl([(at[int(i)].values.to_numpy().astype(np.int64), int(label[i])) for i in order]))
+    lists = at.combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()  # views: rows are slices of one array
+    return Model(*ftrl([(flat[ends[i] : ends[i + 1]], int(label[i])) for i in order]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
