@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm.common import mix64, spread
 
@@ -270,4 +271,4 @@ def decoded_texts(encoded: DataFrame, pieces_col: str = "pieces", model: str = M
             texts = [None if not x.is_valid else decode(np.array(x.as_py(), np.int64), shared.value) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("text", "string"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
