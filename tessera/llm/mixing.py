@@ -15,6 +15,8 @@ from tessera.llm.common import WORD, cut, uniform
 
 #: Splits of a source's rank axis at each level; below LEVELS of them, the rows left in one split are sorted.
 SPLITS, LEVELS = 4096, 2
+#: Parts of a source that look for its closing document apart; the best of theirs is the source's.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
@@ -76,9 +78,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = cut(out)
     gaps = out.groupBy("sid").agg((F.first("rest") - F.sum(F.col("size") * F.col("chosen"))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
-    fits = out.where("chosen = 0 and rank is not null").join(gaps, "sid").where(off < F.col("gap"))
-    fill = fits.groupBy("sid").agg(F.min(F.struct(off, "rank", "doc_id", "size", "row")).alias("best")).select("sid", F.col("best.row").alias("fill"))
-    out = out.join(fill, "sid", "left").withColumn("chosen", F.when(F.col("row") == F.col("fill"), 1).otherwise(F.col("chosen")))
+    gaps = gaps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = out.where("chosen = 0 and rank is not null").withColumn("salt", (F.col("row") % SALTS).cast("int")).join(gaps, ["sid", "salt"]).where(off < F.col("gap"))
+    best = fits.groupBy("sid", "salt").agg(F.min(F.struct(off, "rank", "doc_id", "size", "row")).alias("best"))
+    fill = best.groupBy("sid").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    out = out.join(fill.withColumn("fill", F.lit(1)), "row", "left").withColumn("chosen", F.coalesce("fill", "chosen"))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chosen")).alias("copies"), ((F.col("whole") + F.col("chosen")) * F.col("size")).alias("taken"))
 
 
