@@ -8,7 +8,7 @@ differences accumulate until the group is pruned or its members are compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, cut, spread
+from tessera.llm.common import arrow_map, cut, mix64, spread
 from tessera.llm.components import connected_components, star_edges
 
 #: Nodes of the upper level at most: every task holds one mask and pattern of each. And fingerprints in a node aimed at.
@@ -48,17 +48,31 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return bit_majority(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(parts) - words + 1))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a long of the same 64 bits. Null or blank texts: 0."""
+def joint(fp: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for a pair of fingerprints."""
+    return mix64(fp ^ mix64(second))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, second: int | None = None) -> DataFrame:
+    """(doc_id, fp, second, node): the fingerprint of each row's whole text as a long of the same 64 bits. Null or blank texts: 0.
+
+    With a number of words for second, that is the fingerprint over shingles of so many words, and node stands for
+    both; else second is null and node is fp.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            fp = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            more, node = pa.nulls(len(fp), pa.int64()), fp
+            if second is not None:
+                other = np.array([fingerprint(t, second) for t in texts], np.uint64)
+                more, node = pa.array(other.view(np.int64)), joint(fp, other)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), more, pa.array(node.view(np.int64))], ["doc_id", "fp", "second", "node"])
 
         return step
 
-    return arrow_map(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), make, "doc_id long, fp long")
+    return arrow_map(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), make, "doc_id long, fp long, second long, node long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -68,15 +82,64 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
 
-def near(queries: np.ndarray, members: np.ndarray, most: int, fanout: int = 16, leaf: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (of queries, of members) of pairs that differ in `most` bits at most; members are in Gray order."""
+def turned(fp: Column, by: int) -> Column:
+    """The 64 bits rotated to the left."""
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
+
+
+def turned_back(x: np.ndarray, by: int) -> np.ndarray:
+    return x >> np.uint64(by) | x << np.uint64(64 - by) if by else x
+
+
+def forest(queries: np.ndarray, members: np.ndarray, most: int, head: np.uint64, few: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, fanout: int = 16, leaf: int = 64) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Links that connect what all links between queries and members connect; members are in Gray order.
+
+    Yields (whether the first places are of queries or else of members, places, places of members). A link is a pair
+    that differs in `most` bits at most, and of whose places also() agrees. A group is entered by queries that
+    differ from what its members share in `most` bits at most, and in `few` at most of those in head. Queries that
+    are already connected to all of a group pass it by, so thousands of near copies cost no square of their number.
+    """
+    part, of = np.arange(len(members)), np.full(len(queries), -1)
+    order = np.argsort(members, kind="stable")
+    at = np.minimum(np.searchsorted(members, queries, sorter=order), len(members) - 1)
+    if also is None:  # a query that is a member starts in its part
+        same = members[order[at]] == queries
+        of[same] = order[at[same]]
     stack = [(0, len(members), np.arange(len(queries)), np.zeros(len(queries), np.int64), np.uint64(0))]
     while stack:
         lo, hi, at, used, known = stack.pop()
+        if (part[lo:hi] == part[lo]).all():
+            go = (of[at] < 0) | (part[of[at]] != part[lo])
+            at, used = at[go], used[go]
+        if not len(at):
+            continue
         if hi - lo <= leaf:
-            a, b = np.nonzero(np.bitwise_count(queries[at][:, None] ^ members[lo:hi][None]) <= most)
-            if len(a):
-                yield at[a], b + lo
+            i, j = np.nonzero(np.bitwise_count(queries[at][:, None] ^ members[lo:hi][None]) <= most)
+            i, j = at[i], j + lo
+            if also is not None:
+                fine = also(i, j)
+                i, j = i[fine], j[fine]
+            if not len(i):
+                continue
+            rows, first = np.unique(i, return_index=True)
+            lead = np.repeat(j[first], np.diff(np.append(first, len(i))))
+            held = of[rows] >= 0
+            new = rows[~held]
+            if len(new):
+                yield True, new, j[first][~held]
+            # What a query links is one part: its first member here, its other members, and its part so far.
+            u = np.concatenate([lead, j[first][held]])
+            v = np.concatenate([j, of[rows[held]]])
+            code = np.unique(part[u] * len(members) + part[v])
+            u, v = code // len(members), code % len(members)
+            u, v = u[u != v], v[u != v]
+            if len(u):
+                x, low = star_edges(u, v)
+                yield False, x, low
+                name = np.arange(len(members))
+                name[x] = low
+                part = name[part]
+            of[new] = j[first][~held]
             continue
         step = -(-(hi - lo) // fanout)
         for s in range(lo, hi, step):
@@ -84,81 +147,97 @@ def near(queries: np.ndarray, members: np.ndarray, most: int, fanout: int = 16,
             every, any_ = np.bitwise_and.reduce(members[s:e]), np.bitwise_or.reduce(members[s:e])
             shared = ~(every ^ any_)
             total = used + np.bitwise_count((queries[at] ^ every) & (shared & ~known))
-            go = total <= most
+            go = (total <= most) & (np.bitwise_count((queries[at] ^ every) & shared & head) <= few)
             if go.any():
                 stack.append((s, e, at[go], total[go], shared))
 
 
-def links(fps: DataFrame, most: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect the same ones as all pairs at `most` differing bits or fewer.
+def links(fps: DataFrame, most: int = 2, orders: int = 1, second_most: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct nodes (columns node, fp, second) that connect the same ones as all links.
 
-    Of a task's pairs only a spanning star is returned, so a group of thousands of near copies gives thousands of
-    edges, not millions. Work between two nodes is done once, from the one of lower rank.
+    A link is a pair of fingerprints that differ in `most` bits at most and, if second_most is given, with second
+    fingerprints that differ in second_most at most. With more than one order the index is built for rotations of the
+    fingerprint by 64 / orders bits each: of two that differ in `most` bits, one rotation has most // orders of them
+    or fewer in its leading bits, and only groups that agree so far are entered. Of a task's pairs only a spanning
+    forest is returned, so thousands of near copies give thousands of edges. Work between two nodes of the index is
+    done once, from the one of lower rank.
     """
-    spark = fps.sparkSession
     n = fps.count()
-    nodes = int(min(MAX_NODES, max(1, n // NODE_ROWS)))
-    rank = gray_rank(F.col("fp"))
+    nodes = int(min(MAX_NODES, max(1, n * orders // NODE_ROWS)))
+    bits = 64 // orders
+    head, few = np.uint64((2**bits - 1) << (64 - bits)), most // orders
+    width = 1 if second_most is None else 2
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("order", pa.int32()), ("node", pa.int64()), ("every", pa.int64()), ("any", pa.int64()), ("fps", pa.binary())])
         for batch in batches:
-            x = batch.column(1).to_numpy().view(np.uint64)
-            if len(x):
-                yield pa.RecordBatch.from_pylist([{"node": batch.column(0)[0].as_py(), "every": int(np.bitwise_and.reduce(x).view(np.int64)), "any": int(np.bitwise_or.reduce(x).view(np.int64)), "fps": x.tobytes()}], pa.schema([("node", pa.int64()), ("every", pa.int64()), ("any", pa.int64()), ("fps", pa.binary())]))
-
-    dealt = fps.select("fp", rank.alias("rank")).repartitionByRange(nodes, "rank").sortWithinPartitions("rank")
-    packed = dealt.select(F.spark_partition_id().cast("long").alias("node"), "fp").mapInArrow(pack, "node long, every long, any long, fps binary")
+            by, x = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            ends = np.flatnonzero(np.append(np.diff(by) != 0, True)) + 1 if len(by) else []
+            rows = []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True) if len(by) else ():
+                data = x[a:b].tobytes() + (batch.column(3).to_numpy()[a:b].tobytes() if width > 1 else b"")
+                rows.append({"order": int(by[a]), "node": batch.column(1)[a].as_py() * orders + int(by[a]), "every": int(np.bitwise_and.reduce(x[a:b]).view(np.int64)), "any": int(np.bitwise_or.reduce(x[a:b]).view(np.int64)), "fps": data})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    each = fps.select("second", F.explode(F.array(*[F.struct(F.lit(o).alias("order"), turned(F.col("fp"), bits * o).alias("fp")) for o in range(orders)])).alias("x"))
+    each = each.select("x.order", "x.fp", "second", gray_rank(F.col("x.fp")).alias("rank"))
+    dealt = each.repartitionByRange(nodes, "order", "rank").sortWithinPartitions("order", "rank")
+    packed = dealt.select("order", F.spark_partition_id().cast("long").alias("node"), "fp", "second").mapInArrow(pack, "order int, node long, every long, any long, fps binary")
     blocks = cut(packed.withColumn("block", F.monotonically_increasing_id()))
-    # At most MAX_NODES rows (or as many as the session forces partitions), whatever the number of fingerprints.
-    top = sorted(tuple(r) for r in blocks.groupBy("node").agg(F.bit_and("every"), F.bit_or("any")).collect())
-    node_ids = np.array([t[0] for t in top], np.int64)
-    every, any_ = (np.array([t[i] for t in top], np.int64).view(np.uint64) for i in (1, 2))
+    # At most MAX_NODES rows and one more for each order (or as many as the session forces partitions), whatever the number of fingerprints.
+    top = sorted(tuple(r) for r in blocks.groupBy("node", "order").agg(F.bit_and("every"), F.bit_or("any")).collect())
+    node_ids, node_orders = np.array([t[0] for t in top], np.int64), np.array([t[1] for t in top], np.int64)
+    every, any_ = (np.array([t[i] for t in top], np.int64).view(np.uint64) for i in (2, 3))
     shared = ~(every ^ any_)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, block, data in zip(*(batch.column(c).to_pylist() for c in ("node", "block", "fps")), strict=True):
-                x = np.frombuffer(data, np.uint64)
-                out = []
+            for order, node, block, data in zip(*(batch.column(c).to_pylist() for c in ("order", "node", "block", "fps")), strict=True):
+                both = np.frombuffer(data, np.uint64).reshape(width, -1)
+                x, out = both[0], []
                 for k in range(int(np.searchsorted(node_ids, node)), len(node_ids)):
-                    some = x[np.bitwise_count((x ^ every[k]) & shared[k]) <= most]
-                    if len(some):
-                        out.append({"node": int(node_ids[k]), "q_node": node, "q_block": block, "q": some.tobytes()})
+                    if node_orders[k] != order:
+                        continue
+                    off = (x ^ every[k]) & shared[k]
+                    some = (np.bitwise_count(off) <= most) & (np.bitwise_count(off & head) <= few)
+                    if some.any():
+                        out.append({"node": int(node_ids[k]), "q_node": node, "q_block": block, "q": both[:, some].tobytes()})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.int64()), ("q_node", pa.int64()), ("q_block", pa.int64()), ("q", pa.binary())]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, data in zip(batch.column("q").to_pylist(), batch.column("fps").to_pylist(), strict=True):
-                q, x = np.frombuffer(q, np.uint64), np.frombuffer(data, np.uint64)
-                a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-                for i, j in near(q, x, most):
-                    other = q[i] != x[j]
-                    a.append(q[i][other].view(np.int64))
-                    b.append(x[j][other].view(np.int64))
-                    held += len(a[-1])
-                    if held > 1_000_000:
-                        u, v = star_edges(np.concatenate(a), np.concatenate(b))
-                        a, b, held = [u], [v], len(u)
-                u, v = star_edges(np.concatenate(a), np.concatenate(b))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
-
-    asked = blocks.select("node", "block", "fps").mapInArrow(visits, "node long, q_node long, q_block long, q binary")
-    met = asked.join(blocks.select("node", "block", "fps"), "node").where("q_node < node or q_block <= block")
-    return met.select("q", "fps").mapInArrow(compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 2) -> DataFrame:
+            for by, q, data in zip(*(batch.column(c).to_pylist() for c in ("order", "q", "fps")), strict=True):
+                q, x = (np.frombuffer(d, np.uint64).reshape(width, -1) for d in (q, data))
+                also = None if width == 1 else (lambda i, j, q=q, x=x: np.bitwise_count(q[1][i] ^ x[1][j]) <= second_most)
+                qn, xn = (turned_back(z[0], bits * by) if width == 1 else joint(turned_back(z[0], bits * by), z[1]) for z in (q, x))
+                found = [((qn if of_queries else xn)[i], xn[j]) for of_queries, i, j in forest(q[0], x[0], most, head, few, also)]
+                if found:
+                    u, v = (np.concatenate(c) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(u[u != v].view(np.int64)), pa.array(v[u != v].view(np.int64))], ["a", "b"])
+
+    asked = blocks.select("order", "node", "block", "fps").mapInArrow(visits, "node long, q_node long, q_block long, q binary")
+    met = asked.join(blocks.select("order", "node", "block", "fps"), "node").where("q_node < node or q_block <= block")
+    return met.select("order", "q", "fps").mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 2, orders: int = 1, second: int | None = None, second_most: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
     component_id is the smallest doc_id that can be reached over links, the row's own included (null where no
-    reachable row has an id). Rows whose fingerprints differ in `most` bits or fewer are linked; equal texts always
-    are, and so are rows without words (fingerprint 0). Null ids and repeated rows keep their rows. Other columns of
-    docs are not read. An empty table gives no rows.
+    reachable row has an id). Rows whose fingerprints differ in `most` bits or fewer are linked (with second, a number
+    of words, only if the fingerprints over such shingles differ in second_most or fewer too; more than one order is
+    for `most` beyond a few bits: see links); equal texts always are, and so are rows without words (fingerprint 0).
+    Null ids and repeated rows keep their rows. Other columns of docs are not read. An empty table gives no rows.
     """
-    own = cut(fingerprints(docs, id_col, text_col, words))
-    once = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    joined = connected_components(links(once.select("fp"), most)).withColumnsRenamed({"node": "fp"})
-    parts = once.join(joined, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
+    own = cut(fingerprints(docs, id_col, text_col, words, second))
+    once = own.groupBy("node").agg(F.first("fp").alias("fp"), F.first("second").alias("second"), F.min("doc_id").alias("low"))
+    joined = connected_components(links(once, most, orders, second_most))
+    parts = once.select("node", "low").join(joined, "node", "left").withColumn("part", F.coalesce("component", "node"))
     lowest = parts.groupBy("part").agg(F.min("low").alias("component_id"))
-    return own.join(parts.select("fp", "part").join(lowest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(parts.select("node", "part").join(lowest, "part").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+
+
+#: For copies whose shingles of five words have a similarity of 0.8 or more: such pairs differ in 10 or fewer bits of one
+#: fingerprint and 14 or fewer of the other (few pairs do more), texts with nothing in common in about 32 of each.
+COPIES = {"words": 3, "most": 10, "orders": 4, "second": 5, "second_most": 14}

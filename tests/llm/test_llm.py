@@ -123,6 +123,37 @@ def test_simhash_components(spark):
     assert (lowest == rows.component_id).all()
 
 
+def components(near):
+    part = np.arange(len(near))
+    while True:
+        new = np.array([part[n].min() for n in near])
+        if (new == part).all():
+            return part
+        part = new
+
+
+def test_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").collect()]
+    base = docs[3][1].split()
+    for i in range(300):  # a group of copies, a word or a few changed in each
+        words = list(base)
+        for at in rng.integers(0, len(words), rng.integers(1, 4)):
+            words[at] = f"w{rng.integers(10**6)}"
+        docs.append((10**6 + i, " ".join(words)))
+    rows = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **simhash.COPIES).toPandas()
+    ids = np.array(sorted(i for i, _ in docs))
+    texts = dict(docs)
+    x, y = (np.array([simhash.fingerprint(texts[i], n) for i in ids], np.uint64) for n in (3, 5))
+    near = (np.bitwise_count(x[:, None] ^ x[None]) <= 10) & (np.bitwise_count(y[:, None] ^ y[None]) <= 14)
+    want = dict(zip(ids.tolist(), ids[components(near)].tolist(), strict=True))
+    assert dict(zip(rows.doc_id.tolist(), rows.component_id.tolist(), strict=True)) == want
+    # Against similarity itself: shingles of five words, 0.8 or more.
+    sets = [frozenset(zip(*[t.lower().split()[k:] for k in range(5)], strict=False)) or frozenset([t.lower()]) for t in (texts[i] for i in ids)]
+    alike = [(a, b) for a in range(len(ids)) for b in range(a) if 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert np.mean([want[ids[a]] == want[ids[b]] for a, b in alike]) >= 0.98
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(connected_components(edges).collect())
@@ -190,6 +221,6 @@ def test_pipeline(spark):
         before, kept = kept, stage(spark, kept, D).cache()
         assert kept.columns == docs.columns and 0 < kept.count(), name
         if name == "simhash near-dedup":
-            assert kept.count() == simhash.near_duplicates(before).select("component_id").distinct().count()
+            assert kept.count() == simhash.near_duplicates(before, **simhash.COPIES).select("component_id").distinct().count()
     last = corpus_pipeline.run(spark, D)
     assert last.where("not lossless").count() == 0 and last.count() == kept.count()
