@@ -33,8 +33,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group that SimHash links; of rows that repeat this id, one. Rows without id stay."""
-    found = simhash.near_duplicates(docs)
+    """The document of the smallest doc_id of each group that SimHash links, at distances for shingles of five words and a similarity of 0.8.
+
+    Of rows that repeat this id, one stays. Rows without id stay.
+    """
+    found = simhash.near_duplicates(docs, **simhash.COPIES)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
