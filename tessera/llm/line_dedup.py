@@ -94,16 +94,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone")).select("doc.doc_id", "doc.key", "gone")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30) -> DataFrame:
-    """docs with the lines that repeated_lines() names taken out of its texts, and with columns n_lines and gone.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30, prefix: str = "") -> DataFrame:
+    """docs with the lines that repeated_lines() names taken out of its texts, and with columns n_lines and gone (their names after prefix).
 
     n_lines counts the lines of the original text (null: 0), gone lists the places of those deleted, from 0. Every row
     stays, null and empty texts as they are; a text whose lines all go is empty. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, least).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    gone = repeated_lines(docs, id_col, text_col, least).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("gone").alias("__places"))
     text, lines = F.col(text_col), F.split(F.col(text_col), "\n")
-    rest = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"]), "\n")
+    rest = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__places", s["i"])), lambda s: s["x"]), "\n")
     rows = docs.withColumn("__own", text_key(F.col(id_col).cast("long"), text))
     rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__key")), "left")
-    new = rows.withColumns({text_col: F.when(F.col("__gone").isNotNull(), rest).otherwise(text), "n_lines": F.coalesce(F.size(lines), F.lit(0)), "gone": F.coalesce("__gone", F.array().cast("array<int>"))})
-    return new.drop("__own", "__doc_id", "__key", "__gone")
+    new = rows.withColumns({text_col: F.when(F.col("__places").isNotNull(), rest).otherwise(text), f"{prefix}n_lines": F.coalesce(F.size(lines), F.lit(0)), f"{prefix}gone": F.coalesce("__places", F.array().cast("array<int>"))})
+    return new.drop("__own", "__doc_id", "__key", "__places")

@@ -262,7 +262,8 @@ def sampled_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def decoded_texts(encoded: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:
-    """encoded with a column text: what its pieces stand for (null for null pieces)."""
+    """encoded with a column text, in place of one of that name: what its pieces stand for (null for null pieces)."""
+    encoded = encoded.drop("text")
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

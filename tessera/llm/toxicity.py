@@ -115,20 +115,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(*ftrl([(flat[ends[i] : ends[i + 1]], int(label[i])) for i in order]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Column toxicity (0 to 1) beside the id as doc_id (or beside the columns in keep) for every row of docs.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
+    """Column `out` (0 to 1) beside the id as doc_id (or beside the columns in keep) for every row of docs.
 
     The score depends on the text alone. Null and empty texts get the model's bias alone. Repeated rows stay rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(c) for c in keep]
     rows = spread(docs.select(*columns, F.col(text_col).alias("__text")))
-    schema = rows.drop("__text").schema.add("toxicity", "double")
+    schema = rows.drop("__text").schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for batch in batches:
             found = pa.array([shared.value.score(t, seen) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], out])
 
     return rows.mapInArrow(run, schema)

@@ -30,6 +30,22 @@ def test_odd_tables(spark, odd):
     assert toxicity.score(odd, toxicity.train(odd, labels.where("false"))).where("toxicity <> 0.5").count() == 0
 
 
+def test_odd_stages(spark, odd):
+    import corpus_pipeline
+
+    clash = ["toxicity", "gone", "n_lines", "copies", "size", "fp", "component_id", "pieces"]
+    docs = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *[F.lit(c).alias(c) for c in clash])
+    for table in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, table, D)
+            assert left.columns == docs.columns, name
+            assert left.where(" or ".join(f"{c} <> '{c}'" for c in clash)).count() == 0, name
+        last = corpus_pipeline.STAGES[-1][1](spark, table, D)
+        assert last.where("lossless").count() == table.count()
+    # Repeats of an id and texts without words go but for one of each; null ids stay.
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.keep_one_copy(spark, docs, D).collect()) == [0, 1, 2, 5, 6]
+
+
 def vectors(spark, n=400, dim=8, seed=1):
     x = np.random.default_rng(seed).normal(size=(n, dim))
     x[n // 2 : n // 2 + n // 4] = x[0]  # a quarter of the rows are one vector
