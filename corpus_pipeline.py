@@ -20,7 +20,7 @@ from tessera.llm.common import WORD
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7 by a model fitted on the labelled documents of sf_dir. Null texts stay."""
     model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=docs.columns).where("toxicity < 0.7").select(docs.columns)
+    return toxicity.score(docs, model, keep=docs.columns, out="__toxicity").where("__toxicity < 0.7").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its words goes: all it held is in others. One without words to begin with stays.
     """
-    left = line_dedup.without_repeats(docs).where((F.size("gone") == 0) | F.col("text").rlike(WORD))
-    return left.withColumn("n_chars", F.when(F.size("gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    left = line_dedup.without_repeats(docs, prefix="__").where((F.size("__gone") == 0) | F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.when(F.size("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
