@@ -55,7 +55,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("simhash near-dedup", keep_one_copy), ("source mix", mix_sources), ("sentencepiece", encode_pieces)]
 
-#: No SQL engine has the stages' hashes, models or lattices; tests hold run() against a brute-force version.
+#: No SQL engine has the stages' hashes, models or lattices; tests hold the stages' operators, not run() as a whole, against brute force.
 ORACLE_SQL = None
 
 
