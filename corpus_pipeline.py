@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, pieces, simhash, toxicity
+from tessera.llm import copies, line_dedup, mixing, pieces, toxicity
 from tessera.llm.common import WORD
 
 
@@ -33,12 +33,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group that SimHash links, at distances for shingles of five words and a similarity of 0.8.
+    """The document of the smallest doc_id of each group of texts that a similarity of 0.8 over shingles of five words links.
 
     Of rows that repeat this id, one stays. Rows without id stay.
     """
-    found = simhash.near_duplicates(docs, **simhash.COPIES)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    own, groups = copies.groups(docs)
+    lowest = own.groupBy("sig").agg(F.min("doc_id").alias("low")).join(groups, "sig").groupBy("group").agg(F.min("low").alias("doc_id"))
+    kept = lowest.select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -33,19 +33,24 @@ def bit_majority(h: np.ndarray) -> int:
     return int(np.packbits((2 * count > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of a text: A-Z in lower case, words between ASCII white space, XXH64 of all shingles of `words` words."""
+def shingles(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of all shingles of `words` words in their order: A-Z in lower case, words between ASCII white space."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
     spans = zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True) if words > 1 else zip(starts.tolist(), ends.tolist(), strict=True)
-    return bit_majority(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(parts) - words + 1))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(parts) - words + 1)
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """SimHash of a text over its shingles of `words` words; 0 without words."""
+    return bit_majority(shingles(text, words, seed))
 
 
 def joint(fp: np.ndarray, second: np.ndarray) -> np.ndarray:
