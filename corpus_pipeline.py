@@ -33,14 +33,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of texts that a similarity of 0.8 over shingles of five words links.
+    """One row of each group of texts that a similarity of 0.8 over shingles of five words links: that of the smallest doc_id, then text hash.
 
-    Of rows that repeat this id, one stays. Rows without id stay.
+    So rows that share an id stay unless their texts are linked or equal. Rows without id stay.
     """
     own, groups = copies.groups(docs)
-    lowest = own.groupBy("sig").agg(F.min("doc_id").alias("low")).join(groups, "sig").groupBy("group").agg(F.min("low").alias("doc_id"))
-    kept = lowest.select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    lowest = own.where("doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("low"))
+    kept = lowest.join(groups, "sig").groupBy("group").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.row").alias("__row"))
+    keyed = docs.withColumn("__row", copies.row_key(docs))
+    first = keyed.join(kept.withColumnRenamed("__row", "__kept"), (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__row"])
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,23 +26,23 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, words: int, second: int) -> DataFrame:
-    """(doc_id, row, sig, node, fp, second): row is the row's key, sig that of its set of shingles of `second` words (0 when empty)."""
+    """(doc_id, row, text_hash, sig, node, fp, second): row is the row's key, sig that of its set of shingles of `second` words (0 when empty)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             fp, more, sig = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 parts = shingles(text, second)
                 fp.append(fingerprint(text, words))
                 more.append(bit_majority(parts))
                 sig.append(xxhash.xxh64_intdigest(np.unique(parts).tobytes()) if len(parts) else 0)
             fp, more, sig = (np.array(x, np.uint64) for x in (fp, more, sig))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (sig, joint(fp, more), fp, more))], ["doc_id", "row", "sig", "node", "fp", "second"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x.view(np.int64)) for x in (sig, joint(fp, more), fp, more))], ["doc_id", "row", "text_hash", "sig", "node", "fp", "second"])
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col(text_col).alias("text"))
-    return arrow_map(spread(rows), make, "doc_id long, row long, sig long, node long, fp long, second long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(docs).alias("row"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return arrow_map(spread(rows), make, "doc_id long, row long, text_hash long, sig long, node long, fp long, second long")
 
 
 def alike(a: list[np.ndarray], b: list[np.ndarray], same: bool, least: float) -> Iterator[tuple[int, int]]:
@@ -108,7 +108,7 @@ def similar(sets: DataFrame, least: float) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, second: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, sig) for every row of docs, row as of row_key(), and (sig, group) for every distinct set of shingles.
+    """(doc_id, row, text_hash, sig) for every row of docs, row as of row_key(), and (sig, group) for every distinct set of shingles.
 
     Rows of one sig have the same set of shingles of `second` words, rows without words the empty one. Sets are linked
     if their Jaccard similarity is `least` or more; groups are what links connect. Links are sought within groups that
@@ -131,4 +131,4 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     texts = docs.select(row_key(docs).alias("row"), F.col(text_col).alias("text")).join(wanted, "row").dropDuplicates(["row"])
     sets = cut(arrow_map(texts.select("part", "sig", "text"), make, "part long, size long, sig long, data binary"))
     linked = connected_components(similar(sets, least))
-    return own.select("doc_id", "row", "sig"), once.select("sig").join(linked, once["sig"] == linked["node"], "left").select("sig", F.coalesce("component", "sig").alias("group"))
+    return own.select("doc_id", "row", "text_hash", "sig"), once.select("sig").join(linked, once["sig"] == linked["node"], "left").select("sig", F.coalesce("component", "sig").alias("group"))

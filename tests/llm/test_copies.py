@@ -4,7 +4,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import copies
@@ -63,3 +62,11 @@ def test_alike_against_all_pairs(same):
 
     all_pairs = [(i, j) for i in range(60) for j in range(60) if len(np.intersect1d(a[i], b[j])) >= 0.8 * len(np.union1d(a[i], b[j]))]
     assert connected(copies.alike(a, b, same, 0.8)) == connected(all_pairs)
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (5, a), (9, b), (3, c), (5, c), (None, a), (None, a)]
+    rows += [(8, f"text {i} of one id") for i in range(40)]
+    kept = corpus_pipeline.keep_one_copy(spark, docs_of(spark, rows), D).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, a), (5, b), (3, c), (None, a), (None, a), *rows[9:]])
