@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a side of a join that is broadcast at most (their lists hold INTS_AT_MOST numbers at most); larger ones are shuffled.
+ROWS_AT_MOST, INTS_AT_MOST = 500_000, 4_000_000
 #: Splits words at ASCII white space only, as every contract on words asks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,14 +19,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it with short lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where neither that nor a folder set on the
-    context exists (a local test) a temporary one is made.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediates: that set on the context or by spark.checkpoint.dir; a temporary one only for a local master, as in tests."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def small(df: DataFrame, ints: str | None = None) -> DataFrame:
+    """df for a join: to be broadcast if its rows, and the numbers in its column ints, are few. Its columns must be of fixed width but for ints."""
+    size = df.agg(F.count("*"), F.sum(F.size(ints) if ints else F.lit(0))).first()
+    return F.broadcast(df) if size[0] <= ROWS_AT_MOST and (size[1] or 0) <= INTS_AT_MOST else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
