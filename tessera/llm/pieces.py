@@ -9,10 +9,12 @@ step), so they don't depend on batches or partitions. A character that is no pie
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Bytes of text encoded at a time within a batch; a longer text is encoded alone.
 AT_ONCE = 2_500_000
+#: Characters of the units whose lattices a task keeps for later batches; beyond that it starts afresh.
+KEPT = 3_000_000
+#: Units longer than this are filtered one by one.
+LONG = 512
 BASE, BYTE = np.uint64(0x100000001B3), -1
 
 
@@ -130,9 +136,12 @@ def lattices(units: list[str], v: Vocabulary) -> Lattices:
         filled[end] += 1
     del found, filled
     alpha = np.zeros(len(code))
-    bylength = np.argsort(-sizes, kind="stable")
+    for unit in np.flatnonzero(sizes > LONG).tolist():
+        filter_one(int(first[unit]), int(sizes[unit]), offset, count, span, value)
+    short = np.flatnonzero(sizes <= LONG)
+    bylength = short[np.argsort(-sizes[short], kind="stable")]
     descending = -sizes[bylength]
-    for depth in range(int(sizes.max(initial=0))):  # all units together, one character further each time
+    for depth in range(int(sizes[short].max(initial=0))):  # all units together, one character further each time
         node = first[bylength[: np.searchsorted(descending, -depth)]] + depth
         edges = count[node]
         most = int(edges.max(initial=0))
@@ -159,6 +168,23 @@ def lattices(units: list[str], v: Vocabulary) -> Lattices:
     return Lattices(first, first + sizes - 1, keys, span, piece, code.astype(np.uint32))
 
 
+def filter_one(lo: int, size: int, offset: np.ndarray, count: np.ndarray, span: np.ndarray, value: np.ndarray) -> None:
+    """Forward filtering of one unit, character by character; its edges' values become cumulated shares."""
+    a, b = int(offset[lo]), int(offset[lo + size - 1] + count[lo + size - 1])
+    lengths, weights, shares, alpha, e = span[a:b].tolist(), value[a:b].tolist(), [], [], 0
+    for depth, n in enumerate(count[lo : lo + size].tolist()):
+        total = [weights[i] + (alpha[depth - lengths[i]] if lengths[i] <= depth else 0.0) for i in range(e, e + n)]
+        top, run = max(total), 0.0
+        some = []
+        for x in total:
+            run += math.exp(x - top)
+            some.append(run)
+        shares += [x / run for x in some]
+        alpha.append(top + math.log(run))
+        e += n
+    value[a:b] = shares
+
+
 class Numbered(dict):
     """Units by the order in which they were first met."""
 
@@ -167,6 +193,29 @@ class Numbered(dict):
         return n
 
 
+class Known:
+    """The lattices of units met so far: a task's batches share most of their words."""
+
+    def __init__(self):
+        self.number, self.grid = Numbered(), None
+
+    def extend(self, v: Vocabulary) -> Lattices:
+        """Adds the lattices of units that were numbered since."""
+        old = self.grid
+        have = 0 if old is None else len(old.first)
+        if len(self.number) > have:
+            new = lattices(list(islice(self.number, have, None)), v)
+            if old is not None:
+                base = len(old.code)  # keys begin with the place of a character
+                parts = [(old.first, new.first + base), (old.last, new.last + base), (old.keys, new.keys + (np.uint64(base) << np.uint64(32))), (old.sizes, new.sizes), (old.pieces, new.pieces), (old.code, new.code)]
+                new = Lattices(*map(np.concatenate, parts))
+            self.grid = new
+        return self.grid
+
+    def trimmed(self) -> Known:
+        return Known() if self.grid is not None and len(self.grid.code) > KEPT else self
+
+
 def units_of(text: str) -> list[str]:
     if "\x1f" in text or "  " in text or text[0] == " ":
         return UNIT.findall(" " + text)
@@ -175,16 +224,19 @@ def units_of(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def encode(texts: list[str | None], seeds: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
-    """Piece ids of each text, sampled; seeds are one uint64 a text. Null texts are empty; an empty text has no pieces."""
-    known, found, counts = Numbered(), [], []
+def encode(texts: list[str | None], seeds: np.ndarray, v: Vocabulary, known: Known | None = None) -> list[np.ndarray]:
+    """Piece ids of each text, sampled; seeds are one uint64 a text. Null texts are empty; an empty text has no pieces.
+
+    known keeps lattices from call to call; it changes no result.
+    """
+    known, found, counts = Known() if known is None else known, [], []
     for text in texts:
         parts = units_of(text) if text else []
-        found += map(known.__getitem__, parts)
+        found += map(known.number.__getitem__, parts)
         counts.append(len(parts))
     if not found:
         return [np.zeros(0, np.int32) for _ in texts]
-    grid = lattices(list(known), v)
+    grid = known.extend(v)
     unit, counts = np.array(found, np.int64), np.array(counts, np.int64)
     row = np.repeat(np.arange(len(texts)), counts)
     nth = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -238,20 +290,22 @@ def sampled_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, pieces, n_pieces, lossless) for every row of docs: the ids of a sampled segmentation of its whole text.
 
     The sample depends on the id (as text, null like the empty text), the seed and the text. lossless says that
-    decoding gave the text back (an empty one for null). Repeated rows stay rows and get the same pieces. Other
-    columns aren't read. The model file is read once, on the driver; its pieces (about a megabyte) go to all tasks.
+    decoding gave the text back (an empty one for null). Repeated rows stay rows and get the same pieces, and rows
+    without id those of the empty id. Texts of any length are read whole; one word of a million characters is a
+    lattice of a million characters, walked one by one. An empty table gives no rows. Other columns aren't read. The model file is read once, on the driver; its pieces (about a megabyte) go to all tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model, theta))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, known = shared.value, Known()
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
             for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes)) + 1):
                 some = batch.column(2).slice(part[0], len(part)).to_pylist()
                 ids = batch.column(1).slice(part[0], len(part)).to_pylist()
                 keys = mix64(np.array([zlib.crc32((i or "").encode()) << 32 | (seed & 0xFFFFFFFF) for i in ids], np.uint64))
-                found = encode(some, keys, v)
+                known = known.trimmed()
+                found = encode(some, keys, v, known)
                 fine = [decode(p, v) == (t or "") for p, t in zip(found, some, strict=True)]
                 n = np.array([len(p) for p in found], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
