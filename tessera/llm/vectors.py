@@ -1,7 +1,8 @@
-"""What the two vector searches share: clean vectors, packed blocks, block scoring and exact top-k merging.
+"""What the two vector searches share: clean vectors by length, packed blocks, block scoring and exact top-k merging.
 
 A block is one row that holds up to some thousands of vectors as two binary columns (ids and a row-major
-matrix). Blocks keep shuffles to a few large rows, and a block pair is scored by one matrix product.
+matrix). Blocks keep shuffles to a few large rows, and a block pair is scored by one matrix product, whose
+best candidates, with a margin for its rounding, are scored again by a sum in the order of the components.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import spread
 
-VECTOR = "vec_id long, vec array<double>"
+#: An id that no candidate has: it fills up rows of the k best.
+NONE = np.iinfo(np.int64).max
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -29,32 +31,40 @@ def vector_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
-def clean(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> tuple[DataFrame, int]:
-    """(vec_id, vec) of the vectors that take part, and their dimension.
+def clean(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> DataFrame:
+    """(vec_id, vec) of the vectors that take part.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor zero vectors
-    unless allow_zero; nor rows without an id. Vectors can only be compared at one dimension: that of the
-    valid vector with the smallest id. Other columns of df are not read.
+    unless allow_zero; nor rows without an id. Other columns of df are not read.
     """
     v = F.col("vec")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     if not allow_zero:
         fine = fine & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine)
-    dim = rows.agg(F.min_by(F.size("vec"), "vec_id")).first()[0] or 0
-    return spread(rows.where(F.size("vec") == dim)), dim
+    return spread(rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine))
+
+
+def lengths(rows: DataFrame) -> list[Row]:
+    """(dim, n, norm) for each length of vector: how many there are and their largest norm, without overflow for huge components.
+
+    Vectors of different lengths have no inner product, so a search treats each length by itself. What reaches the
+    driver is a row for each length.
+    """
+    high = F.array_max(F.transform("vec", F.abs))
+    norm = F.when(high > 0, high * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / high) * (x / high)))).otherwise(0.0)
+    return rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.least(norm, F.lit(1e308))).alias("norm")).orderBy("dim").collect()
 
 
 def sample_matrix(rows: DataFrame, most: int) -> np.ndarray:
     """A bounded sample for fitting: the `most` vectors of the smallest hash of their id. Never more than `most` rows reach the driver."""
     table = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec").toArrow()
-    return np.stack([matrix(c) for c in [table["vec"].combine_chunks()]][0]) if table.num_rows else np.zeros((0, 0))
+    return matrix(table["vec"].combine_chunks())
 
 
-def augmented(x: np.ndarray, top: float) -> np.ndarray:
-    """Rows with one more component that gives all of them the norm sqrt(top), so that a larger inner product is a smaller distance."""
-    return np.hstack([x, np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0.0))[:, None]])
+def augmented(x: np.ndarray) -> np.ndarray:
+    """Rows of norm 1 at most with one more component that makes it 1, so that a larger inner product is a smaller distance."""
+    return np.hstack([x, np.sqrt(np.maximum(1.0 - np.einsum("ij,ij->i", x, x), 0.0))[:, None]])
 
 
 def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -77,46 +87,103 @@ def unpacked(ids: bytes, mat: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(mat, mat[:2].decode(), offset=2).astype(np.float64).reshape(len(ids), -1)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row, by score descending, then id ascending; exact with ties. -inf marks no candidate."""
-    if len(scores) and scores.shape[1] > 4 * k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        width = int((scores >= kth[:, None]).sum(axis=1).max())
-        if width <= 4 * k:
-            part = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-            scores, ids = np.take_along_axis(scores, part, 1), (ids[part] if ids.ndim == 1 else np.take_along_axis(ids, part, 1))
-    ids = np.broadcast_to(ids, scores.shape)
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+def foremost(ids: np.ndarray, vecs: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k best of some query: of equal vectors, those of the k + 1 smallest ids.
+
+    Equal vectors have equal scores, ties go to the smaller id, and a query leaves out at most one id, its own.
+    """
+    raw = np.ascontiguousarray(vecs + 0.0).view(np.dtype((np.void, vecs.shape[1] * vecs.itemsize))).reshape(-1)
+    group = np.unique(raw, return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    group, sorted_ids = group[order], ids[order]
+    new = np.append(True, (np.diff(group) != 0) | (np.diff(sorted_ids) != 0))  # a repeated row counts once
+    order, group = order[new], group[new]
+    nth = np.arange(len(group)) - np.searchsorted(group, group)
+    return np.sort(order[nth <= k])
+
+
+def products(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of the rows q[r] and x[c], summed component by component, so that equal vectors get equal scores in any block."""
+    out = np.zeros(len(r))
+    for a in range(0, len(r), 16384):
+        some = slice(a, a + 16384)
+        u, v = q[r[some]].T.copy(), x[c[some]].T.copy()
+        for j in range(len(u)):
+            out[some] += u[j] * v[j]
+    return out
 
 
 class Tops:
-    """The k best of each query so far; a task holds those of `most` queries and hands them on when there are more."""
+    """The k best ids of each query so far, ties to the smaller id; a task holds those of `most` queries and hands them on when there are more."""
 
     def __init__(self, k: int, most: int = 50_000):
-        self.k, self.most, self.held = k, most, {}
-
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        for q, s, i in zip(queries.tolist(), scores, ids, strict=True):
-            if (old := self.held.get(q)) is not None:
-                s, i = np.concatenate([old[0], s]), np.concatenate([old[1], i])
-                i, first = np.unique(i, return_index=True)  # a vector may come from several lists
-                s = s[first]
-                order = np.lexsort((i, -s))[: self.k]
-                s, i = s[order], i[order]
-            self.held[q] = (s, i)
+        self.k, self.most, self.row = k, most, {}
+        self.scores, self.ids = np.full((0, k), -np.inf), np.full((0, k), NONE)
+
+    def rows(self, queries: np.ndarray) -> np.ndarray:
+        """The places of queries, new ones included."""
+        at = np.array([self.row.setdefault(q, len(self.row)) for q in queries.tolist()], np.int64)
+        if len(self.row) > len(self.scores):
+            more = max(1024, 2 * len(self.row)) - len(self.scores)
+            self.scores = np.vstack([self.scores, np.full((more, self.k), -np.inf)])
+            self.ids = np.vstack([self.ids, np.full((more, self.k), NONE)])
+        return at
+
+    def score(self, qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, bound: np.ndarray | None = None) -> None:
+        """Takes in a block x with ids xi in order, for the queries qi. bound: a score that each query's k-th best is known to reach."""
+        if not len(qi) or not len(xi):
+            return
+        at = self.rows(qi)
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            margin = 4e-16 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        own = qi[:, None] == xi[None]
+        near[own] = -np.inf
+        starts = np.flatnonzero(np.append(True, np.diff(xi) != 0))
+        least = self.scores[at, -1] if bound is None else np.maximum(self.scores[at, -1], bound)
+        if len(starts) > self.k and (open_ := np.flatnonzero(least == -np.inf)).size:
+            # The k-th best by distinct ids.
+            some = near[open_] if len(starts) == len(xi) else np.maximum.reduceat(near[open_], starts, axis=1)
+            least = least.copy()
+            least[open_] = np.partition(some, some.shape[1] - self.k, axis=1)[:, -self.k]
+        r, c = np.nonzero((near >= (least - np.nan_to_num(margin, posinf=np.inf))[:, None]) & ~own)
+        if len(r):
+            self.add(at, r, products(q, x, r, c), xi[c])
+
+    def add(self, at: np.ndarray, r: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Merges candidates; r (in order) are places in at."""
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        rows, first, count = np.unique(r, return_index=True, return_counts=True)
+        nth = np.arange(len(r)) - np.repeat(first, count)
+        s, i = np.full((len(rows), count.max()), -np.inf), np.full((len(rows), count.max()), NONE)
+        s[np.repeat(np.arange(len(rows)), count), nth], i[np.repeat(np.arange(len(rows)), count), nth] = scores, ids
+        into = at[rows]
+        if len(np.unique(into)) < len(into):  # rows that repeat a query's id: one after the other
+            for j in range(len(rows)):
+                self.merge(into[j : j + 1], s[j : j + 1], i[j : j + 1])
+        else:
+            self.merge(into, s, i)
+
+    def merge(self, into: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        s, i = np.hstack([self.scores[into], s]), np.hstack([self.ids[into], i])
+        order = np.lexsort((-s, i), axis=1)
+        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        again = np.zeros(i.shape, bool)
+        again[:, 1:] = i[:, 1:] == i[:, :-1]  # an id counts once, with its higher score
+        s, i = np.where(again, -np.inf, s), np.where(again, NONE, i)
+        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.scores[into], self.ids[into] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
     def full(self) -> bool:
-        return len(self.held) > self.most
+        return len(self.row) > self.most
 
     def flush(self) -> pa.RecordBatch:
-        held, self.held = self.held, {}
-        n = [len(s) for s, _ in held.values()]
-        q = np.repeat(np.fromiter(held, np.int64, len(held)), n)
-        s = np.concatenate([s for s, _ in held.values()]) if held else np.zeros(0)
-        i = np.concatenate([i for _, i in held.values()]) if held else np.zeros(0, np.int64)
-        keep = np.isfinite(s)
-        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep].astype(np.int64)), pa.array(s[keep].astype(np.float64))], ["query_id", "vec_id", "score"])
+        n = len(self.row)
+        q = np.repeat(np.fromiter(self.row, np.int64, n), self.k)
+        s, i = self.scores[:n].reshape(-1), self.ids[:n].reshape(-1)
+        keep = i != NONE
+        self.__init__(self.k, self.most)
+        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], ["query_id", "vec_id", "score"])
 
 
 def score_pairs(pairs: DataFrame, k: int) -> DataFrame:
@@ -126,13 +193,10 @@ def score_pairs(pairs: DataFrame, k: int) -> DataFrame:
         tops = Tops(k)
         for batch in batches:
             for q_ids, q_mat, ids, mat in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_mat", "ids", "mat")), strict=True):
-                (qi, q), (xi, x) = unpacked(q_ids, q_mat), unpacked(ids, mat)
-                scores = q @ x.T
-                scores[qi[:, None] == xi[None]] = -np.inf
-                tops.add(qi, *best(scores, xi, k))
+                tops.score(*unpacked(q_ids, q_mat), *unpacked(ids, mat))
                 if tops.full():
                     yield tops.flush()
-        if tops.held:
+        if tops.row:
             yield tops.flush()
 
     return pairs.select("q_ids", "q_mat", "ids", "mat").mapInArrow(run, "query_id long, vec_id long, score double")
