@@ -1,11 +1,14 @@
 """Repeated runs of lines, by a suffix array over line ids that distributed prefix doubling builds.
 
-Only lines that occur twice in the corpus can belong to a repeated run, so the sequences are those lines; any other
-line ends a run. Rank k orders positions by their first 2^k lines; rank k + 1 comes from sorting pairs (rank k here,
-rank k 2^k lines on), and positions whose prefix is unique drop out. Positions of equal rank are the intervals of
-the suffix array whose common prefix is at least 2^k lines. A window of L lines is named by two overlapping ranks,
-so the interval of its copies is known, and the first copy of it in the corpus. Windows just long enough in words,
-from every line on and up to every line, cover each repeated run that is long enough; all but first copies go.
+It is done twice: over whole lines, and then, over what that leaves, over lines cut further at sentence ends, so that
+passages within lines are found too; the first turn spares the second most positions. Ids are ranks of these units.
+Only units that occur twice in the corpus can belong to a repeated run; any other unit ends a run. Rank k orders
+positions by their first 2^k units: positions are sorted by pairs (rank k - 1 here, rank k - 1 at 2^(k-1) units on),
+each class of equal pairs is an interval of the suffix array whose common prefix has 2^k units or more, and positions
+whose prefix is unique drop out. A run of L units is named by two overlapping ranks, so that sorting the runs by their
+names lays out the intervals of common prefixes of L units, each with its first copy in front. The shortest runs with
+enough words, from every unit on and up to every unit, cover each maximal repeated run; all but first copies go. Of
+texts that are equal as a whole only the first takes part, as the others are later copies of it from end to end.
 """
 
 from __future__ import annotations
@@ -14,96 +17,310 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.llm.common import WORD, cut, shuffle_partitions
+from tessera.llm.common import cut, shuffle_partitions, small, spread
 
+#: A position: its text (is the id null, the id or 0, a hash of id and text) and the unit's number in it.
+TEXT = ["none", "id", "doc"]
+PLACE = [*TEXT, "seq"]
+PLACE_DDL = "none int, id long, doc long, seq int"
 
-def windows(seq: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(first, lines) by place in seq: for each line the shortest stretch of consecutive lines from it on, and up to it, with `least` words."""
-    out: set[tuple[int, int]] = set()
-    breaks = np.flatnonzero(np.diff(seq) != 1) + 1
-    for a, b in zip([0, *breaks], [*breaks, len(seq)], strict=True):
-        total = np.concatenate([[0], np.cumsum(words[a:b])])
-        ends = np.searchsorted(total, total[:-1] + least)  # total[end] - total[i] >= least
-        out.update((a + i, int(e) - i) for i, e in enumerate(ends) if e <= b - a)
-        starts = np.searchsorted(total, total[1:] - least, side="right") - 1
-        out.update((a + int(s), j + 1 - int(s)) for j, s in enumerate(starts) if s >= 0)
-    return sorted(out)
 
+def units(text: str) -> list[bytes]:
+    """A text's lines cut further after each full stop, question or exclamation mark with a space. Joined they are the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    mark = b"\xff"  # no byte of UTF-8
+    for end in (b". ", b"? ", b"! ", b"\n"):
+        raw = raw.replace(end, end + mark)
+    parts = raw.split(mark)
+    return parts if parts[-1] else parts[:-1]
 
-def in_order(df: DataFrame, *cols: str) -> DataFrame:
-    """df (distinct in cols) with a column rank that rises with cols: row numbers within range partitions, the partition's number before them."""
-    return cut(df.repartitionByRange(shuffle_partitions(df.sparkSession), *cols).sortWithinPartitions(*cols).withColumn("rank", F.monotonically_increasing_id()))
+
+def numbered(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(line, unit, part): parts of units() with the numbers of their line and unit, neither counting those without words (-1)."""
+    line, seq, in_line = 0, 0, False
+    for part in units(text):
+        if held := bool(part.split()):
+            yield line, seq, part
+            seq, in_line = seq + 1, True
+        else:
+            yield line, -1, part
+        if part.endswith(b"\n"):
+            line, in_line = line + (in_line or held), False
+
+
+def stretches(text: np.ndarray, seq: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each unit (in order of text and number) where its stretch of consecutive units begins and ends, and the words before each unit and before the end."""
+    new = np.append(True, (np.diff(text) != 0) | (np.diff(seq) != 1))
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(seq)), 0))
+    ends = np.append(np.flatnonzero(new)[1:], len(seq))
+    return begin, ends[np.cumsum(new) - 1], np.concatenate([[0], np.cumsum(words)])
+
+
+def windows(text: np.ndarray, seq: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, units): for each unit the shortest stretch of consecutive units from it on, and up to it, with `least` words."""
+    begin, end, total = stretches(text, seq, words)
+    at = np.arange(len(seq))
+    upto = np.searchsorted(total, total[:-1] + least)  # total[upto] - total[i] >= least
+    fits = upto <= end
+    since = np.searchsorted(total, total[1:] - least, side="right") - 1
+    back = since >= begin
+    code = np.unique(np.concatenate([at[fits] * (len(seq) + 1) + (upto - at)[fits], since[back] * (len(seq) + 1) + (at + 1 - since)[back]]))
+    return code // (len(seq) + 1), code % (len(seq) + 1)
 
 
 def text_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_.cast("string"), text)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30) -> DataFrame:
-    """(doc_id, key, gone): for every text with lines to delete the places (from 0) of these lines in its split at newlines.
+def classes(df: DataFrame, key: list[str], later: bool, carry: str | None = None) -> DataFrame:
+    """The suffix-array intervals of positions (columns PLACE) that agree in the integer columns key.
+
+    Positions are sorted by key, then place, over range partitions; a class may span any number of them, so a key of
+    very many positions is no one task's. Each task learns from a summary of a row for each partition, which the
+    driver holds, where the class that it begins with began. Gives PLACE and rank (equal in a class, rising with key)
+    for the positions that share their class with others (and the integer column carry, if named), or, if later, PLACE, the first column of key, and the place of the
+    class's first position (lead_...) for all but that first position. Places must be distinct within a class.
+    """
+    order, more = [*key, *PLACE], [carry] if carry else []
+    dealt = df.select(*order, *more).repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = cut(dealt.select("*", F.monotonically_increasing_id().alias("at")))
+    last = F.struct(*key, (-F.col("at")).alias("back"))
+    edges = placed.groupBy(F.shiftright("at", 33).alias("pid")).agg(F.min(F.struct(*key)).alias("first"), F.max(last).alias("last"), F.max_by(F.struct("at", *PLACE), last).alias("head")).orderBy("pid").collect()
+    known: dict[int, tuple] = {}  # by partition: the key and the first position of the class before it, the key after it
+    held_key = held_head = None
+    for i, e in enumerate(edges):
+        after = tuple(edges[i + 1]["first"]) if i + 1 < len(edges) else None
+        known[e["pid"]] = (held_key, held_head, after)
+        ends = tuple(e["last"])[: len(key)]
+        held_head = held_head if ends == held_key else tuple(e["head"])
+        held_key = ends
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    names = [*PLACE, key[0], *(f"lead_{c}" for c in PLACE)] if later else [*PLACE, "rank", *more]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = before = head = after = None
+
+        def done(batch: pa.RecordBatch, following: tuple | None) -> pa.RecordBatch:
+            nonlocal before, head
+            columns = {c: batch.column(c).to_numpy() for c in [*order, *more, "at"]}
+            keys = [columns[c] for c in key]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            new[0] = before != tuple(int(k[0]) for k in keys)
+            ends = tuple(int(k[-1]) for k in keys)
+            begun = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            heads = [np.where(begun >= 0, columns[c][begun], 0 if head is None else head[i]) for i, c in enumerate(["at", *PLACE])]
+            alone = new & np.append(new[1:], following != ends)
+            before, head = ends, tuple(int(h[-1]) for h in heads)
+            keep = ~new if later else ~alone
+            out = [columns[c][keep] for c in PLACE] + ([columns[key[0]][keep], *(h[keep].astype(columns[c].dtype) for h, c in zip(heads[1:], PLACE, strict=True))] if later else [heads[0][keep], *(columns[c][keep] for c in more)])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                before, head, after = shared.value[batch.column("at")[0].as_py() >> 33]
+            else:
+                yield done(held, tuple(batch.column(c)[0].as_py() for c in key))
+            held = batch
+        if held is not None:
+            yield done(held, after)
+
+    kinds = dict(placed.dtypes)
+    lead = ", ".join(f"lead_{x}" for x in PLACE_DDL.split(", "))
+    return placed.mapInArrow(scan, f"{PLACE_DDL}, {key[0]} {kinds[key[0]]}, {lead}" if later else f"{PLACE_DDL}, rank long" + "".join(f", {c} {kinds[c]}" for c in more))
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(none, id, doc, text) of the rows with a text."""
+    id_ = F.col(id_col).cast("long")
+    return docs.where(F.col(text_col).isNotNull()).select(id_.isNull().cast("int").alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), text_key(id_, F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
+
+
+def later_texts(texts: DataFrame) -> DataFrame:
+    """(none, id, doc) of the texts that equal one of a smaller place."""
+    once = texts.select(*TEXT, F.lit(0).alias("seq"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")).distinct()
+    return classes(once, ["t1", "t2"], later=True).select(*TEXT)
 
-    key is text_key(id, text); rows equal in id and text are one text. Runs are compared line by line, exactly; lines
-    without words belong to no run. A run counts with `least` words or more. Its first copy is the one of the smallest
-    (doc_id, key, place), null ids last. A copy that overlaps the first in one text loses only what lies beyond it.
+
+def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False) -> DataFrame:
+    """(none, id, doc, seq, lines, lead_none, lead_id, lead_doc, lead_seq): each later copy of a run and its first copy.
+
+    A run begins with unit seq of a text and has `lines` units; units (or lines, if whole_lines) are numbered without
+    those that hold no words. none, id and doc tell the text: whether its id is null, the id, and text_key(id, text);
+    texts has each once. The units of lines in its column gone_lines, if it isn't null, are passed over.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    texts = texts.select(F.struct("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key")).alias("doc"), F.filter(numbered, lambda x: x["line"].rlike(WORD)).alias("lines"))
-    lines = texts.select("doc", F.posexplode("lines").alias("seq", "x")).select("doc", "seq", "x.pos", F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit("line"), "x.line").alias("h2"), F.regexp_count("x.line", F.lit(WORD)).alias("words"))
-    # Only lines seen twice go on; a gap in seq is a line seen once, and ends a run.
-    counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    held = cut(lines.join(in_order(counts, "h1", "h2"), ["h1", "h2"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("seq", "pos", "words", "rank"))).alias("at")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, words, numbers = [], [], [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone_lines").to_pylist(), strict=True):
+                n = len(words)
+                if whole_lines:
+                    parts = enumerate(x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if x.split())
+                elif gone:
+                    drop = set(gone)
+                    parts = ((i, x) for line, i, x in numbered(text) if i >= 0 and line not in drop)
+                else:
+                    parts = enumerate(x for x in units(text) if x.split())
+                for i, part in parts:
+                    digests.append(xxhash.xxh3_128_digest(part.strip()))
+                    words.append(len(part.split()))
+                    numbers.append(i)
+                sizes.append(len(words) - n)
+            each = np.repeat(np.arange(len(sizes)), sizes)
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            places = [pa.array(batch.column(c).to_numpy()[each]) for c in TEXT]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(numbers, pa.int32()), *(pa.array(both[:, i].copy()) for i in (0, 1)), pa.array(words, pa.int32())], [*PLACE, "h1", "h2", "words"])
+
+    every = spread(texts).mapInArrow(hashed, f"{PLACE_DDL}, h1 long, h2 long, words int")
+    seen = classes(every, ["h1", "h2"], later=False, carry="words")
+    held = cut(seen.groupBy(*TEXT).agg(F.sort_array(F.collect_list(F.struct("seq", "words", "rank"))).alias("at")))
+
+    def units_held(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        at = batch.column("at")
+        each = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+        return (each, *(at.flatten().field(c).to_numpy() for c in ("seq", "words", "rank")))
+
+    def placed(batch: pa.RecordBatch, each: np.ndarray, seq: np.ndarray) -> list[pa.Array]:
+        return [*(pa.array(batch.column(c).to_numpy()[each]) for c in TEXT), pa.array(seq)]
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc", held_type), ("seq", pa.int32()), ("lines", pa.int32()), ("gone", pa.list_(pa.int32()))])
         for batch in batches:
-            rows = []
-            for doc, at in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                seq, pos = np.array([x["seq"] for x in at]), [x["pos"] for x in at]
-                rows += [{"doc": doc, "seq": int(seq[a]), "lines": n, "gone": pos[a : a + n]} for a, n in windows(seq, np.array([x["words"] for x in at]), least)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, kinds)
-
-    held_type = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
-    spans = cut(held.mapInArrow(cover, "doc struct<doc_id:long,key:long>, seq int, lines int, gone array<int>"))
-    longest = spans.agg(F.max("lines")).first()[0] or 0
-    ranks = held.select("doc", F.explode("at").alias("x")).select("doc", "x.seq", F.col("x.rank").alias("r1"))
+            if batch.num_rows:
+                each, seq, words, _ = units_held(batch)
+                first, size = windows(each, seq, words, least)
+                yield pa.RecordBatch.from_arrays([*placed(batch, each[first], seq[first]), pa.array(size.astype(np.int32))], [*PLACE, "lines"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranks of the units in stretches of `least` words or more; no others belong to a run."""
+        for batch in batches:
+            if batch.num_rows:
+                each, seq, words, rank = units_held(batch)
+                begin, end, total = stretches(each, seq, words)
+                keep = total[end] - total[begin] >= least
+                yield pa.RecordBatch.from_arrays([*placed(batch, each[keep], seq[keep]), pa.array(rank[keep])], [*PLACE, "rank"])
+
+    runs = cut(held.mapInArrow(cover, f"{PLACE_DDL}, lines int"))
+    ranks = cut(held.mapInArrow(possible, f"{PLACE_DDL}, rank long"))
+    longest = runs.agg(F.max("lines")).first()[0] or 0
     named, size = None, 1
     while size <= longest:
-        # A window of `size` to 2 size - 1 lines is covered by the prefixes of `size` lines at its begin and before its end.
-        some = spans.where((F.col("lines") >= size) & (F.col("lines") < 2 * size)).join(ranks, ["doc", "seq"])
-        some = some.withColumn("end", F.col("seq") + F.col("lines") - size).join(ranks.select("doc", F.col("seq").alias("end"), F.col("r1").alias("r2")), ["doc", "end"]).drop("end")
+        # A run of `size` to 2 size - 1 units is named by the ranks of `size` units at its begin and before its end.
+        some = runs.where((F.col("lines") >= size) & (F.col("lines") < 2 * size)).join(ranks.withColumnRenamed("rank", "r1"), PLACE)
+        ends = ranks.select(*TEXT, F.col("seq").alias("end"), F.col("rank").alias("r2"))
+        some = some.withColumn("end", F.col("seq") + F.col("lines") - size).join(ends, [*TEXT, "end"]).select("lines", "r1", "r2", *PLACE)
         named = some if named is None else named.unionByName(some)
         if 2 * size <= longest:
-            pairs = ranks.join(ranks.select("doc", (F.col("seq") - size).alias("seq"), F.col("r1").alias("r2")), ["doc", "seq"])
-            repeated = pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-            ranks = cut(pairs.join(in_order(repeated, "r1", "r2"), ["r1", "r2"]).select("doc", "seq", F.col("rank").alias("r1")))
+            on = ranks.select(*TEXT, (F.col("seq") - size).alias("seq"), F.col("rank").alias("r2"))
+            ranks = cut(classes(ranks.withColumnRenamed("rank", "r1").join(on, PLACE), ["r1", "r2"], later=False))
         size *= 2
     if named is None:
-        return spark.createDataFrame([], "doc_id long, key long, gone array<int>")
-    named = cut(named)
-    start = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc", "seq")
-    lead = named.groupBy("lines", "r1", "r2").agg(F.min(start).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    later = named.join(lead, ["lines", "r1", "r2"]).where(start != F.col("lead"))
-    overlap = F.when(F.col("doc") == F.col("lead.doc"), F.greatest(F.lit(0), F.col("lead.seq") + F.col("lines") - F.col("seq"))).otherwise(0)
-    gone = later.select("doc", F.explode(F.slice("gone", overlap + 1, F.greatest(F.lit(0), F.size("gone") - overlap))).alias("pos"))
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone")).select("doc.doc_id", "doc.key", "gone")
+        return texts.sparkSession.createDataFrame([], f"{PLACE_DDL}, lines int, lead_none int, lead_id long, lead_doc long, lead_seq int")
+    return classes(named, ["lines", "r1", "r2"], later=True)
+
+
+def beyond_first(runs: DataFrame) -> DataFrame:
+    """(none, id, doc, gone): the numbers that later copies of runs cover in each text, without what they share with a first copy in it."""
+    same = (F.col("none") == F.col("lead_none")) & (F.col("id") == F.col("lead_id")) & (F.col("doc") == F.col("lead_doc"))
+    begin = F.when(same, F.greatest("seq", F.col("lead_seq") + F.col("lines"))).otherwise(F.col("seq"))
+    parts = runs.select(*TEXT, begin.alias("begin"), (F.col("seq") + F.col("lines")).alias("end")).where("begin < end")
+    gone = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(p["begin"], p["end"] - 1))))
+    return parts.groupBy(*TEXT).agg(F.collect_set(F.struct("begin", "end")).alias("parts")).select(*TEXT, F.sort_array(gone).alias("gone"))  # a text's runs at most
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(doc_id, key, gone_lines, gone_units, whole): numbers of the lines and units to delete from a text, or whole for a text that equals an earlier one."""
+    texts = texts_of(docs, id_col, text_col)
+    if texts.groupBy(*TEXT).count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(TEXT)  # rows equal in id and text are one text
+    copies = cut(later_texts(texts))
+    first = texts.join(small(copies), TEXT, "left_anti")
+    none = F.lit(None).cast("array<int>")
+    lines = cut(beyond_first(repeated_runs(first.withColumn("gone_lines", none), least, whole_lines=True)))
+    left = first.join(small(lines.withColumnRenamed("gone", "gone_lines"), "gone_lines"), TEXT, "left")
+    parts = beyond_first(repeated_runs(left, least))
+    found = lines.select(*TEXT, F.col("gone").alias("gone_lines"), none.alias("gone_units"), F.lit(False).alias("whole"))
+    found = found.unionByName(parts.select(*TEXT, none.alias("gone_lines"), F.col("gone").alias("gone_units"), F.lit(False).alias("whole")))
+    found = found.unionByName(copies.select(*TEXT, none.alias("gone_lines"), none.alias("gone_units"), F.lit(True).alias("whole")))
+    one = found.groupBy(*TEXT).agg(F.max("gone_lines").alias("gone_lines"), F.max("gone_units").alias("gone_units"), F.max("whole").alias("whole"))  # at most one of each
+    return cut(one.select(F.when(F.col("none") == 0, F.col("id")).alias("doc_id"), F.col("doc").alias("key"), "gone_lines", "gone_units", "whole"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30) -> DataFrame:
+    """(doc_id, key, gone): for every text with units to delete their numbers (from 0, in order), counting units that hold words.
+
+    key is text_key(id, text); rows equal in id and text are one text. Units are compared exactly but for white space
+    at their ends; a run counts with `least` words or more in whole units, so a passage that begins or ends within a
+    unit counts without that unit. Its first copy is the one of the smallest (doc_id, key, place), null ids last. A
+    copy that overlaps the first in one text loses only what lies beyond it.
+    """
+    id_, text = F.col("doc_id").cast("long"), F.col("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(id_col).cast("long"), F.col(text_col)).alias("key"))
+    done = without_repeats(rows.select(id_.alias("doc_id"), text, "key"), least=least)
+    return done.where(F.size("gone") > 0).select("doc_id", "key", "gone").dropDuplicates(["doc_id", "key"])
+
+
+def rest_of(text: str, gone_lines: list[int], gone_units: list[int], whole: bool, least: int) -> tuple[str, int, list[int]]:
+    """What is left of a text without its lines and units gone (or all, if it has `least` words), how many units with words it had, and which went.
+
+    A line that loses all its words goes with its end.
+    """
+    parts = list(numbered(text))
+    n = sum(i >= 0 for _, i, _ in parts)
+    if whole:
+        gone = list(range(n)) if sum(len(x.split()) for _, _, x in parts) >= least else []
+    else:
+        lines, drop = set(gone_lines), set(gone_units)
+        gone = [i for line, i, _ in parts if i >= 0 and (line in lines or i in drop)]
+    if not gone:
+        return text, n, gone
+    out, drop = [], set(gone)
+    line, lost, left = [], False, False
+    for k, (_, i, part) in enumerate(parts):
+        if i in drop:
+            lost = True
+        else:
+            line.append(part)
+            left |= i >= 0
+        if part.endswith(b"\n") or k + 1 == len(parts):
+            if not lost:
+                out += line
+            elif left:
+                out.append(b"".join(line).rstrip(b" \n") + (b"\n" if part.endswith(b"\n") else b""))
+            line, lost, left = [], False, False
+    raw = b"".join(out)
+    if raw.endswith(b"\n") and not text.endswith("\n"):
+        raw = raw[:-1]
+    return raw.decode("utf-8", "surrogatepass"), n, gone
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30, prefix: str = "") -> DataFrame:
-    """docs with the lines that repeated_lines() names taken out of its texts, and with columns n_lines and gone (their names after prefix).
+    """docs with the units that repeated_lines() names taken out of its texts, and with columns n_lines and gone (their names after prefix).
 
-    n_lines counts the lines of the original text (null: 0), gone lists the places of those deleted, from 0. Every row
-    stays, null and empty texts as they are; a text whose lines all go is empty. An empty table gives no rows.
+    n_lines counts the units with words of the original text (null: 0), gone numbers those deleted, from 0. Every row
+    stays, null and empty texts as they are; a text whose units all go is empty. Texts are read whole, at any length.
+    Columns of docs that clash with n_lines and gone are replaced unless prefix tells them apart. An empty table gives
+    no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, least).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("gone").alias("__places"))
-    text, lines = F.col(text_col), F.split(F.col(text_col), "\n")
-    rest = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__places", s["i"])), lambda s: s["x"]), "\n")
-    rows = docs.withColumn("__own", text_key(F.col(id_col).cast("long"), text))
-    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__key")), "left")
-    new = rows.withColumns({text_col: F.when(F.col("__places").isNotNull(), rest).otherwise(text), f"{prefix}n_lines": F.coalesce(F.size(lines), F.lit(0)), f"{prefix}gone": F.coalesce("__places", F.array().cast("array<int>"))})
-    return new.drop("__own", "__doc_id", "__key", "__places")
+    gone = repeats(docs, id_col, text_col, least).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("gone_lines").alias("__lines"), F.col("gone_units").alias("__units"), F.col("whole").alias("__whole"))
+    rows = docs.drop(f"{prefix}n_lines", f"{prefix}gone").withColumn("__own", text_key(F.col(id_col).cast("long"), F.col(text_col)))
+    rows = rows.join(small(gone, "__lines"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__key")), "left").drop("__own", "__doc_id", "__key")
+    kept = rows.drop("__lines", "__units", "__whole").schema
+    schema = StructType([*kept.fields, StructField(f"{prefix}n_lines", IntegerType()), StructField(f"{prefix}gone", ArrayType(IntegerType()))])
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            done = [(None, 0, []) if t is None else rest_of(t, x or [], y or [], bool(w), least) for t, x, y, w in zip(*(batch.column(c).to_pylist() for c in (at, "__lines", "__units", "__whole")), strict=True)]
+            columns = [batch.column(c) for c in kept.names]
+            columns[kept.names.index(text_col)] = pa.array([t for t, _, _ in done], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in done], pa.int32()), pa.array([g for _, _, g in done], pa.list_(pa.int32()))], [*kept.names, f"{prefix}n_lines", f"{prefix}gone"])
+
+    return rows.mapInArrow(delete, schema)
