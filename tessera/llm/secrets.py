@@ -1,8 +1,9 @@
 """Secret scan: three base patterns, and an assignment-aware lexer over the whole text.
 
-The lexer finds operators (=, :=, =>, :), reads the name before each and the literal, name or sum of both after it,
-keeps what names stand for in the order of the text, and scores a literal by the name it ends up in, its own or
-one it was passed to.
+The lexer goes through the text once. It finds names with an operator (=, :=, =>, :) after them, reads the strings
+(with escapes, of one line or of many), bare values, names or sums of these that follow, keeps what names stand for in
+the order of the text, and scores what is assigned by the most sensitive of its target names. Comments are read like
+code, as a secret that is commented out is one still.
 """
 
 from __future__ import annotations
@@ -32,70 +33,115 @@ NAMES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass":
 #: Literals that stand for no secret.
 DUMMY = re.compile(r"(?i)^(?:none|null|true|false|undefined|changeme|example|placeholder|your.*|xxx+|\*+|<.*>|\$\{.*\}|test|todo)$")
 
-OPERATOR = re.compile(r":=|=>|(?<![=!<>:+\-*/])=(?![=>])|:(?![:/=])")
-NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.")
-TERM = re.compile(r"""[\x20\t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z0-9_+/.=~!@#$%^&*-]++))""")
+#: A name from its first character on, what may close it, and an operator.
+TARGET = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)(?:["']\]?|\])?[\x20\t]*+(?::=|=>|=(?![=>])|:(?![:/=]))""")
+SPACE = re.compile(r"[\x20\t]*+(?:[fFrRbBuU]{1,2}(?=[\"'`]))?")
+STRING = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*+){q}") for q in "\"'`"}
+#: A value without quotes; signs of equality may only end it.
+BARE = re.compile(r"[A-Za-z0-9_+/.~!@#$%^&*-]++(?:={1,2}(?=[\s,;)]|\Z))?")
+CHAINED = re.compile(r"[\x20\t]*+=(?![=>])")
 PLUS = re.compile(r"[\x20\t]*+\+(?=[\x20\t\"'])")
+LOWER, UPPER, DIGITS = (frozenset(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
-def name_before(text: str, end: int) -> str:
-    """The name, quoted or not, that ends before an operator."""
-    while end > 0 and text[end - 1] in " \t":
-        end -= 1
-    if end > 0 and text[end - 1] in "\"']":
-        end -= 1
-        if end > 0 and text[end - 1] in "\"'":
-            end -= 1
-    start = end
-    while start > 0 and text[start - 1] in NAME_CHARS:
-        start -= 1
-    return text[start:end].strip("-.")
-
-
 def sensitivity(name: str) -> float:
     parts = [p.lower() for p in PARTS.findall(name)]
     return max([sum(NAMES.get(p, 0.0) for p in parts), NAMES.get("".join(parts), 0.0)])
 
 
-def strength(literal: str) -> float:
-    """From 0 to 1: bits of a literal by its own character frequencies, full at 40, with a bonus for mixed classes."""
-    if len(literal) < 6 or DUMMY.match(literal) or " " in literal:
-        return 0.0
-    counts = Counter(literal)
-    bits = -sum(n * math.log2(n / len(literal)) for n in counts.values())
-    classes = sum(bool(re.search(c, literal)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 40.0) * (0.6 + 0.2 * min(2, classes - 1))
+class Value:
+    """What a name stands for: its own literals' spans, the values it takes over, and the characters of all together."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+        self.counts: Counter = Counter()
+        self.size, self.marked, self.dummy = 0, False, True
+
+    def literal(self, text: str, a: int, b: int) -> None:
+        self.spans.append((a, b))
+        self.counts.update(text[a:b])
+        self.size += b - a
+        self.dummy = self.dummy and bool(DUMMY.match(text, a, b))
+
+    def take(self, other: Value) -> None:
+        self.parts.append(other)
+        self.counts.update(other.counts)
+        self.size += other.size
+        self.dummy = self.dummy and other.dummy
+
+    def strength(self) -> float:
+        """From 0 to 1: bits by the frequencies of its own characters, full at 40, with a bonus for mixed classes."""
+        if self.size < 6 or self.dummy or self.counts[" "]:
+            return 0.0
+        bits = -sum(n * math.log2(n / self.size) for n in self.counts.values())
+        classes = len({"a" if c in LOWER else "A" if c in UPPER else "0" if c in DIGITS else "-" for c in self.counts})
+        return min(1.0, bits / 40.0) * (0.6 + 0.2 * min(2, classes - 1))
+
+    def mark(self, found: set[tuple[int, int]]) -> None:
+        """Adds all spans that it stands for; a value is gone through once, however often it is passed on."""
+        stack = [self]
+        while stack:
+            value = stack.pop()
+            if not value.marked:
+                value.marked = True
+                found.update(s for s in value.spans if s[0] < s[1])
+                stack += value.parts
 
 
 def pairs(text: str, least: float = 0.5) -> list[tuple[int, int]]:
-    """Spans of literals whose target name and own strength score at least `least`, by place, without repeats."""
-    known: dict[str, list[tuple[int, int]]] = {}  # the literals that a name stands for
+    """Spans of literals whose target name and strength score at least `least`, by place, without repeats."""
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
-    for op in OPERATOR.finditer(text):
-        name = name_before(text, op.start())
-        if not name:
-            continue
-        at, spans = op.end(), []
-        while m := TERM.match(text, at):
-            if m[3] is None:
-                spans.append(m.span(1) if m[1] is not None else m.span(2))
-            elif m[3] in known:
-                spans += known[m[3]]
+    unclosed = dict.fromkeys(STRING, -1)  # up to where a quote is known to have no partner in its line
+    unclosed_many = dict.fromkeys(("\"\"\"", "'''"), False)
+    at = 0
+    while m := TARGET.search(text, at):
+        targets, value, end = [m[1].strip("-.")], Value(), m.end()
+        at = end
+        while True:
+            begin = SPACE.match(text, end).end()
+            quote, many = text[begin : begin + 1], text[begin : begin + 3]
+            inside = None
+            if many in unclosed_many and not unclosed_many[many]:
+                close = text.find(many, begin + 3)
+                unclosed_many[many] = close < 0
+                inside = (begin + 3, close, close + 3) if close >= 0 else None
+            elif quote in STRING and begin >= unclosed[quote]:
+                if s := STRING[quote].match(text, begin):
+                    inside = (*s.span(1), s.end())
+                else:
+                    line = text.find("\n", begin)
+                    unclosed[quote] = len(text) if line < 0 else line
+            if inside:
+                value.literal(text, *inside[:2])
+                end, at = inside[2], max(at, inside[0])  # what a string holds is looked through as well
+            elif b := BARE.match(text, begin):
+                end = at = b.end()
+                if chain := CHAINED.match(text, end):
+                    targets.append(b[0].strip("-."))
+                    end = at = chain.end()
+                    continue
+                if text[end : end + 1] == "(":  # a call is no literal
+                    break
+                if b[0] in known:
+                    value.take(known[b[0]])
+                else:
+                    value.literal(text, *b.span())
             else:
-                spans.append(m.span(3))
-            if not (plus := PLUS.match(text, m.end())):
                 break
-            at = plus.end()
-        if not spans:
+            if not (plus := PLUS.match(text, end)):
+                break
+            end = plus.end()
+        if not value.spans and not value.parts:
             continue
-        spans = list(dict.fromkeys(spans))
-        known[name] = spans
-        rate = min(1.0, sensitivity(name))
-        if rate > 0:
-            whole = "".join(text[a:b] for a, b in spans)
-            if rate * strength(whole) >= least:
-                found.update(s for s in spans if s[0] < s[1])
+        for name in targets:
+            if name:
+                known[name] = value
+        rate = min(1.0, max(map(sensitivity, targets)))
+        if rate > 0 and rate * value.strength() >= least:
+            value.mark(found)
     return sorted(found)
 
 
@@ -118,8 +164,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """(doc_id, n_assign, n_access, n_hex, n_pair, base_sha256, spans) for every row of docs.
 
     spans lists base matches and the lexer's literals (kind pair) in code points, ends exclusive; base_sha256 is over
-    the base matches alone. Null and empty texts have no spans. Null ids and repeated rows stay rows; other columns
-    aren't read. Texts of any length are read whole, each once, in time linear in their length.
+    the base matches alone. Null and empty texts have no spans. Null ids and repeated rows stay rows, and equal texts get
+    equal spans; other columns, of any name, aren't read. Texts of any length are read whole, each once, in time linear
+    in their length. An empty table gives no rows.
     """
 
     def make():
