@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, spread
+from tessera.llm.common import cut, mix64, spread
 
-#: Places in the weight table: 2^BITS single-precision numbers, 4 MB, whatever the corpus.
+#: Places in the weight table: 2^BITS single-precision numbers, 4 MB, whatever the corpus; only those that L1 leaves are sent.
 BITS = 20
-#: Labelled rows to fit on at most: those of the smallest hash of their id.
-TRAIN_ROWS = 8_000
+#: Labelled ids to fit on at most, one text each: those of the smallest hash of their id. And features of these texts together (160 MB).
+TRAIN_ROWS, TRAIN_FEATURES = 8_000, 40_000_000
 #: Words a task remembers hashes of before it starts afresh.
 MEMORY = 200_000
 
@@ -80,6 +80,16 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """What is broadcast: places and values of the weights that aren't zero."""
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        return at, self.weights[at], self.bias
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray, float]) -> None:
+        at, values, self.bias = state
+        self.weights = np.zeros(2**BITS, np.float32)
+        self.weights[at] = values
+
     def score(self, text: str | None, seen: WordHash) -> float:
         at = text_features(text, seen)
         margin = float(self.weights[at].sum(dtype=np.float64)) * value(len(at)) + self.bias
@@ -87,8 +97,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Model:
-    """Fits on at most `most` labelled rows whose crc32(id as text) mod 3 isn't 1, those of the smallest hash of their id.
+    """Fits on at most `most` labelled ids whose crc32(id as text) mod 3 isn't 1, those of the smallest hash of their id.
 
+    An id counts with one text, however many rows it has: that of the smallest hash; of its labels the largest counts.
+    If the chosen texts have more than TRAIN_FEATURES features together, those of the largest hashes of ids are left out.
     The labels chosen (at most `most` pairs of numbers) are broadcast to a scan of docs, which keeps their rows only;
     what reaches the driver is hashed features of these, in an order that depends on ids alone. Labels that are null
     or not 0 or 1, and rows without id, don't count. Without labels the model is empty and every score is 0.5.
@@ -98,6 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(key.alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"))).alias("one")).select("doc_id", "label", "one.text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
@@ -107,7 +120,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "label", "at"])
 
-    table = rows.select("doc_id", "text", "label").mapInArrow(hashed, "doc_id long, label int, at array<int>").toArrow()
+    found = cut(rows.select("doc_id", "text", "label").mapInArrow(hashed, "doc_id long, label int, at array<int>"))
+    sizes = found.select("doc_id", F.size("at").alias("n")).toArrow()  # `most` rows at most
+    order = np.lexsort((sizes["doc_id"].to_numpy(), mix64(sizes["doc_id"].to_numpy().astype(np.uint64))))
+    fit = sizes["doc_id"].to_numpy()[order][np.cumsum(sizes["n"].to_numpy()[order].astype(np.int64)) <= TRAIN_FEATURES]
+    if len(fit) < len(order):
+        found = found.where(F.col("doc_id").isin(fit.tolist()))
+    table = found.toArrow()
     ids, label, at = table["doc_id"].to_numpy(), table["label"].to_numpy(), table["at"]
     order = np.lexsort((ids, mix64(ids.astype(np.uint64)))) if len(ids) else []
     lists = at.combine_chunks()
@@ -118,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
     """Column `out` (0 to 1) beside the id as doc_id (or beside the columns in keep) for every row of docs.
 
-    The score depends on the text alone. Null and empty texts get the model's bias alone. Repeated rows stay rows.
+    The score depends on the whole text alone, of any length. Null and empty texts get the model's bias alone. Repeated
+    rows stay rows, null ids too. A column of docs that is named like `out` is replaced. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(c) for c in keep]
