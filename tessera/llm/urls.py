@@ -62,14 +62,18 @@ def probability(weights: np.ndarray, at: np.ndarray) -> float:
     return float(1.0 / (1.0 + np.exp(-(weights[-1] + weights[at].sum() / max(1, len(at)) ** 0.5))))
 
 
+def parts_of(url: str) -> tuple[str, str]:
+    """Host and path of a labelled url, as url_parts() has them."""
+    rest = url.split("://", 1)[1]
+    cut = min([len(rest), *(rest.index(c) for c in "/?#" if c in rest)])
+    return rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+
+
 def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, rate: float = 1.0, decay: float = 1e-4) -> np.ndarray:
     """Weights (the last one is the bias) by gradient descent over the labelled table, which is small by contract."""
     rows = []
     for url, label in labelled:
-        rest = url.split("://", 1)[1]
-        cut = min([len(rest), *(rest.index(c) for c in "/?#" if c in rest)])
-        path = rest[cut:].split("?")[0].split("#")[0]
-        rows.append((features(rest[:cut].lower(), path), label))
+        rows.append((features(*parts_of(url)), label))
     weights = np.zeros(2**BITS + 1)
     for _ in range(rounds):
         step = np.zeros_like(weights)
@@ -81,12 +85,22 @@ def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, r
     return weights
 
 
+def held_out(labelled: tuple[tuple[str, int], ...] = LABELLED, folds: int = 8) -> list[tuple[float, int]]:
+    """(score, label) of each labelled url by a model that was trained without its fold."""
+    out = []
+    for fold in range(folds):
+        weights = train(tuple(row for i, row in enumerate(labelled) if i % folds != fold))
+        out += [(probability(weights, features(*parts_of(url))), label) for i, (url, label) in enumerate(labelled) if i % folds == fold]
+    return out
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, weights: np.ndarray | None = None, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of pages.
 
     The longest fitting rule decides; where none fits, the model does: block if its score is at least the
     threshold. score is the model's for every row. A url that is null, empty or without :// has empty host and
-    path and gets the model's verdict on them. Repeated rows and null ids stay rows; other columns aren't read.
+    path and gets the model's verdict on them. Repeated rows and null ids stay rows; other columns, of any name, aren't
+    read. Urls of any length are read whole. Of rules of equal length the later one wins. An empty table gives no rows.
     """
     host, path = url_parts(F.col("url"))
     rows = spread(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))).select("page_id", host.alias("host"), path.alias("path"))
