@@ -7,14 +7,13 @@ the columns of docs. Stages hand rows on as Parquet in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import copies, line_dedup, mixing, pieces, toxicity
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +45,10 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be not at all. Rows that repeat an id are taken equally often."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """Each row as often as the mix takes it, which may be not at all. Rows that are equal in all columns are written as often as all of them are taken."""
+    taken = mixing.mix(docs, key=copies.row_key(docs)).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__row")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    rows = docs.withColumn("__key", copies.row_key(docs)).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))).dropDuplicates(["__id", "__row"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
