@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """The distance that orders results: cosine, l2 or (negative) inner_product."""
+    """The distance that orders results: cosine, l2 or (negative) inner_product. Null where it isn't defined: for zero vectors by cosine, nulls and other lengths."""
     if metric == "cosine":
-        return 1.0 - dot(a, b) / (norm(a) * norm(b))
+        return 1.0 - F.try_divide(dot(a, b), norm(a) * norm(b))
     if metric == "l2":
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
     if metric == "inner_product":

@@ -61,19 +61,29 @@ class Filter:
         return df.where(self.column(df.schema))
 
 
-def json_contains_column(c: Column, value: dict, path: str = "$") -> Column:
-    """Containment of a JSON object: every key, however deep, has the given value; list items must all occur."""
-    found = []
-    for key, v in value.items():
-        at = f"{path}.{key}"
-        if isinstance(v, dict):
-            found.append(json_contains_column(c, v, at))
-        elif isinstance(v, list):
-            items = F.from_json(F.get_json_object(c, at), "array<string>")
-            found += [F.coalesce(F.array_contains(items, str(x)), F.lit(False)) for x in v]
-        else:
-            found.append(F.get_json_object(c, at) == (str(v).lower() if isinstance(v, bool) else str(v)))
-    return F.coalesce(reduce(lambda a, b: a & b, found, F.lit(True)), F.lit(False))
+def json_contains_column(c: Column, value: Any) -> Column:
+    """Containment of JSON: every key, however deep, has the given value; items of lists must all be contained in some item.
+
+    Numbers are compared as numbers, null is a value, and keys may hold any character. False for text that is no JSON.
+    """
+    return F.coalesce(variant_contains(F.try_parse_json(c), value), F.lit(False))
+
+
+def variant_contains(v: Column, value: Any) -> Column:
+    kind = F.schema_of_variant(v)
+    if isinstance(value, dict):
+        quote = lambda key: f"$['{key}']" if "'" not in key else f'$["{key}"]'
+        return reduce(lambda a, b: a & b, (F.coalesce(variant_contains(F.try_variant_get(v, quote(k), "variant"), x), F.lit(False)) for k, x in value.items()), kind.startswith("OBJECT"))
+    if isinstance(value, list):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return reduce(lambda a, b: a & b, (F.coalesce(F.exists(items, (lambda y: lambda i: F.coalesce(variant_contains(i, y), F.lit(False)))(x)), F.lit(False)) for x in value), kind.startswith("ARRAY"))
+    if value is None:
+        return F.is_variant_null(v)
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == value)
+    if isinstance(value, (int, float)):
+        return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(v, "$", "double") == float(value))
+    return (kind == "STRING") & (F.try_variant_get(v, "$", "string") == str(value))
 
 
 def checked(field: str, value: Any, kinds: tuple[type, ...]) -> Any:
@@ -101,7 +111,7 @@ def in_values(field: str, values: Sequence[Any]) -> Filter:
 
 
 def between(field: str, low: Any, high: Any) -> Filter:
-    if not isinstance(low, str) and low > high:
+    if isinstance(low, str) != isinstance(high, str) or low > high:
         raise ValueError(f"{field}: {low!r} is above {high!r}")
     return Filter("between", field, (checked(field, low, ORDERED), checked(field, high, ORDERED)))
 

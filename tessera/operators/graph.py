@@ -63,6 +63,11 @@ def entities_in(mentions: DataFrame, nodes: DataFrame, documents: Column) -> Dat
     return mentions.where(documents).select(F.col("entity_id").alias("id")).distinct().join(nodes, "id")
 
 
+def entities_by_document(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct entities of every document: (document_id, id and the node's columns)."""
+    return mentions.select("document_id", F.col("entity_id").alias("id")).distinct().join(nodes, "id")
+
+
 def co_mentioned(mentions: DataFrame, start: str, most: int = 100) -> DataFrame:
     """Entities in the same documents as the given one, by the number of distinct chunks. Only the documents of the start reach the join."""
     here = mentions.where(F.col("entity_id") == start).select("document_id").distinct()

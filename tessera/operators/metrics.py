@@ -62,3 +62,16 @@ def keyword_relevance(text: Column, keywords: list[str]) -> Column:
         n = occurrences(low, word)
         total = total + F.when(n > 0, 1.0 / len(keywords)).otherwise(0.0) + F.when(n > 1, 0.05 * F.least(n - 1, F.lit(2))).otherwise(0.0) + F.when(head.contains(word), 0.05).otherwise(0.0)
     return F.least(total, F.lit(1.0))
+
+
+def averages(per_query: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of queries and the mean of each metric over them."""
+    return per_query.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in columns])
+
+
+def order_check(ranked: DataFrame, score_col: str, most: int = 1000) -> DataFrame:
+    """(query_id, n, ranks_valid, sorted) of result pages with columns query_id, rank and a score: ranks are 1 to n, each once, and scores never rise."""
+    before = F.lag(score_col).over(Window.partitionBy("query_id").orderBy("rank"))
+    rows = ranked.where(F.col("rank") <= most).withColumn("__falls", F.coalesce(F.col(score_col) <= before, F.lit(True)))
+    valid = (F.min("rank") == 1) & (F.max("rank") == F.count("*")) & (F.count_distinct("rank") == F.count("*"))
+    return rows.groupBy("query_id").agg(F.count("*").alias("n"), valid.alias("ranks_valid"), F.bool_and("__falls").alias("sorted"))

@@ -65,10 +65,10 @@ def vector_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_search(t(spark, d, "embeddings"), first_vector(spark, d), where=F.col("label") == 3).select("vec_id", "label", r8("similarity").alias("similarity"), "rank")
 
 
-@query(f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 8), s AS (SELECT q.query_id, e.vec_id, {SIMILAR} AS c FROM embeddings e, q) SELECT query_id, vec_id, round(1 - c, 8) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, e.vec_id, {SIMILAR} AS c FROM embeddings e, q) SELECT query_id, vec_id, round(1 - c, 8) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
 def vector_batch(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
-    asked = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return search.batch_search(e, asked).select("query_id", "vec_id", r8("distance").alias("distance"), "rank")
 
 
@@ -303,9 +303,9 @@ def graph_mentions(spark: SparkSession, d: str) -> DataFrame:
     return graph.entity_mentions(gt.mentions(spark, d), "P1").drop("line_key")
 
 
-@query(f"WITH {gt.GRAPH_SQL} SELECT DISTINCT id, text, entity_type FROM mentions JOIN nodes ON id = entity_id WHERE document_id BETWEEN 1 AND 50")
+@query(f"WITH {gt.GRAPH_SQL} SELECT DISTINCT document_id, id, text, entity_type FROM mentions JOIN nodes ON id = entity_id")
 def graph_document_entities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entities_in(gt.mentions(spark, d), gt.nodes(spark, d), F.col("document_id").between(1, 50)).select("id", "text", "entity_type")
+    return graph.entities_by_document(gt.mentions(spark, d), gt.nodes(spark, d)).select("document_id", "id", "text", "entity_type")
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT b.entity_id, count(DISTINCT (b.document_id, b.chunk_id)) AS co_mentions FROM (SELECT DISTINCT document_id FROM mentions WHERE entity_id = 'P1') a JOIN mentions b ON a.document_id = b.document_id WHERE b.entity_id <> 'P1' GROUP BY b.entity_id ORDER BY co_mentions DESC, b.entity_id LIMIT 100")
@@ -424,6 +424,18 @@ def upsert_parts(spark: SparkSession, d: str) -> DataFrame:
     return sinks.upsert(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0").withColumn("p_size", F.col("p_size") + 100), "p_partkey")
 
 
+@query("WITH o AS (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) SELECT (SELECT count(*) FROM n WHERE p_partkey NOT IN (SELECT p_partkey FROM o)) AS inserted, (SELECT count(*) FROM n WHERE p_partkey IN (SELECT p_partkey FROM o)) AS updated, (SELECT count(*) FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM n)) AS kept, CAST(0 AS BIGINT) AS repeated")
+def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "part").select("p_partkey")
+    return sinks.upsert_stats(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), "p_partkey")
+
+
+@query("SELECT source, count(*) AS documents, count(*) FILTER (text IS NULL OR trim(text) = '') AS empty, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY source")
+def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
+    empty = F.col("text").isNull() | (F.trim("text") == "")
+    return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(empty).alias("empty"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
 # Metrics: documents of each language ranked by length, relevant where labelled of quality.
 RANKED = "r AS (SELECT lang AS query_id, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, coalesce(quality, 0) = 1 AS relevant, n_chars FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT query_id, count(*) FILTER (relevant) AS n FROM r GROUP BY query_id)"
 
@@ -445,6 +457,19 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", *[r8(c).alias(c) for c in ("ndcg", "mrr", "precision", "map", "composite")])
 
 
+@query(f"WITH {RANKED} SELECT count(*) AS queries, round(avg(precision), 8) AS precision FROM (SELECT query_id, sum(CASE WHEN relevant AND rank <= 10 THEN 1 ELSE 0 END) / CAST(10 AS DOUBLE) AS precision FROM r GROUP BY query_id)")
+def metric_averages(spark: SparkSession, d: str) -> DataFrame:
+    r = ranked_docs(spark, d)
+    m = metrics.ranking_metrics(r, r.groupBy("query_id").agg(F.count_if("relevant").alias("n_relevant")))
+    return metrics.averages(m, ["precision"]).select("queries", r8("precision").alias("precision"))
+
+
+@query("WITH r AS (SELECT lang AS query_id, n_chars AS score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents), l AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM r WHERE rank <= 1000) SELECT query_id, count(*) AS n, min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AS ranks_valid, bool_and(before IS NULL OR score <= before) AS sorted FROM l GROUP BY query_id")
+def rank_order(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    return metrics.order_check(t(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("n_chars").alias("score"), rank.alias("rank")), "score")
+
+
 @query(f"WITH {RANKED}, a AS (SELECT query_id, doc_id, rank AS x, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS y FROM r) SELECT query_id, round(1 - 6 * CAST(sum((x - y) * (x - y)) AS DOUBLE) / (count(*) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 8) AS correlation FROM a GROUP BY query_id")
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     r = ranked_docs(spark, d)

@@ -30,3 +30,10 @@ def checked_vectors(rows: DataFrame, dim: int, vec_col: str = "embedding") -> tu
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
+
+
+def upsert_stats(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """One row with what an upsert does: rows inserted, updated and kept, and rows of new that repeat a key."""
+    both = new.groupBy(key).agg(F.count("*").alias("__new")).join(old.groupBy(key).agg(F.count("*").alias("__old")), key, "full")
+    is_new, is_old = F.col("__new").isNotNull(), F.col("__old").isNotNull()
+    return both.agg(F.count_if(is_new & ~is_old).alias("inserted"), F.count_if(is_new & is_old).alias("updated"), F.count_if(~is_new).alias("kept"), F.coalesce(F.sum(F.col("__new") - 1), F.lit(0)).alias("repeated"))

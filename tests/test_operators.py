@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boost, documents, filters, fusion, respond
+from tessera.operators import boost, documents, filters, fusion, respond, search
 from tessera.streaming import state
 
 
@@ -57,3 +57,29 @@ def test_limiter_and_breaker():
     more, _ = state.limited([62.0], state.Limits(2, 100, 100), held)
     assert more == [True]
     assert state.broken([0, 1, 2, 70, 71], [True, True, False, False, False], 2, 60, 2) == ["closed", "open", "open", "half_open", "closed"]
+
+
+def test_vectors_without_distance_are_not_found(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0]), (5, None), (6, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in search.vector_search(df, [1.0, 0.0]).orderBy("rank").collect()] == [1, 6]
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search.batch_search(df, asked).collect()}
+    assert got == {(1, 1): 1, (1, 2): 6, (6, 1): 6, (6, 2): 1, (4, 1): 4}
+
+
+def test_queries_without_terms(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for f in (search.text_search, search.phrase_search, search.bm25_search):
+        assert f(df, " ,!").count() == 0
+
+
+def test_json_containment(spark):
+    rows = [(1, '{"k": null, "n": 1.0, "a": [{"x": 1, "y": 2}, 3], "d.e": {"q\'s": "v"}}'), (2, '{"k": "null"}'), (3, "no json"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, j string")
+    for value in ({"k": None}, {"n": 1}, {"a": [{"x": 1}]}, {"a": [3]}, {"d.e": {"q's": "v"}}, {"a": []}):
+        assert [r.id for r in filters.jsonb_contains("j", value).apply(df).collect()] == [1], value
+    for value in ({"n": "1.0"}, {"a": [{"x": 2}]}, {"n": True}, {"missing": None}):
+        assert filters.jsonb_contains("j", value).apply(df).count() == 0, value
+    with pytest.raises(ValueError):
+        filters.between("s", "b", "a")
