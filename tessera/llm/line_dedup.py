@@ -2,7 +2,10 @@
 
 It is done twice: over whole lines, and then, over what that leaves, over lines cut further at sentence ends, so that
 passages within lines are found too; the first turn spares the second most positions. Ids are ranks of these units.
-Only units that occur twice in the corpus can belong to a repeated run; any other unit ends a run. Rank k orders
+In each turn positions that no repeated run can hold are passed over first: each unit opens the shortest run from it on
+with enough words, and one whose opening run has a hash that occurs once in the corpus opens no repeated run. The
+hashes are counted with partial sums, so a hot one is no one task's. All that follows is exact and over what is left.
+Only units that occur twice there can belong to a repeated run; any other unit ends a run. Rank k orders
 positions by their first 2^k units: positions are sorted by pairs (rank k - 1 here, rank k - 1 at 2^(k-1) units on),
 each class of equal pairs is an interval of the suffix array whose common prefix has 2^k units or more, and positions
 whose prefix is unique drop out. A run of L units is named by two overlapping ranks, so that sorting the runs by their
@@ -73,6 +76,43 @@ def windows(text: np.ndarray, seq: np.ndarray, words: np.ndarray, least: int) ->
     return code // (len(seq) + 1), code % (len(seq) + 1)
 
 
+#: Base of the hashes of opening runs and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def openings(text: np.ndarray, seq: np.ndarray, words: np.ndarray, digest: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash): the units from which on a text has `least` words, and a hash of the shortest such run, which equal runs share."""
+    _, end, total = stretches(text, seq, words)
+    upto = np.searchsorted(total, total[:-1] + least)
+    at = np.flatnonzero(upto <= end)
+    power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(text), b, np.uint64))) for b in (BASE, INVERSE))
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest.view(np.uint64) * power[:-1])])
+    return at, ((summed[upto[at]] - summed[at]) * inverse[at]).view(np.int64)
+
+
+def reached(text: np.ndarray, seq: np.ndarray, words: np.ndarray, opening: np.ndarray, least: int) -> np.ndarray:
+    """Whether each unit is in one of the shortest runs, from a unit on or up to a unit, that begin at the places `opening`."""
+    _, end, total = stretches(text, seq, words)
+    upto = np.searchsorted(total, total + least)
+    last = np.minimum(np.maximum(upto[opening], upto[opening + 1] - 1), end[opening])
+    step = np.zeros(len(text) + 1, np.int64)
+    np.add.at(step, opening, 1)
+    np.add.at(step, last, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def longest_over(first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The size of the longest of the runs (first, size) over each of n units, 0 without one."""
+    most = np.zeros(n, np.int32)
+    for s in np.unique(size):
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, first[size == s], 1)
+        np.add.at(step, first[size == s] + s, -1)
+        most[np.cumsum(step[:-1]) > 0] = s
+    return most
+
+
 def text_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_.cast("string"), text)
 
@@ -149,6 +189,42 @@ def later_texts(texts: DataFrame) -> DataFrame:
     return classes(once, ["t1", "t2"], later=True).select(*TEXT)
 
 
+def packed_units(texts: DataFrame, least: int, whole_lines: bool) -> DataFrame:
+    """(none, id, doc, digests, words, seqs) for every text in which `least` words are left: 16, 4 and 4 bytes for each unit."""
+
+    def held(text: str, gone: list[int] | None) -> tuple[list[bytes], range | list[int]]:
+        if gone:
+            drop = set(gone)
+            left = [(i, x.strip()) for line, i, x in numbered(text) if i >= 0 and line not in drop]
+            return [x for _, x in left], [i for i, _ in left]
+        parts = [x for x in map(bytes.strip, text.encode("utf-8", "surrogatepass").split(b"\n") if whole_lines else units(text)) if x]
+        return parts, range(len(parts))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, kept = [[], [], []], []
+            for row, (text, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone_lines").to_pylist(), strict=True)):
+                parts, numbers = held(text, gone)
+                words = np.array([len(x.split()) for x in parts], np.int32)
+                if words.sum() >= least:
+                    kept.append(row)
+                    for column, value in zip(columns, (b"".join(map(xxhash.xxh3_128_digest, parts)), words.tobytes(), np.array(numbers, np.int32).tobytes()), strict=True):
+                        column.append(value)
+            if kept:
+                places = [pa.array(batch.column(c).to_numpy()[kept]) for c in TEXT]
+                yield pa.RecordBatch.from_arrays([*places, *(pa.array(c, pa.binary()) for c in columns)], [*TEXT, "digests", "words", "seqs"])
+
+    return spread(texts).mapInArrow(pack, "none int, id long, doc long, digests binary, words binary, seqs binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, row, number, words, digest): where each row of packed_units() begins, and for every unit its row, number, words and digest, in two columns."""
+    words, seqs, digests = (batch.column(c).to_pylist() for c in ("words", "seqs", "digests"))
+    sizes = np.array([len(w) // 4 for w in words])
+    each = np.repeat(np.arange(len(words)), sizes)
+    return np.cumsum(sizes) - sizes, each, np.frombuffer(b"".join(seqs), np.int32), np.frombuffer(b"".join(words), np.int32), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
 def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False) -> DataFrame:
     """(none, id, doc, seq, lines, lead_none, lead_id, lead_doc, lead_seq): each later copy of a run and its first copy.
 
@@ -156,30 +232,37 @@ def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False)
     those that hold no words. none, id and doc tell the text: whether its id is null, the id, and text_key(id, text);
     texts has each once. The units of lines in its column gone_lines, if it isn't null, are passed over.
     """
+    packed = cut(packed_units(texts, least, whole_lines))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, each, seq, words, digest = unpacked(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(openings(each, seq, words, digest[:, 0], least)[1])], ["run"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, words, numbers = [], [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone_lines").to_pylist(), strict=True):
-                n = len(words)
-                if whole_lines:
-                    parts = enumerate(x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if x.split())
-                elif gone:
-                    drop = set(gone)
-                    parts = ((i, x) for line, i, x in numbered(text) if i >= 0 and line not in drop)
-                else:
-                    parts = enumerate(x for x in units(text) if x.split())
-                for i, part in parts:
-                    digests.append(xxhash.xxh3_128_digest(part.strip()))
-                    words.append(len(part.split()))
-                    numbers.append(i)
-                sizes.append(len(words) - n)
-            each = np.repeat(np.arange(len(sizes)), sizes)
-            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            places = [pa.array(batch.column(c).to_numpy()[each]) for c in TEXT]
-            yield pa.RecordBatch.from_arrays([*places, pa.array(numbers, pa.int32()), *(pa.array(both[:, i].copy()) for i in (0, 1)), pa.array(words, pa.int32())], [*PLACE, "h1", "h2", "words"])
-
-    every = spread(texts).mapInArrow(hashed, f"{PLACE_DDL}, h1 long, h2 long, words int")
+            if batch.num_rows:
+                begin, each, seq, words, digest = unpacked(batch)
+                at, run = openings(each, seq, words, digest[:, 0], least)
+                yield pa.RecordBatch.from_arrays([*placed(batch, each[at], (at - begin[each[at]]).astype(np.int32)), pa.array(run)], [*TEXT, "nth", "run"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                begin, each, seq, words, digest = unpacked(batch)
+                held = batch.column("opening")
+                opening = held.flatten().to_numpy() + np.repeat(begin, np.diff(held.offsets.to_numpy()))
+                keep = reached(each, seq, words, opening, least)
+                yield pa.RecordBatch.from_arrays([*placed(batch, each[keep], seq[keep]), *(pa.array(digest[keep, i]) for i in (0, 1)), pa.array(words[keep])], [*PLACE, "h1", "h2", "words"])
+
+    def placed(batch: pa.RecordBatch, each: np.ndarray, seq: np.ndarray) -> list[pa.Array]:
+        return [*(pa.array(batch.column(c).to_numpy()[each]) for c in TEXT), pa.array(seq)]
+
+    twice = cut(packed.mapInArrow(hashes, "run long").groupBy("run").count().where("count > 1").select("run"))
+    opening = packed.mapInArrow(opened, "none int, id long, doc long, nth int, run long").join(small(twice), "run", "left_semi")
+    opening = cut(opening.groupBy(*TEXT).agg(F.collect_list("nth").alias("opening")))  # a text's units at most
+    every = packed.join(small(opening, "opening"), TEXT).mapInArrow(left, f"{PLACE_DDL}, h1 long, h2 long, words int")
     seen = classes(every, ["h1", "h2"], later=False, carry="words")
     held = cut(seen.groupBy(*TEXT).agg(F.sort_array(F.collect_list(F.struct("seq", "words", "rank"))).alias("at")))
 
@@ -188,9 +271,6 @@ def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False)
         each = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
         return (each, *(at.flatten().field(c).to_numpy() for c in ("seq", "words", "rank")))
 
-    def placed(batch: pa.RecordBatch, each: np.ndarray, seq: np.ndarray) -> list[pa.Array]:
-        return [*(pa.array(batch.column(c).to_numpy()[each]) for c in TEXT), pa.array(seq)]
-
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -199,27 +279,28 @@ def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False)
                 yield pa.RecordBatch.from_arrays([*placed(batch, each[first], seq[first]), pa.array(size.astype(np.int32))], [*PLACE, "lines"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ranks of the units in stretches of `least` words or more; no others belong to a run."""
+        """Ranks of the units in runs, with the size of the longest; no others are asked for."""
         for batch in batches:
             if batch.num_rows:
                 each, seq, words, rank = units_held(batch)
-                begin, end, total = stretches(each, seq, words)
-                keep = total[end] - total[begin] >= least
-                yield pa.RecordBatch.from_arrays([*placed(batch, each[keep], seq[keep]), pa.array(rank[keep])], [*PLACE, "rank"])
+                most = longest_over(*windows(each, seq, words, least), len(seq))
+                keep = most > 0
+                yield pa.RecordBatch.from_arrays([*placed(batch, each[keep], seq[keep]), pa.array(rank[keep]), pa.array(most[keep])], [*PLACE, "rank", "most"])
 
     runs = cut(held.mapInArrow(cover, f"{PLACE_DDL}, lines int"))
-    ranks = cut(held.mapInArrow(possible, f"{PLACE_DDL}, rank long"))
+    ranks = cut(held.mapInArrow(possible, f"{PLACE_DDL}, rank long, most int"))
     longest = runs.agg(F.max("lines")).first()[0] or 0
     named, size = None, 1
     while size <= longest:
         # A run of `size` to 2 size - 1 units is named by the ranks of `size` units at its begin and before its end.
-        some = runs.where((F.col("lines") >= size) & (F.col("lines") < 2 * size)).join(ranks.withColumnRenamed("rank", "r1"), PLACE)
+        some = runs.where((F.col("lines") >= size) & (F.col("lines") < 2 * size)).join(ranks.select(*PLACE, F.col("rank").alias("r1")), PLACE)
         ends = ranks.select(*TEXT, F.col("seq").alias("end"), F.col("rank").alias("r2"))
         some = some.withColumn("end", F.col("seq") + F.col("lines") - size).join(ends, [*TEXT, "end"]).select("lines", "r1", "r2", *PLACE)
         named = some if named is None else named.unionByName(some)
         if 2 * size <= longest:
-            on = ranks.select(*TEXT, (F.col("seq") - size).alias("seq"), F.col("rank").alias("r2"))
-            ranks = cut(classes(ranks.withColumnRenamed("rank", "r1").join(on, PLACE), ["r1", "r2"], later=False))
+            longer = ranks.where(F.col("most") >= 2 * size)
+            on = longer.select(*TEXT, (F.col("seq") - size).alias("seq"), F.col("rank").alias("r2"))
+            ranks = cut(classes(longer.withColumnRenamed("rank", "r1").join(on, PLACE), ["r1", "r2"], later=False, carry="most"))
         size *= 2
     if named is None:
         return texts.sparkSession.createDataFrame([], f"{PLACE_DDL}, lines int, lead_none int, lead_id long, lead_doc long, lead_seq int")

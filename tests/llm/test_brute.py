@@ -263,6 +263,27 @@ def plain_dedup(texts, least=30):
     return out
 
 
+def test_opening_runs_miss_no_repeated_run():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        each, seq = np.sort(rng.integers(0, 4, 60)), np.cumsum(1 + (rng.random(60) < 0.1)).astype(np.int32)
+        digest = rng.integers(0, 3, 60) * 7919 + 5
+        words = digest % 7 + 1  # equal units have equal words
+        at, run = line_dedup.openings(each, seq, words, digest, 12)
+        hits = {int(h) for h, n in zip(*np.unique(run, return_counts=True), strict=True) if n > 1}
+        kept = line_dedup.reached(each, seq, words, at[[int(h) in hits for h in run]], 12)
+        first, size = line_dedup.windows(each, seq, words, 12)
+        runs = defaultdict(list)
+        for f, n in zip(first, size, strict=True):
+            runs[tuple(digest[f : f + n])].append((f, n))
+        assert all(kept[f : f + n].all() for found in runs.values() if len(found) > 1 for f, n in found)
+
+
+def test_lines_of_the_corpus(spark):
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.read.parquet(f"{D}/documents.parquet")).collect()}
+    assert got == plain_dedup(texts_of(spark, D))
+
+
 def test_passages_within_lines(spark):
     passage = " ".join(f"This is sentence {w} of a passage that two texts share in the midst of their lines." for w in ("one", "two", "three", "four"))
     texts = {1: f"Begin one. {passage} The end one.\nMore", 2: "Other. Text?\n\n", 3: f"Hello and {passage} Then it goes on", 4: None, 5: "", 6: f"Own line!\n{passage}\nLast."}
