@@ -353,6 +353,8 @@ def rest_of(text: str, gone_lines: list[int], gone_units: list[int], whole: bool
 
     A line that loses all its words goes with its end.
     """
+    if not (gone_lines or gone_units or whole):
+        return text, sum(not part.isspace() for part in units(text)), []
     parts = list(numbered(text))
     n = sum(i >= 0 for _, i, _ in parts)
     if whole:
