@@ -75,3 +75,19 @@ def order_check(ranked: DataFrame, score_col: str, most: int = 1000) -> DataFram
     rows = ranked.where(F.col("rank") <= most).withColumn("__falls", F.coalesce(F.col(score_col) <= before, F.lit(True)))
     valid = (F.min("rank") == 1) & (F.max("rank") == F.count("*")) & (F.count_distinct("rank") == F.count("*"))
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), valid.alias("ranks_valid"), F.bool_and("__falls").alias("sorted"))
+
+
+def graded(judged: DataFrame, score_col: str, id_col: str = "id", k: int = 10, query_col: str = "query_id", grade_col: str = "grade") -> DataFrame:
+    """ndcg over grades (rank 1 undiscounted, then 1 / log2 rank), precision, recall and F1 of the k best rows by score, for queries with a relevant row.
+
+    Only the k best by score and the k best by grade of each query are kept on the way: a rank filter that the engine
+    applies before its shuffle, so no query's rows come together.
+    """
+    by = Window.partitionBy(query_col)
+    cut = lambda *order: judged.withColumn("__at", F.row_number().over(by.orderBy(*order))).where(F.col("__at") <= k)
+    value = F.sum(F.col(grade_col) / F.greatest(F.lit(1.0), F.log2("__at")))
+    shown = cut(F.desc(score_col), F.col(id_col)).groupBy(query_col).agg(value.alias("dcg"), F.count_if(F.col(grade_col) > 0).alias("hits"), F.count("*").alias("shown"))
+    ideal = cut(F.desc(grade_col)).groupBy(query_col).agg(value.alias("idcg"))
+    relevant = judged.groupBy(query_col).agg(F.count_if(F.col(grade_col) > 0).alias("relevant")).where("relevant > 0")
+    hits = F.col("hits").cast("double")
+    return shown.join(ideal, query_col).join(relevant, query_col).select(query_col, (F.col("dcg") / F.col("idcg")).alias("ndcg"), (hits / F.col("shown")).alias("precision"), (hits / F.col("relevant")).alias("recall"), (2.0 * hits / (F.col("shown") + F.col("relevant"))).alias("f1"))

@@ -8,6 +8,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import snippet
 
@@ -84,3 +85,47 @@ def similar_rows(page_: DataFrame, id_col: str, score: str, threshold: float = 0
 
 def token_estimate(rows: Column, mode: str) -> Column:
     return rows * TOKENS[mode] + ENVELOPE
+
+
+def percentile_int(score: Column, by: tuple[str, ...] = ()) -> Column:
+    return percentile(score, by).cast("int")
+
+
+def shorten_nested(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """shorten for columns and, at any depth, the fields of structs within them. Values are kept: structs are cast by place."""
+
+    def renamed(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(names.get(f.name, f.name), renamed(f.dataType), f.nullable) for f in kind])
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(renamed(kind.elementType), kind.containsNull)
+        if isinstance(kind, T.MapType):
+            return T.MapType(kind.keyType, renamed(kind.valueType), kind.valueContainsNull)
+        return kind
+
+    return df.select(*[F.col(f"`{f.name}`").cast(renamed(f.dataType)).alias(names.get(f.name, f.name)) for f in df.schema])
+
+
+def as_json(df: DataFrame) -> Column:
+    """A row as a JSON object, dates in ISO form, null fields kept."""
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
+def as_text(score: Column, with_metadata: bool = True) -> Column:
+    """A result row for a reader: rank, score, origin, place and up to 200 characters of text, a line each."""
+    text = F.col("chunk_text")
+    lines = [F.format_string("Rank: %d", "rank"), F.format_string("Score: %.3f", score), F.concat(F.lit("Source: "), "source_file"), F.concat(F.lit("Category: "), "source_category"), F.concat(F.lit("Context: "), "context_header"), F.format_string("Chunk: %d/%d", F.col("chunk_index") + 1, F.col("total_chunks")), F.lit(""), F.concat(F.lit("Text: "), snippet(text))]
+    return F.concat_ws("\n", *lines, *([F.concat(F.lit("Metadata: "), "metadata")] if with_metadata else []))
+
+
+def size_warning(size: Column, large: int = 20_000, excessive: int = 100_000) -> Column:
+    """The code of the warning that a response of so many bytes earns, or null."""
+    return F.when(size > excessive, "RESPONSE_SIZE_EXCESSIVE").when(size > large, "RESPONSE_SIZE_LARGE")
+
+
+def envelope(page_: DataFrame, mode: str) -> DataFrame:
+    """A page as one row: its results in order as JSON, their number, bytes, the estimate of tokens and a warning. For pages, which a limit bounds."""
+    rows = page_.agg(F.sort_array(F.collect_list(F.struct("rank", as_json(page_).alias("row")))).alias("rows"))
+    results = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]"))
+    out = rows.select(results.alias("results"), F.size("rows").alias("returned")).withColumn("bytes", F.octet_length("results"))
+    return out.select("results", "returned", "bytes", token_estimate(F.col("returned"), mode).alias("tokens"), size_warning(F.col("bytes")).alias("warning"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,3 +69,25 @@ def pool_size(complexity: Column, available: Column, base: int = 50, most: int =
     """Candidates to rerank: the base, grown with complexity, within the cap and what there is; five at least where there are five."""
     size = F.least((base * (1.0 + complexity * 1.2)).cast("int"), F.lit(most))
     return F.least(F.greatest(size, F.lit(5)), available)
+
+
+@dataclass(frozen=True)
+class Route:
+    strategy: str
+    density: float
+    reason: str
+
+
+def route(query: str, available: Sequence[str] = ("hybrid", "vector", "bm25")) -> Route:
+    """The strategy for one query by the rule of strategy(), decided on the driver; one that is not available gives way to hybrid, else the first there is."""
+    known = query.lower().split()
+    density = sum(w in TECHNICAL for w in known) / max(1, len(known))
+    wanted = "bm25" if density > 0.7 else "vector" if density < 0.3 else "hybrid"
+    chosen = wanted if wanted in available else "hybrid" if "hybrid" in available else available[0]
+    return Route(chosen, density, f"{density:.2f} of the words are technical" + ("" if chosen == wanted else f"; {wanted} is not available"))
+
+
+def signals(query: Column) -> Column:
+    """What routing reads of a query: keyword density and the counts of operators with quotes, capitalised words and question words."""
+    capital = F.size(F.filter(words(query), lambda w: w.rlike("^[A-Z]"))).alias("entities")
+    return F.struct(keyword_density(query).alias("keyword_density"), (operators(query) + occurrences(query, '"')).alias("operators"), capital, count_in(words(F.lower(query)), QUESTIONS).alias("questions"))

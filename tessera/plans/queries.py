@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators import boost, documents, filters, fusion, graph, metrics, rerank, respond, routing, search
+from tessera.plans.registry import query, r8
 from tessera.sources import graph_tables as gt
 from tessera.sources import sinks
 from tessera.streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 t = gt.table
 
 
-def r8(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 8)
-
-
 # Vector search. The query vector is that of vec_id 0, a scalar subquery of one row.
 VEC = "[CAST(x AS DOUBLE) FOR x IN {}]"
 SIMILAR = f"list_cosine_similarity({VEC.format('e.embedding')}, {VEC.format('q.embedding')})"

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.plans import queries as plans
+from tessera.plans import registered as plans
 
 D = "/root/testdata/sf0.001"
 
