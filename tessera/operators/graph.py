@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import snippet
+
 
 def strong(edges: DataFrame, least: float, types: Sequence[str] | None = None) -> DataFrame:
     rows = edges.where(F.col("confidence") >= least)
@@ -85,3 +87,65 @@ def type_counts(rows: DataFrame, column: str) -> DataFrame:
     """The distribution of a column as one map, keys in order."""
     counts = rows.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("counts"))
+
+
+def two_levels(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, most: int = 50) -> DataFrame:
+    """Entities one or two edges away, edges read both ways: (id, text, entity_type, min_distance, paths, max_confidence).
+
+    The confidence of two edges is the root of their product. An entity at distance 1 is not listed again at 2. Edges
+    from the start are gathered first; the second level joins only the edges at their ends.
+    """
+    rows = strong(edges, least)
+    both = lambda df: df.select(F.col("source").alias("a"), F.col("target").alias("b"), "confidence").unionByName(df.select(F.col("target").alias("a"), F.col("source").alias("b"), "confidence"))
+    first = both(rows.where((F.col("source") == start) | (F.col("target") == start))).where((F.col("a") == start) & (F.col("b") != start)).select(F.col("b").alias("mid"), F.col("confidence").alias("c1"))
+    second = both(rows).where((F.col("a") != start) & (F.col("b") != start)).join(first, F.col("a") == F.col("mid")).select(F.col("b").alias("id"), F.lit(2).alias("d"), F.sqrt(F.col("c1") * F.col("confidence")).alias("c"))
+    reached = first.select(F.col("mid").alias("id"), F.lit(1).alias("d"), F.col("c1").alias("c")).unionByName(second)
+    at = reached.groupBy("id").agg(F.min("d").alias("min_distance"), F.struct(*[F.struct(F.count_if(F.col("d") == n).alias("paths"), F.max(F.when(F.col("d") == n, F.col("c"))).alias("max_confidence")).alias(f"d{n}") for n in (1, 2)]).alias("by"))
+    own = F.when(F.col("min_distance") == 1, F.col("by.d1")).otherwise(F.col("by.d2"))
+    found = at.select("id", "min_distance", own["paths"].alias("paths"), own["max_confidence"].alias("max_confidence"))
+    return found.join(nodes.select("id", "text", "entity_type"), "id").orderBy("min_distance", F.desc("paths"), F.desc(F.round("max_confidence", 12)), "id").limit(most)
+
+
+def chunk_mentions(bridge: DataFrame, chunks: DataFrame, entity: str, most: int = 100) -> DataFrame:
+    """The chunks that mention an entity, through the bridge (entity_id, chunk_id, confidence), surest and newest first.
+
+    The bridge is cut to the entity before it meets the chunks; how it is joined the planner decides by size.
+    """
+    own = bridge.where(F.col("entity_id") == entity).select("chunk_id", F.col("confidence").alias("mention_confidence"))
+    return own.join(chunks, "chunk_id").orderBy(F.desc("mention_confidence"), F.desc("created_at"), "chunk_id").limit(most)
+
+
+#: Entities that each mode of vendor_info lists.
+VENDOR_LIMITS = {"ids_only": 0, "metadata": 0, "preview": 5, "full": 100}
+
+
+def vendor_info(nodes: DataFrame, edges: DataFrame, name: str, mode: str = "metadata", fields: list[str] | None = None) -> DataFrame:
+    """One row on a vendor: name, status (found, not_found, ambiguous) and what the mode shows.
+
+    ids_only: entity_ids, the vendor's own. metadata: statistics. preview: also the 5 surest neighbours as entities and
+    relationships. full: 100 of them, with snippets and the relationships' confidence. Statistics count the neighbours
+    and types over all outbound edges. Null where the name is not found or is that of more than one vendor.
+    """
+    if mode not in VENDOR_LIMITS:
+        raise ValueError(f"mode must be one of {tuple(VENDOR_LIMITS)}")
+    named_ = lookup(nodes, name).agg(F.count("*").alias("n"), F.min(F.struct("id", "text")).alias("v"))
+    status = F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("found")
+    head = named_.select(F.lit(name).alias("vendor_name"), status.alias("status"), F.when(F.col("n") == 1, F.col("v.id")).alias("vendor_id"))
+    out = head.withColumn("entity_ids", F.when(F.col("vendor_id").isNotNull(), F.array("vendor_id")))
+    if mode != "ids_only":
+        near = edges.join(F.broadcast(head.select(F.col("vendor_id").alias("source"))), "source", "left_semi").select("source", F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence")).join(nodes.select("id", "text", "entity_type", "confidence"), "id")
+        tally = lambda c: near.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"{c}s"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{c}"))
+        stats = tally("entity_type").join(F.broadcast(tally("relationship_type")))
+        out = out.join(F.broadcast(stats.select(F.struct(F.col("n_entity_type").alias("entity_count"), F.col("n_relationship_type").alias("relationship_count"), F.col("entity_types").alias("entity_types"), F.col("relationship_types")).alias("statistics"))))
+    if VENDOR_LIMITS[mode]:
+        first = near.orderBy(F.desc("relationship_confidence"), "id", "relationship_type").limit(VENDOR_LIMITS[mode])
+        full = mode == "full"
+        entity = [F.col("id").alias("entity_id"), F.col("text").alias("name"), "entity_type", "confidence"] + ([snippet(F.col("text")).alias("snippet")] if full else [])
+        relation = [F.col("source").alias("source_id"), F.col("id").alias("target_id"), "relationship_type"] + ([F.col("relationship_confidence").alias("confidence")] if full else [])
+        order = [(-F.col("relationship_confidence")).alias("__o"), F.col("id").alias("__i"), F.col("relationship_type").alias("__t")]
+        listed = first.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*entity).alias("e"), F.struct(*relation).alias("r")))).alias("l"))
+        out = out.join(F.broadcast(listed.select(F.transform("l", lambda x: x["e"]).alias("entities"), F.transform("l", lambda x: x["r"]).alias("relationships"))))
+    out = out.drop("vendor_id")
+    for c in set(out.columns) - {"vendor_name", "status"}:
+        out = out.withColumn(c, F.when(F.col("status") == "found", F.col(c)))
+    return out.select("vendor_name", "status", *fields) if fields else out

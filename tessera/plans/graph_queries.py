@@ -1 +1,72 @@
-"""Graph queries beyond the traversals of queries.py."""
+"""Graph queries beyond the traversals of queries.py: two levels, strong roots, mentions through chunks, vendors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import graph
+from tessera.plans.registry import query, r8
+from tessera.sources import graph_tables as gt
+
+t = gt.table
+
+
+@query(f"WITH {gt.GRAPH_SQL} SELECT n.id, h.target AS mid_id, round(sqrt(h.confidence * e.confidence), 8) AS path_confidence FROM edges h JOIN edges e ON e.source = h.target JOIN nodes n ON n.id = e.target WHERE h.source = 'C7' AND h.confidence >= 0.8 AND e.confidence >= 0.8 AND e.target <> 'C7' ORDER BY sqrt(h.confidence * e.confidence) DESC, n.id, h.target, h.relationship_type, e.relationship_type LIMIT 50")
+def graph_high_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Two edges of 0.8 or more, by the root of their product; the first edges are not made distinct."""
+    paths = graph.two_hop(gt.nodes(spark, d), gt.edges(spark, d), "C7", 0.8, 50, distinct=False)
+    return paths.select("id", "mid_id", r8("path_confidence").alias("path_confidence"))
+
+
+@query(f"""WITH {gt.GRAPH_SQL}, s AS (SELECT source AS a, target AS b, confidence AS c FROM edges WHERE confidence >= 0.6 UNION ALL SELECT target, source, confidence FROM edges WHERE confidence >= 0.6),
+one AS (SELECT b AS id, 1 AS d, c FROM s WHERE a = 'S1' AND b <> 'S1'), two AS (SELECT s.b AS id, 2 AS d, sqrt(one.c * s.c) AS c FROM one JOIN s ON s.a = one.id WHERE s.b <> 'S1' AND s.b NOT IN (SELECT id FROM one)),
+g AS (SELECT id, d, count(*) AS paths, max(c) AS c FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id, d)
+SELECT g.id, entity_type, CAST(d AS INTEGER) AS min_distance, paths, round(c, 8) AS max_confidence FROM g JOIN nodes n ON n.id = g.id ORDER BY d, paths DESC, round(c, 12) DESC, g.id LIMIT 300""")
+def graph_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.two_levels(gt.nodes(spark, d), gt.edges(spark, d), "S1", 0.6, 300).select("id", "entity_type", "min_distance", "paths", r8("max_confidence").alias("max_confidence"))
+
+
+@query("SELECT l_orderkey AS chunk_id, o_orderpriority AS document_category, o_orderdate AS created_at, round(CAST(0.5 AS DOUBLE) + l_quantity / 100, 4) AS mention_confidence FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = 1 ORDER BY mention_confidence DESC, created_at DESC, chunk_id LIMIT 100")
+def graph_chunk_mentions(spark: SparkSession, d: str) -> DataFrame:
+    bridge = t(spark, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("entity_id"), F.col("l_orderkey").alias("chunk_id"), F.round(0.5 + F.col("l_quantity") / 100, 4).alias("confidence"))
+    chunks = t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("document_category"), F.col("o_orderdate").alias("created_at"))
+    return graph.chunk_mentions(bridge, chunks, "P1")
+
+
+VENDOR = f"{gt.GRAPH_SQL}, v AS (SELECT id, text FROM nodes WHERE entity_type = 'ORG' AND id = 'S1'), near AS (SELECT n.id, n.entity_type, e.relationship_type, e.confidence AS c FROM edges e JOIN v ON e.source = v.id JOIN nodes n ON n.id = e.target)"
+
+
+def vendor(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """vendor_info of the first supplier, found by name: one row, read for the name alone."""
+    name = t(spark, d, "supplier").where("s_suppkey = 1").first()["s_name"]
+    return graph.vendor_info(gt.nodes(spark, d), gt.edges(spark, d), name, mode)
+
+
+@query(f"WITH {VENDOR} SELECT text AS vendor_name, 'found' AS status, id AS entity_ids FROM v")
+def vendor_ids(spark: SparkSession, d: str) -> DataFrame:
+    return vendor(spark, d, "ids_only").withColumn("entity_ids", F.array_join("entity_ids", ","))
+
+
+@query(f"WITH {VENDOR} SELECT (SELECT text FROM v) AS vendor_name, count(*) AS entity_count, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT entity_type AS k, count(*) AS n FROM near GROUP BY k)) AS entity_types, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT relationship_type AS k, count(*) AS n FROM near GROUP BY k)) AS relationship_types FROM near")
+def vendor_metadata(spark: SparkSession, d: str) -> DataFrame:
+    shown = lambda c: F.array_join(F.transform(F.sort_array(F.map_entries(f"statistics.{c}")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return vendor(spark, d, "metadata").select("vendor_name", "statistics.entity_count", shown("entity_types"), shown("relationship_types"))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    both = rows.select(F.posexplode(F.arrays_zip("entities", "relationships")).alias("place", "x"))
+    return both.select("place", F.col("x.entities.entity_id").alias("entity_id"), F.col("x.entities.entity_type").alias("entity_type"), F.col("x.relationships.source_id").alias("source_id"), F.col("x.relationships.relationship_type").alias("relationship_type"))
+
+
+NEAREST = "SELECT CAST(row_number() OVER (ORDER BY c DESC, id, relationship_type) - 1 AS INTEGER) AS place, id AS entity_id, entity_type, 'S1' AS source_id, relationship_type FROM near QUALIFY place < {}"
+
+
+@query(f"WITH {VENDOR} {NEAREST.format(5)}")
+def vendor_preview(spark: SparkSession, d: str) -> DataFrame:
+    return listed(vendor(spark, d, "preview"))
+
+
+@query(f"WITH {VENDOR} {NEAREST.format(100)}")
+def vendor_full(spark: SparkSession, d: str) -> DataFrame:
+    return listed(vendor(spark, d, "full"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokens
 from tessera.functions.vectors import valid
 
 
@@ -37,3 +38,19 @@ def upsert_stats(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     both = new.groupBy(key).agg(F.count("*").alias("__new")).join(old.groupBy(key).agg(F.count("*").alias("__old")), key, "full")
     is_new, is_old = F.col("__new").isNotNull(), F.col("__old").isNotNull()
     return both.agg(F.count_if(is_new & ~is_old).alias("inserted"), F.count_if(is_new & is_old).alias("updated"), F.count_if(~is_new).alias("kept"), F.coalesce(F.sum(F.col("__new") - 1), F.lit(0)).alias("repeated"))
+
+
+def from_arrays(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows out of a row's parallel arrays (the form in which a columnar upsert comes), for upsert()."""
+    return df.select(F.explode(F.arrays_zip(*columns)).alias("__r")).select("__r.*")
+
+
+def stamped(new: DataFrame, old: DataFrame, key: str, now: Column) -> DataFrame:
+    """upsert() with updated_at: now for rows inserted or updated, what was there for rows kept. old has the column updated_at."""
+    return upsert(old, new.withColumn("updated_at", now), key)
+
+
+def with_tokens(docs: DataFrame, text_col: str = "text", *more: str, stop: frozenset[str] = frozenset()) -> DataFrame:
+    """docs with the columns tokens and lexemes, to be written beside the text so that searches need not tokenize again."""
+    text = F.concat_ws(" ", text_col, *more)
+    return docs.withColumn("tokens", tokens(text, stop)).withColumn("lexemes", F.array_sort(F.array_distinct("tokens")))
