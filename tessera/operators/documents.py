@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """(path, body, front) of files under a folder, whole: front is the block between leading --- lines, body the rest."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     front = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", 1)
     return files.select(F.input_file_name().alias("path"), F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*(?:\n|\z)", "").alias("body"), front.alias("front"))
 
@@ -38,10 +38,12 @@ def clean_markdown(text: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """(level, text, line) of headings outside fences; lines are counted from 1 in the text as it is."""
-    lines = F.split(text, "\n")
-    fences = F.transform(lines, lambda x: x.startswith("```").cast("int"))
-    marked = F.transform(lines, lambda x, i: F.struct(F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1)).alias("level"), F.trim(F.regexp_replace(x, r"^#{1,6}\s+", "")).alias("text"), (i + 1).alias("line"), (F.aggregate(F.slice(fences, 1, i + 1), F.lit(0), lambda a, b: a + b) % 2 == 1).alias("fenced")))
-    return F.filter(marked, lambda h: (h["level"] > 0) & ~h["fenced"])
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("line")))
+    # Only fences and headings are looked at again; a heading counts if an even number of fences stands before it.
+    marked = F.filter(lines, lambda p: p["x"].startswith("```") | p["x"].rlike(r"^#{1,6}\s+\S"))
+    fenced = lambda i: F.size(F.filter(F.slice(marked, 1, i), lambda p: p["x"].startswith("```"))) % 2 == 1
+    open_ = F.filter(marked, lambda p, i: ~p["x"].startswith("```") & ~fenced(i))
+    return F.transform(open_, lambda p: F.struct(F.length(F.regexp_extract(p["x"], r"^(#{1,6})", 1)).alias("level"), F.trim(F.regexp_replace(p["x"], r"^#{1,6}\s+", "")).alias("text"), p["line"].alias("line")))
 
 
 def links(html: Column) -> Column:
@@ -77,10 +79,10 @@ def windows(docs: DataFrame, size: int = 512, overlap: int = 50, id_col: str = "
     return rows.select(id_col, "chunk_index", "total_chunks", "start", "end", (F.col("end") - F.col("start")).alias("token_count"), shared.alias("overlap_tokens"), F.trim(F.substring(F.col(text_col), low + 1, high - low)).alias("chunk_text"))
 
 
-def paragraphs(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paragraphs(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks at separators, blank ones left out, numbered, with white-space token counts and hashes."""
     parts = F.filter(F.transform(F.split(text_col, separator), lambda p: F.trim(p)), lambda p: p != "")
-    rows = docs.select(id_col, F.size(parts).alias("total_chunks"), F.posexplode(parts).alias("chunk_index", "chunk_text"))
+    rows = docs.select(id_col, *keep, F.size(parts).alias("total_chunks"), F.posexplode(parts).alias("chunk_index", "chunk_text"))
     return rows.withColumn("token_count", F.size(F.split("chunk_text", r"\s+"))).withColumn("chunk_hash", F.sha2("chunk_text", 256))
 
 

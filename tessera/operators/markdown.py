@@ -19,7 +19,7 @@ HIERARCHY = ("hierarchy", "sections", "breadcrumbs", "path")
 def read_files(spark: SparkSession, path: str, patterns: tuple[str, ...] = ("*.md", "*.txt")) -> DataFrame:
     """(path, title, text) of the files under a folder, each whole: the title is the file's stem; bytes that are no UTF-8 become U+FFFD."""
     glob = "{" + ",".join(patterns) + "}"
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("path"), F.make_valid_utf8("value").alias("text")).select("path", stem(F.col("path")).alias("title"), "text")
 
 
@@ -149,10 +149,10 @@ def batches(df: DataFrame, size: int, id_col: str) -> DataFrame:
 
 def chunks(files: DataFrame, separator: str = r"\n\s*\n", key: str = "path") -> DataFrame:
     """Files (path, title, text) as chunk rows: paragraphs of the body with index, total, white-space tokens, hash, header and metadata as JSON."""
-    rows = files.select(key, "title", F.struct(F.lit("front").alias("from"), F.to_json(F.transform_values(front_values(F.col("text")), lambda k, v: v)).alias("values")).alias("front"), body(F.col("text")).alias("body"))
-    parts = documents.paragraphs(rows.select(key, "body"), separator, key, "body")
+    rows = files.select(key, "title", F.to_json(front_values(F.col("text"))).alias("front"), F.regexp_replace(body(F.col("text")), r"\A\s+|\s+\z", "").alias("body"))
+    parts = documents.paragraphs(rows, separator, key, "body", ("title", "front"))
     meta = F.to_json(F.struct("title", "chunk_index", "total_chunks", "token_count"))
-    return parts.join(rows.select(key, "title", F.col("front.values").alias("front")), key).withColumn("context_header", file_header(F.col(key), F.col("chunk_index"))).withColumn("metadata", meta)
+    return parts.withColumn("context_header", file_header(F.col(key), F.col("chunk_index"))).withColumn("metadata", meta)
 
 
 def ingest(spark: SparkSession, path: str, separator: str = r"\n\s*\n") -> DataFrame:

@@ -34,8 +34,8 @@ def front_matter_json(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", markdown.json_front(text).alias("m"), F.length(markdown.body(text)).cast("long").alias("body_chars")).select("doc_id", c("m")["source"].alias("source"), c("m")["n"].alias("n"), "body_chars")
 
 
-@query(r"""WITH p AS (SELECT doc_id, len(text) AS n, least(200, len(text)) AS at, substr(text, 1, least(200, len(text))) AS head, text FROM documents), u AS (SELECT *, len(regexp_extract(head, '^(.*[.!?])', 1, 's')) AS upto FROM p), s AS (SELECT *, upto + len(regexp_extract(substr(text, upto + 1), '^(\s*)', 1)) AS start FROM u)
-SELECT doc_id, CAST(CASE WHEN upto > 0 AND start <= at THEN start ELSE at END AS INTEGER) AS start FROM s""")
+@query(r"""WITH p AS (SELECT doc_id, len(text) AS n, least(200, len(text)) AS place, substr(text, 1, least(200, len(text))) AS head, text FROM documents), u AS (SELECT *, len(regexp_extract(head, '^(.*[.!?])', 1, 's')) AS upto FROM p), s AS (SELECT *, upto + len(regexp_extract(substr(text, upto + 1), '^(\s*)', 1)) AS start FROM u)
+SELECT doc_id, CAST(CASE WHEN upto > 0 AND start <= place THEN start ELSE place END AS INTEGER) AS start FROM s""")
 def sentence_starts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", markdown.sentence_start(c("text"), F.least(F.lit(200), F.length("text"))).alias("start"))
 
@@ -68,14 +68,14 @@ def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
     return markdown.chunks(files, "\n").select("path", "title", "chunk_index", "total_chunks", "context_header", "chunk_hash", "metadata")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END AS p_size, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'updated' WHEN p_partkey % 3 = 0 THEN 'inserted' ELSE 'kept' END AS action, CASE WHEN p_partkey % 3 = 0 THEN DATE '2024-02-02' ELSE DATE '2024-01-01' END AS updated_at FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END AS p_size, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'updated' WHEN p_partkey % 3 = 0 THEN 'inserted' ELSE 'kept' END AS action, CASE WHEN p_partkey % 3 = 0 THEN '2024-02-02' ELSE '2024-01-01' END AS updated_at FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
 def upsert_arrays(spark: SparkSession, d: str) -> DataFrame:
     """New rows come as parallel arrays, one set a brand and size, and are merged with the date of the write."""
     parts = t(spark, d, "part").select("p_partkey", "p_size")
     arrays = t(spark, d, "part").where("p_partkey % 3 = 0").groupBy("p_brand", "p_size").agg(F.collect_list(F.struct("p_partkey", (c("p_size") + 100).alias("p_size"))).alias("r")).select(c("r.p_partkey").alias("p_partkey"), c("r.p_size").alias("p_size"))
     new = sinks.from_arrays(arrays, ["p_partkey", "p_size"])
-    old = parts.where("p_partkey % 2 = 0").withColumn("updated_at", F.lit("2024-01-01").cast("date"))
-    return sinks.stamped(new, old, "p_partkey", F.lit("2024-02-02").cast("date"))
+    old = parts.where("p_partkey % 2 = 0").withColumn("updated_at", F.lit("2024-01-01"))
+    return sinks.stamped(new, old, "p_partkey", F.lit("2024-02-02"))
 
 
 @query("WITH k AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(source || ' ' || text), '[^a-z0-9]+') IF x <> ''] AS k FROM documents) SELECT doc_id, sha256(array_to_string(list_sort(list_distinct(k)), ' ')) AS lexemes, len(k) AS n_tokens FROM k")

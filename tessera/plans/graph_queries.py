@@ -12,10 +12,10 @@ from tessera.sources import graph_tables as gt
 t = gt.table
 
 
-@query(f"WITH {gt.GRAPH_SQL} SELECT n.id, h.target AS mid_id, round(sqrt(h.confidence * e.confidence), 8) AS path_confidence FROM edges h JOIN edges e ON e.source = h.target JOIN nodes n ON n.id = e.target WHERE h.source = 'C7' AND h.confidence >= 0.8 AND e.confidence >= 0.8 AND e.target <> 'C7' ORDER BY sqrt(h.confidence * e.confidence) DESC, n.id, h.target, h.relationship_type, e.relationship_type LIMIT 50")
+@query(f"WITH {gt.GRAPH_SQL} SELECT n.id, h.target AS mid_id, round(sqrt(h.confidence * e.confidence), 8) AS path_confidence FROM edges h JOIN edges e ON e.source = h.target JOIN nodes n ON n.id = e.target WHERE h.source = 'C9' AND h.confidence >= 0.8 AND e.confidence >= 0.8 AND e.target <> 'C9' ORDER BY sqrt(h.confidence * e.confidence) DESC, n.id, h.target, h.relationship_type, e.relationship_type LIMIT 50")
 def graph_high_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Two edges of 0.8 or more, by the root of their product; the first edges are not made distinct."""
-    paths = graph.two_hop(gt.nodes(spark, d), gt.edges(spark, d), "C7", 0.8, 50, distinct=False)
+    paths = graph.two_hop(gt.nodes(spark, d), gt.edges(spark, d), "C9", 0.8, 50, distinct=False)
     return paths.select("id", "mid_id", r8("path_confidence").alias("path_confidence"))
 
 

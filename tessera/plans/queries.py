@@ -184,7 +184,7 @@ def boost_topic_entity(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", boost.topic("why this timeout", F.col("text")).alias("topic"), boost.entity("The Worthless", F.col("text")).alias("entity"))
 
 
-@query()
+@query("SELECT s_suppkey, CAST(s_suppkey % 2 = 0 AS INTEGER) * CAST(1 AS DOUBLE) AS vendor, CASE WHEN contains(lower(s_name), 'api') THEN CAST(1 AS DOUBLE) ELSE 0 END AS doc_type FROM supplier")
 def boost_vendor(spark: SparkSession, d: str) -> DataFrame:
     meta = F.to_json(F.struct(F.when(F.col("s_suppkey") % 2 == 0, "OpenAI").alias("vendor"), F.col("s_name").alias("company")))
     return t(spark, d, "supplier").select("s_suppkey", boost.vendor("gpt from openai", meta).alias("vendor"), boost.doc_type("api guide", F.col("s_name")).alias("doc_type"))
@@ -365,12 +365,21 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", F.size(documents.links(F.col("html"))).cast("long").alias("n_links"), F.array_join(documents.links(F.col("html")), " ").alias("links"))
 
 
-@query()
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", documents.page_text(F.col("html")).alias("text"))
 
 
-@query()
+def cleaned(text: str) -> str:
+    """Nested regexp_replace calls that clean Markdown."""
+    for pattern, into in ((r"(?s)```.*?```", ""), (r"`([^`]*)`", r"\1"), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\*\*([^*]+)\*\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"\*([^*\n]+)\*", r"\1"), (r"(?s)<[^>]+>", ""), (r"(?m)^\s*(?:[-*_]\s*){3,}$", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
+        text = f"regexp_replace({text}, '{pattern}', '{into}', 'g')"
+    return f"trim({text})"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT *, sum(CAST(starts_with(x, '```') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS fenced FROM l),
+h AS (SELECT doc_id, CAST(count(*) FILTER (fenced = 0 AND regexp_matches(x, '^#{{1,6}}\s+\S')) AS INTEGER) AS headings FROM f GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN regexp_extract(text, '(?m)^#{{1,6}}[ \t]+(\S[^\n]*)$', 1) = '' THEN 'Untitled' ELSE trim(regexp_extract(text, '(?m)^#{{1,6}}[ \t]+(\S[^\n]*)$', 1)) END AS title, headings, CAST(len({cleaned('text')}) AS INTEGER) AS clean_chars FROM documents d JOIN h ON h.doc_id = d.doc_id""")
 def markdown_parts(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
     return t(spark, d, "documents").select("doc_id", documents.title(c).alias("title"), F.size(documents.headings(c)).alias("headings"), F.length(documents.clean_markdown(c)).alias("clean_chars"))
