@@ -10,12 +10,16 @@ space or newline to it if that is no white space, so units between such places a
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate, chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,11 @@ FOLDER, BYTE_LEVEL, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_
 #: Bytes of a range of a long document; ranges that are composed at a time.
 RANGE, FAN = 65_536, 16
 #: Units a worker keeps, and characters of the longest of them.
-KEPT, LONG = 400_000, 200
+KEPT, LONG = 250_000, 100
+#: How the first tokenizer's pre-tokenizer parts a text (fixed).
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units, where there is other white space than spaces and newlines, and where there is none.
+OTHER, PLAIN = re.compile(r"[^\S \n]"), re.compile(r"\s*\S+|\s+")
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 #: An id pair as one number.
@@ -85,87 +93,81 @@ def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], w
     return Fragment(pieces[0] if ends else rest, [group(*p) for p in pieces[1:]], rest if ends else ([], []), bool(ends), links, len(a), len(b), len(ends), whole)
 
 
-@dataclass
-class Unit:
-    """A unit's tokens and, as it is closed at both sides, its groups as text."""
-
-    a: list[int]
-    a_ends: list[int]
-    b: list[int]
-    b_ends: list[int]
-    whole: bool
-    text: str = ""
-    links: list[int] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        f = fragment(self.a, self.a_ends, self.b, self.b_ends)
-        self.text, self.links = ";".join([group(*f.prefix), *f.closed]), f.links
-
-
 class Encoder:
-    """Both tokenizers with the units met so far."""
+    """Both tokenizers with the units met so far: for each its groups as text, its links and numbers of tokens; None if it isn't given back."""
 
     def __init__(self, folder: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(f"{folder}/{BYTE_LEVEL}")
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
+        model = json.loads(Path(f"{folder}/{BYTE_LEVEL}").read_text())["model"]
         # Byte-level BPE shows printable bytes as themselves and the others, in order, from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
-        self.a_bytes = {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+        if any(ranks[bytes(map(byte.__getitem__, "".join(m)))] != 256 + i for i, m in enumerate(model["merges"])):
+            raise ValueError("merges must be in the order of the ids")
+        self.a = tiktoken.Encoding(BYTE_LEVEL, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.a_bytes[i] = raw
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = pieces.index("▁")
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("a vocabulary with pieces that go on after a space or hold a newline can't be encoded by units")
-        self.kept: dict[str, Unit] = {}
+        self.kept: dict[str, tuple[str, tuple[int, ...], int, int] | None] = {}
 
     def units(self, text: str) -> list[str]:
         """Units of a text that begins with a space; they tile it."""
-        return UNIT.findall(text)
-
-    def encode(self, units: list[str]) -> list[Unit]:
-        """The second tokenizer adds a space before all it gets, so a unit goes without its own; before a newline that space is a token, which is dropped."""
-        a = self.a.encode_batch(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        out = []
-        for u, x, y in zip(units, a, b, strict=True):
-            y = y or [self.space] if u[0] == " " else y[1:]
-            out.append(self.unit(u.encode(), x.ids, y))
-        return out
-
-    def unit(self, raw: bytes, a: list[int], b: list[int]) -> Unit:
-        x, y = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        a_ends, b_ends = np.cumsum([*map(len, x)]).tolist(), np.cumsum([*map(len, y)]).tolist()
-        return Unit(a, a_ends, b, b_ends, b"".join(x) == raw == b"".join(y))
-
-    def learn(self, units: set[str]) -> dict[str, Unit]:
-        """Units as they are or will be kept; long ones are not kept."""
+        return (UNIT if OTHER.search(text) else PLAIN).findall(text)
+
+    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
+        """Ids and ends of both, and whether both give the unit back.
+
+        The second tokenizer adds a space before all it gets, so a unit goes without its own; before a newline that space is a token, which is dropped.
+        """
+        for u, y in zip(units, self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1), strict=True):
+            a, b = self.a(u), y or [self.space] if u[0] == " " else y[1:]
+            raw, x, y = u.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+            yield a, [*accumulate(map(len, x))], b, [*accumulate(map(len, y))], b"".join(x) == raw == b"".join(y)
+
+    def learn(self, units: set[str]) -> dict[str, tuple[str, tuple[int, ...], int, int] | None]:
+        """What the units give; it is kept for those that aren't long."""
         new = [u for u in units if u not in self.kept]
-        made = dict(zip(new, self.encode(new), strict=True)) if new else {}
+        made = dict(zip(new, (closed(a, x, b, y) if whole else None for a, x, b, y, whole in self.encode(new)), strict=True))
+        found = {u: made[u] if u in made else self.kept[u] for u in units}
         if len(self.kept) + len(new) > KEPT:
-            self.kept = {u: self.kept[u] for u in units if u in self.kept}
+            self.kept = {}
         self.kept |= {u: x for u, x in made.items() if len(u) <= LONG}
-        return made
-
+        return found
+    
     def range(self, text: str, start: int, low: int, high: int) -> Fragment:
         """The fragment of the tokens that end in (low, high] of the units of text, which begins at byte start."""
         units = self.units(text)
-        made = self.learn(set(units))
-        parts, at = [], start
-        for u in units:
-            x = made.get(u) or self.kept[u]
-            a, b = [e + at for e in x.a_ends], [e + at for e in x.b_ends]
-            i, j = (np.searchsorted(e, [low, high], "right") for e in (a, b))
-            parts.append(fragment(x.a[i[0] : i[1]], a[i[0] : i[1]], x.b[j[0] : j[1]], b[j[0] : j[1]], x.whole))
+        parts, at = [Fragment()], start
+        for u, (a, x, b, y, whole) in zip(units, self.encode(units), strict=True):
+            x, y = [e + at for e in x], [e + at for e in y]
+            i, j = (bisect_right(x, low), bisect_right(x, high)), (bisect_right(y, low), bisect_right(y, high))
+            parts.append(fragment(a[slice(*i)], x[slice(*i)], b[slice(*j)], y[slice(*j)], whole))
             at += len(u.encode())
         while len(parts) > 1:
             parts = [compose(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return parts[0] if parts else Fragment()
+        return parts[0]
+
+
+def closed(a: list[int], x: list[int], b: list[int], y: list[int]) -> tuple[str, tuple[int, ...], int, int]:
+    """Groups as text, links and numbers of tokens of a unit by ids and ends; both end where it ends."""
+    ends, groups, links, i, j = set(y), [], [], 0, 0
+    for m, e in enumerate(x, 1):
+        if e in ends:
+            n = bisect_right(y, e, j)
+            groups.append(group(a[i:m], b[j:n]))
+            links.append(a[m - 1] * SHIFT + b[n - 1])
+            i, j = m, n
+    return ";".join(groups), tuple(links), len(a), len(b)
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -223,15 +225,15 @@ def short_rows(docs: DataFrame, folder: str) -> DataFrame:
                 batch = big.slice(first, 500)
                 texts = batch["text"].to_pylist()
                 units = [e.units(" " + t) if t else [] for t in texts]
-                made = e.learn({u for us in units for u in us})
-                kept, rows = e.kept, []
+                known, rows = e.learn(set().union(*units)).__getitem__, []
                 for us in units:
-                    found = [made.get(u) or kept[u] for u in us] if made else [kept[u] for u in us]
-                    if not found or not all(x.whole for x in found):
+                    found = [*map(known, us)]
+                    if not found or None in found:
                         rows.append(NOTHING)
                         continue
-                    links = [k for x in found for k in x.links]
-                    rows.append(finished(";".join([x.text for x in found]), links, sum(len(x.a) for x in found), sum(len(x.b) for x in found), len(links)))
+                    parts, links, n_a, n_b = zip(*found, strict=True)
+                    links = [*chain.from_iterable(links)]
+                    rows.append(finished(";".join(parts), links, sum(n_a), sum(n_b), len(links)))
                 yield pa.RecordBatch.from_arrays([batch["id"], *columns(rows, ROW)], ["id", *(x.split()[0] for x in ROW.split(", "))])
 
     return docs.mapInArrow(run, f"id long, {ROW}")

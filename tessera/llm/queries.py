@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, ann, line_dedup, mixing, pieces, pii, pivot_search, secrets, simhash, toxicity, urls, whitening
+from tessera.llm import alignment, ann, context_mixing, line_dedup, mixing, pieces, pii, pivot_search, secrets, simhash, toxicity, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
 
@@ -83,7 +87,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_mix, op3_pivot, op4_pieces, op5_pii, op6_simhash, op7_urls, op8_lines, op9_secrets, op10_toxicity, op12_whiten, op13_align)}
+    return {f.__name__: f for f in (op1_ann, op2_mix, op3_pivot, op4_pieces, op5_pii, op6_simhash, op7_urls, op8_lines, op9_secrets, op10_toxicity, op11_mixing, op12_whiten, op13_align)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,12 +20,22 @@ def tokenizers():
     return encoder(alignment.FOLDER)
 
 
+@pytest.fixture(scope="module")
+def byte_level():
+    """The library's own reading of the first file."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{alignment.FOLDER}/{alignment.BYTE_LEVEL}")
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
 def tokens(e, text):
     """Plainly: ids and ends of both encodings of a whole text; nothing where one doesn't give it back."""
     if not text:
         return [], [], [], []
-    a, b = e.a.encode(" " + text, add_special_tokens=False).ids, e.b.encode(text)
-    x, y = [e.a_bytes.get(i, b"") for i in a], [e.b_bytes[i] for i in b]
+    a, b = e.a(" " + text), e.b.encode(text)
+    x, y = [e.a_bytes[i] for i in a], [e.b_bytes[i] for i in b]
     if b"".join(x) != (" " + text).encode() or b"".join(y) != (" " + text).encode():
         return [], [], [], []
     return a, [sum(map(len, x[: i + 1])) for i in range(len(x))], b, [sum(map(len, y[: i + 1])) for i in range(len(y))]
@@ -55,16 +65,27 @@ def fuzzed(n, seed):
     return ["".join(r.choice(alphabet if r.random() < 0.5 else alphabet[:12]) for _ in range(r.randrange(60))) for _ in range(n)]
 
 
-def test_units_are_encoded_as_in_the_text(tokenizers):
-    for text in [*ODD, *fuzzed(500, 1)]:
+def test_units_are_encoded_as_in_the_text(tokenizers, byte_level, spark):
+    corpus = [t for (t,) in spark.read.parquet(f"{D}/documents.parquet").select("text").limit(60).collect() if t]
+    for text in [*ODD, *fuzzed(500, 1), *corpus]:
         if text:
+            assert tokenizers.a(" " + text) == byte_level(" " + text)
             units = tokenizers.units(" " + text)
             assert "".join(units) == " " + text
-            found = tokenizers.encode(units)
-            if all(u.whole for u in found):
-                assert [i for u in found for i in u.a] == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
-                assert [i for u in found for i in u.b] == tokenizers.b.encode(text)
-            assert all(u.whole for u in found) == bool(tokens(tokenizers, text)[0])
+            found = [*tokenizers.encode(units)]
+            whole = all(u[4] for u in found)
+            if whole:
+                assert [i for u in found for i in u[0]] == byte_level(" " + text)
+                assert [i for u in found for i in u[2]] == tokenizers.b.encode(text)
+            assert whole == bool(tokens(tokenizers, text)[0])
+
+
+def test_kept_units_change_nothing(tokenizers, monkeypatch):
+    texts = fuzzed(60, 7)
+    want = [tokenizers.learn(set(tokenizers.units(" " + t))) for t in texts]
+    monkeypatch.setattr(alignment, "KEPT", 20)
+    monkeypatch.setattr(alignment, "LONG", 5)
+    assert [tokenizers.learn(set(tokenizers.units(" " + t))) for t in texts] == want and len(tokenizers.kept) < 100
 
 
 def test_fragments_compose_in_any_order(tokenizers):
