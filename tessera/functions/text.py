@@ -16,9 +16,14 @@ def tokens(text: Column, stop: frozenset[str] = frozenset()) -> Column:
     return F.filter(found, lambda t: ~t.isin(sorted(stop))) if stop else found
 
 
+def words(query: str) -> list[str]:
+    """A query's tokens, in order."""
+    return [t for t in re.split("[^a-z0-9]+", query.lower()) if t]
+
+
 def query_terms(query: str, stop: frozenset[str] = frozenset()) -> list[str]:
     """Distinct terms of a query, in order."""
-    return list(dict.fromkeys(t for t in re.split("[^a-z0-9]+", query.lower()) if t and t not in stop))
+    return list(dict.fromkeys(t for t in words(query) if t not in stop))
 
 
 def occurrences(text: Column, needle: Column | str) -> Column:

@@ -7,12 +7,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import english
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import boost, documents, filters, fusion, graph, metrics, rerank, respond, routing, search
+from tessera.operators import boost, documents, filters, fusion, graph, metrics, rerank, respond, routing, search, text_index
 from tessera.plans.registry import query, r8
 from tessera.sources import graph_tables as gt
-from tessera.sources import sinks
+from tessera.sources import sinks, stored
 from tessera.streaming import state
 
 t = gt.table
@@ -69,7 +70,12 @@ def vector_text(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select("vec_id", vx.vector_text(F.col("embedding")).alias("vector"))
 
 
-# Full-text search, simple profile.
+# Full-text search, simple profile, over a stored index that the first of these queries writes.
+def text_indexed(spark: SparkSession, d: str, profile: str = "simple") -> text_index.TextIndex:
+    source = f"{d}/documents.parquet"
+    return text_index.TextIndex.open(spark, stored.stored(spark, f"text-{profile}", [source], lambda to: text_index.build(spark.read.parquet(source), to, profile, attributes=("source",))))
+
+
 TOKS = "toks AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''] AS toks FROM documents)"
 COVERS = """places AS (
   SELECT doc_id, n_tokens, pos, term FROM (SELECT doc_id, len(toks) AS n_tokens, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM toks WHERE list_contains(toks, 'with') AND list_contains(toks, 'from')) WHERE term IN ('with', 'from')
@@ -84,17 +90,17 @@ COVERS = """places AS (
 
 @query(f"WITH {TOKS}, {COVERS} SELECT doc_id, CAST(n_tokens AS INTEGER) AS n_tokens, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10")
 def text_cover_density(spark: SparkSession, d: str) -> DataFrame:
-    return search.text_search(t(spark, d, "documents"), "with from", 10).withColumn("score", r8("score"))
+    return text_index.text_search(text_indexed(spark, d), "with from", 10).withColumn("score", r8("score"))
 
 
 @query(f"WITH {TOKS.replace('FROM documents', "FROM documents WHERE source = 'src3'")}, {COVERS} SELECT doc_id, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score >= 0.00001 QUALIFY rank <= 5")
 def text_category(spark: SparkSession, d: str) -> DataFrame:
-    return search.text_search(t(spark, d, "documents"), "with from", 5, category=F.col("source") == "src3", min_score=0.00001).select("doc_id", r8("score").alias("score"), "rank")
+    return text_index.text_search(text_indexed(spark, d), "with from", 5, F.col("source") == "src3", 0.00001).select("doc_id", r8("score").alias("score"), "rank")
 
 
 @query(f"WITH {TOKS}, p AS (SELECT doc_id, toks, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM toks), h AS (SELECT doc_id, len(toks) AS n_tokens, count(*) AS hits FROM p WHERE term = 'of' AND toks[pos + 1] = 'the' GROUP BY ALL) SELECT doc_id, CAST(hits AS INTEGER) AS hits, round(CAST(hits AS DOUBLE) / n_tokens, 8) AS score, CAST(row_number() OVER (ORDER BY CAST(hits AS DOUBLE) / n_tokens DESC, doc_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 10")
 def text_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.phrase_search(t(spark, d, "documents"), "of the").select("doc_id", "hits", r8("score").alias("score"), "rank")
+    return text_index.phrase_search(text_indexed(spark, d), "of the").select("doc_id", "hits", r8("score").alias("score"), "rank")
 
 
 @query(f"""WITH {TOKS}, c AS (SELECT doc_id, len(toks) AS n, len([x FOR x IN toks IF x = 'worthless']) AS a, len([x FOR x IN toks IF x = 'from']) AS b FROM toks WHERE len(toks) > 0),
@@ -102,7 +108,7 @@ s AS (SELECT count(*) AS n_docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da,
 r AS (SELECT doc_id, ln(1 + (n_docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (n_docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM c, s WHERE a > 0 OR b > 0)
 SELECT doc_id, round(CAST(score AS DOUBLE), 7) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10""")
 def text_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25_search(t(spark, d, "documents"), "worthless from").select("doc_id", F.round("score", 7).alias("score"), "rank")
+    return text_index.bm25_search(text_indexed(spark, d), "worthless from").select("doc_id", F.round("score", 7).alias("score"), "rank")
 
 
 @query(f"WITH {TOKS} SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_lexemes FROM toks")
@@ -110,6 +116,25 @@ def text_lexemes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").cast("long").alias("n_tokens"), F.size(F.array_distinct("k")).cast("long").alias("n_lexemes"))
 
 
+# The English profile: stop words out, stems by the same rules in both engines.
+STOP_SQL = "('" + "','".join(sorted(english.STOP_WORDS)) + "')"
+ENGLISH = f"""each AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''] AS toks FROM documents)), left_ AS (SELECT * FROM each WHERE token NOT IN {STOP_SQL}), {english.duckdb_sql("left_")},
+e AS (SELECT doc_id, pos, stem AS term FROM left_ JOIN stems USING (token)), sizes AS (SELECT doc_id, count(*) AS n_tokens FROM e GROUP BY doc_id)"""
+
+
+@query(f"""WITH {ENGLISH}, places AS (SELECT doc_id, pos, term FROM e WHERE term IN ('onli', 'hous')), latest AS (SELECT doc_id, pos, max(CASE WHEN term = 'onli' THEN pos END) OVER w AS a, max(CASE WHEN term = 'hous' THEN pos END) OVER w AS b FROM places WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+covers AS (SELECT doc_id, least(a, b) AS begin_, min(pos) AS end_ FROM latest WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), scored AS (SELECT doc_id, n_tokens, sum(CAST(1 AS DOUBLE) / (end_ - begin_ + 1)) / (1 + ln(CAST(n_tokens AS DOUBLE))) / n_tokens AS score FROM covers JOIN sizes USING (doc_id) GROUP BY doc_id, n_tokens)
+SELECT doc_id, CAST(n_tokens AS INTEGER) AS n_tokens, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20""")
+def text_english(spark: SparkSession, d: str) -> DataFrame:
+    return text_index.text_search(text_indexed(spark, d, "english"), "only the houses", 20).withColumn("score", r8("score"))
+
+
+@query(f"WITH {ENGLISH} SELECT token, stem FROM stems")
+def text_stems(spark: SparkSession, d: str) -> DataFrame:
+    words = t(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).where(~F.col("token").isin(sorted(english.STOP_WORDS))).distinct()
+    return english.stemmed(words)
+
+
 # Fusion. The arms are the vector and text top lists, keyed by doc_id = vec_id.
 ARMS = f"""q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), {TOKS}, {COVERS},
 v AS (SELECT vec_id AS id, {SIMILAR} AS score, row_number() OVER (ORDER BY {SIMILAR} DESC, vec_id) AS rank FROM embeddings e, q QUALIFY rank <= 200),
