@@ -93,6 +93,11 @@ def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], w
     return Fragment(pieces[0] if ends else rest, [group(*p) for p in pieces[1:]], rest if ends else ([], []), bool(ends), links, len(a), len(b), len(ends), whole)
 
 
+#: A unit's groups as text, its links and its numbers of tokens.
+Closed = tuple[str, tuple[int, ...], int, int]
+MARKS, NAMES = ("", ",", "|", ";"), [str(i) for i in range(SHIFT)]
+
+
 class Encoder:
     """Both tokenizers with the units met so far: for each its groups as text, its links and numbers of tokens; None if it isn't given back."""
 
@@ -118,7 +123,8 @@ class Encoder:
         self.space = pieces.index("▁")
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("a vocabulary with pieces that go on after a space or hold a newline can't be encoded by units")
-        self.kept: dict[str, tuple[str, tuple[int, ...], int, int] | None] = {}
+        self.a_sizes, self.b_sizes = np.array([*map(len, self.a_bytes)]), np.array([*map(len, self.b_bytes)])
+        self.kept: dict[str, Closed | None] = {}
 
     def units(self, text: str) -> list[str]:
         """Units of a text that begins with a space; they tile it."""
@@ -134,16 +140,52 @@ class Encoder:
             raw, x, y = u.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
             yield a, [*accumulate(map(len, x))], b, [*accumulate(map(len, y))], b"".join(x) == raw == b"".join(y)
 
-    def learn(self, units: set[str]) -> dict[str, tuple[str, tuple[int, ...], int, int] | None]:
+    def close(self, units: list[str]) -> list[Closed | None]:
+        """Units by themselves; those that need no care at once."""
+        plain = [u for u in units if "▁" not in u and not u[-1].isspace()]
+        found = {}
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            made = self.close_all(some)
+            if made is not None:
+                found |= zip(some, made, strict=True)
+        rest = [u for u in units if u not in found]
+        found |= zip(rest, (closed(a, x, b, y) if whole else None for a, x, b, y, whole in self.encode(rest)), strict=True)
+        return [found[u] for u in units]
+
+    def close_all(self, units: list[str]) -> list[Closed] | None:
+        """Units that end in no space, encoded as one text by the first tokenizer; nothing if the second does not give them back."""
+        text = "".join(units)
+        raw, a, pieces = text.encode(), np.array(self.a(text), np.int64), self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        b = np.fromiter(chain.from_iterable(y if u[0] == " " else y[1:] for u, y in zip(units, pieces, strict=True)), np.int64)
+        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw:
+            return None
+        ends, a_ends, b_ends = np.cumsum([len(u.encode()) for u in units]), np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        links = a[np.searchsorted(a_ends, common)] * SHIFT + b[np.searchsorted(b_ends, common)]
+        unit = np.searchsorted(ends, common)  # of each group
+        part = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+        order = np.argsort(part, kind="stable")
+        part, ids = part[order], np.concatenate([a, b])[order]
+        first = np.append(True, part[1:] != part[:-1])
+        opens = np.append(True, unit[1:] != unit[:-1])[part >> 1]
+        mark = np.where(~first, 1, np.where(part % 2 == 1, 2, np.where(opens, 0, 3)))
+        shown = [MARKS[m] + NAMES[i] for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
+        stops = np.cumsum(np.bincount(unit[part >> 1], np.fromiter(map(len, shown), np.int64, len(shown)), len(units))).astype(np.int64).tolist()
+        cuts, all_, flat = np.cumsum(np.bincount(unit, minlength=len(units))).tolist(), "".join(shown), links.tolist()
+        n_a, n_b = (np.bincount(np.searchsorted(ends, e), minlength=len(units)).tolist() for e in (a_ends, b_ends))
+        return [(all_[i:j], tuple(flat[k:m]), x, y) for i, j, k, m, x, y in zip([0, *stops], stops, [0, *cuts], cuts, n_a, n_b)]
+
+    def learn(self, units: list[str]) -> list[Closed | None]:
         """What the units give; it is kept for those that aren't long."""
         new = [u for u in units if u not in self.kept]
-        made = dict(zip(new, (closed(a, x, b, y) if whole else None for a, x, b, y, whole in self.encode(new)), strict=True))
-        found = {u: made[u] if u in made else self.kept[u] for u in units}
+        made = dict(zip(new, self.close(new), strict=True))
+        found = [made[u] if u in made else self.kept[u] for u in units]
         if len(self.kept) + len(new) > KEPT:
             self.kept = {}
         self.kept |= {u: x for u, x in made.items() if len(u) <= LONG}
         return found
-    
+
     def range(self, text: str, start: int, low: int, high: int) -> Fragment:
         """The fragment of the tokens that end in (low, high] of the units of text, which begins at byte start."""
         units = self.units(text)
@@ -158,7 +200,7 @@ class Encoder:
         return parts[0]
 
 
-def closed(a: list[int], x: list[int], b: list[int], y: list[int]) -> tuple[str, tuple[int, ...], int, int]:
+def closed(a: list[int], x: list[int], b: list[int], y: list[int]) -> Closed:
     """Groups as text, links and numbers of tokens of a unit by ids and ends; both end where it ends."""
     ends, groups, links, i, j = set(y), [], [], 0, 0
     for m, e in enumerate(x, 1):
@@ -215,6 +257,27 @@ def columns(rows: list[dict], schema: str) -> list[pa.Array]:
     return [pa.array([r[name] for r in rows], kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
 
 
+def whole_rows(e: Encoder, units: list[list[str]]) -> list[pa.Array]:
+    """ROW's columns of texts as lists of units: what their distinct units give is put together by numbers."""
+    distinct = [*set().union(*units)]
+    known = e.learn(distinct)
+    number = {u: i for i, u in enumerate(distinct)}.__getitem__
+    each = [np.fromiter(map(number, us), np.int64, len(us)) for us in units]
+    bad = np.array([x is None for x in known], bool)
+    each = [i if not bad[i].any() else i[:0] for i in each]
+    texts = [x[0] if x else "" for x in known]
+    n_a, n_b, n_links = (np.array([f(x) if x else 0 for x in known], np.int64) for f in (lambda x: x[2], lambda x: x[3], lambda x: len(x[1])))
+    flat, first = np.fromiter(chain.from_iterable(x[1] for x in known if x), np.int64), np.cumsum(n_links) - n_links
+    at = np.concatenate([*each, np.zeros(0, np.int64)])
+    doc, sizes = np.repeat(np.arange(len(each)), [len(i) for i in each]), n_links[at]
+    place = np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    pairs, times = np.unique(np.repeat(doc, sizes) << 33 | flat[place], return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(len(each) + 1) << 33).astype(np.int32))
+    total = lambda n: pa.array(np.bincount(doc, n[at], len(each)).astype(np.int64))
+    hashes = [hashlib.sha256(";".join([texts[j] for j in i.tolist()]).encode()).hexdigest() if len(i) else "" for i in each]
+    return [total(n_a), total(n_b), total(n_links), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pairs & ((1 << 33) - 1))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+
+
 def short_rows(docs: DataFrame, folder: str) -> DataFrame:
     """(id, ROW) of whole texts."""
 
@@ -223,18 +286,8 @@ def short_rows(docs: DataFrame, folder: str) -> DataFrame:
         for big in batches:
             for first in range(0, big.num_rows, 500):
                 batch = big.slice(first, 500)
-                texts = batch["text"].to_pylist()
-                units = [e.units(" " + t) if t else [] for t in texts]
-                known, rows = e.learn(set().union(*units)).__getitem__, []
-                for us in units:
-                    found = [*map(known, us)]
-                    if not found or None in found:
-                        rows.append(NOTHING)
-                        continue
-                    parts, links, n_a, n_b = zip(*found, strict=True)
-                    links = [*chain.from_iterable(links)]
-                    rows.append(finished(";".join(parts), links, sum(n_a), sum(n_b), len(links)))
-                yield pa.RecordBatch.from_arrays([batch["id"], *columns(rows, ROW)], ["id", *(x.split()[0] for x in ROW.split(", "))])
+                units = [e.units(" " + t) if t else [] for t in batch["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["id"], *whole_rows(e, units)], ["id", *(x.split()[0] for x in ROW.split(", "))])
 
     return docs.mapInArrow(run, f"id long, {ROW}")
 

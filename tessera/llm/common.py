@@ -41,6 +41,14 @@ def small(df: DataFrame, ints: str | None = None) -> DataFrame:
     return F.broadcast(df) if size[0] <= ROWS_AT_MOST and (size[1] or 0) <= INTS_AT_MOST else df
 
 
+def free(df: DataFrame, *names: str) -> str:
+    """A prefix with which none of the names is a column of df, whatever its case."""
+    taken, prefix = {c.lower() for c in df.columns}, "__"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

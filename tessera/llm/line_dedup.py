@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.llm.common import cut, shuffle_partitions, small, spread
+from tessera.llm.common import cut, free, shuffle_partitions, small, spread
 
 #: A position: its text (is the id null, the id or 0, a hash of id and text) and the unit's number in it.
 TEXT = ["none", "id", "doc"]
@@ -392,16 +392,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Columns of docs that clash with n_lines and gone are replaced unless prefix tells them apart. An empty table gives
     no rows.
     """
-    gone = repeats(docs, id_col, text_col, least).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("gone_lines").alias("__lines"), F.col("gone_units").alias("__units"), F.col("whole").alias("__whole"))
-    rows = docs.drop(f"{prefix}n_lines", f"{prefix}gone").withColumn("__own", text_key(F.col(id_col).cast("long"), F.col(text_col)))
-    rows = rows.join(small(gone, "__lines"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__key")), "left").drop("__own", "__doc_id", "__key")
-    kept = rows.drop("__lines", "__units", "__whole").schema
+    p = free(docs, "doc_id", "key", "lines", "units", "whole", "own")
+    gone = repeats(docs, id_col, text_col, least).select(F.col("doc_id").alias(f"{p}doc_id"), F.col("key").alias(f"{p}key"), F.col("gone_lines").alias(f"{p}lines"), F.col("gone_units").alias(f"{p}units"), F.col("whole").alias(f"{p}whole"))
+    rows = docs.drop(f"{prefix}n_lines", f"{prefix}gone").withColumn(f"{p}own", text_key(F.col(id_col).cast("long"), F.col(text_col)))
+    rows = rows.join(small(gone, f"{p}lines"), F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}doc_id")) & (F.col(f"{p}own") == F.col(f"{p}key")), "left").drop(f"{p}own", f"{p}doc_id", f"{p}key")
+    kept = rows.drop(f"{p}lines", f"{p}units", f"{p}whole").schema
     schema = StructType([*kept.fields, StructField(f"{prefix}n_lines", IntegerType()), StructField(f"{prefix}gone", ArrayType(IntegerType()))])
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            done = [(None, 0, []) if t is None else rest_of(t, x or [], y or [], bool(w), least) for t, x, y, w in zip(*(batch.column(c).to_pylist() for c in (at, "__lines", "__units", "__whole")), strict=True)]
+            done = [(None, 0, []) if t is None else rest_of(t, x or [], y or [], bool(w), least) for t, x, y, w in zip(*(batch.column(c).to_pylist() for c in (at, f"{p}lines", f"{p}units", f"{p}whole")), strict=True)]
             columns = [batch.column(c) for c in kept.names]
             columns[kept.names.index(text_col)] = pa.array([t for t, _, _ in done], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in done], pa.int32()), pa.array([g for _, _, g in done], pa.list_(pa.int32()))], [*kept.names, f"{prefix}n_lines", f"{prefix}gone"])

@@ -42,6 +42,8 @@ BARE = re.compile(r"[A-Za-z0-9_+/.~!@#$%^&*-]++(?:={1,2}(?=[\s,;)]|\Z))?")
 CHAINED = re.compile(r"[\x20\t]*+=(?![=>])")
 PLUS = re.compile(r"[\x20\t]*+\+(?=[\x20\t\"'])")
 LOWER, UPPER, DIGITS = (frozenset(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+#: Bits that make a value fully strong, and a bound of its counts.
+FULL, MOST = 40.0, 10**12
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -51,33 +53,49 @@ def sensitivity(name: str) -> float:
 
 
 class Value:
-    """What a name stands for: its own literals' spans, the values it takes over, and the characters of all together."""
+    """What a name stands for: its own literals' spans, the values it takes over, and what is needed of their characters.
+
+    The bits of a sum are at least those of its parts, so once they reach FULL the counts are dropped: a value keeps some
+    twelve counts at most, however often it is passed on or doubled.
+    """
 
     def __init__(self):
         self.spans: list[tuple[int, int]] = []
         self.parts: list[Value] = []
         self.counts: Counter = Counter()
-        self.size, self.marked, self.dummy = 0, False, True
+        self.size, self.marked, self.dummy, self.full, self.spaced = 0, False, True, False, False
+        self.classes: set[str] = set()
 
     def literal(self, text: str, a: int, b: int) -> None:
         self.spans.append((a, b))
-        self.counts.update(text[a:b])
-        self.size += b - a
+        self.add(Counter(text[a:b]), b - a, {"a" if c in LOWER else "A" if c in UPPER else "0" if c in DIGITS else "-" for c in set(text[a:b])}, " " in text[a:b])
         self.dummy = self.dummy and bool(DUMMY.match(text, a, b))
 
     def take(self, other: Value) -> None:
         self.parts.append(other)
-        self.counts.update(other.counts)
-        self.size += other.size
+        self.full = self.full or other.full
+        self.add(other.counts, other.size, other.classes, other.spaced)
         self.dummy = self.dummy and other.dummy
 
+    def add(self, counts: Counter, size: int, classes: set[str], spaced: bool) -> None:
+        self.size, self.spaced = min(self.size + size, MOST), self.spaced or spaced
+        self.classes |= classes
+        if not self.full:
+            for c, n in counts.items():
+                self.counts[c] = min(self.counts[c] + n, MOST)
+            self.full = self.bits() >= FULL
+        if self.full:
+            self.counts = Counter()
+
+    def bits(self) -> float:
+        size = sum(self.counts.values())
+        return -sum(n * math.log2(n / size) for n in self.counts.values())
+
     def strength(self) -> float:
-        """From 0 to 1: bits by the frequencies of its own characters, full at 40, with a bonus for mixed classes."""
-        if self.size < 6 or self.dummy or self.counts[" "]:
+        """From 0 to 1: bits by the frequencies of its own characters, full at FULL, with a bonus for mixed classes."""
+        if self.size < 6 or self.dummy or self.spaced:
             return 0.0
-        bits = -sum(n * math.log2(n / self.size) for n in self.counts.values())
-        classes = len({"a" if c in LOWER else "A" if c in UPPER else "0" if c in DIGITS else "-" for c in self.counts})
-        return min(1.0, bits / 40.0) * (0.6 + 0.2 * min(2, classes - 1))
+        return (1.0 if self.full else self.bits() / FULL) * (0.6 + 0.2 * min(2, len(self.classes) - 1))
 
     def mark(self, found: set[tuple[int, int]]) -> None:
         """Adds all spans that it stands for; a value is gone through once, however often it is passed on."""

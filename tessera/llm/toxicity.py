@@ -96,11 +96,12 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, margin)))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Model:
     """Fits on at most `most` labelled ids whose crc32(id as text) mod 3 isn't 1, those of the smallest hash of their id.
 
     An id counts with one text, however many rows it has: that of the smallest hash; of its labels the largest counts.
-    If the chosen texts have more than TRAIN_FEATURES features together, those of the largest hashes of ids are left out.
+    The chosen texts are a sample bounded twice: if they have more than `most_features` features together, those of the largest
+    hashes of ids are left out.
     The labels chosen (at most `most` pairs of numbers) are broadcast to a scan of docs, which keeps their rows only;
     what reaches the driver is hashed features of these, in an order that depends on ids alone. Labels that are null
     or not 0 or 1, and rows without id, don't count. Without labels the model is empty and every score is 0.5.
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = cut(rows.select("doc_id", "text", "label").mapInArrow(hashed, "doc_id long, label int, at array<int>"))
     sizes = found.select("doc_id", F.size("at").alias("n")).toArrow()  # `most` rows at most
     order = np.lexsort((sizes["doc_id"].to_numpy(), mix64(sizes["doc_id"].to_numpy().astype(np.uint64))))
-    fit = sizes["doc_id"].to_numpy()[order][np.cumsum(sizes["n"].to_numpy()[order].astype(np.int64)) <= TRAIN_FEATURES]
+    fit = sizes["doc_id"].to_numpy()[order][np.cumsum(sizes["n"].to_numpy()[order].astype(np.int64)) <= most_features]
     if len(fit) < len(order):
         found = found.where(F.col("doc_id").isin(fit.tolist()))
     table = found.toArrow()

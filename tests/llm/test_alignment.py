@@ -80,12 +80,20 @@ def test_units_are_encoded_as_in_the_text(tokenizers, byte_level, spark):
             assert whole == bool(tokens(tokenizers, text)[0])
 
 
+def test_units_at_once_and_one_by_one(tokenizers, spark):
+    corpus = [t for (t,) in spark.read.parquet(f"{D}/documents.parquet").select("text").limit(60).collect() if t]
+    units = [*{u for t in [*ODD, *fuzzed(300, 9), *corpus] if t for u in tokenizers.units(" " + t)}]
+    plainly = [alignment.closed(*x[:4]) if x[4] else None for x in tokenizers.encode(units)]
+    assert tokenizers.close(units) == plainly and None in plainly
+    assert tokenizers.close_all([u for u, x in zip(units, plainly) if x and not u[-1].isspace()]) is not None
+
+
 def test_kept_units_change_nothing(tokenizers, monkeypatch):
-    texts = fuzzed(60, 7)
-    want = [tokenizers.learn(set(tokenizers.units(" " + t))) for t in texts]
+    texts = [[*dict.fromkeys(tokenizers.units(" " + t))] for t in fuzzed(60, 7)]
+    want = [tokenizers.learn(us) for us in texts]
     monkeypatch.setattr(alignment, "KEPT", 20)
     monkeypatch.setattr(alignment, "LONG", 5)
-    assert [tokenizers.learn(set(tokenizers.units(" " + t))) for t in texts] == want and len(tokenizers.kept) < 100
+    assert [tokenizers.learn(us) for us in texts] == want and len(tokenizers.kept) < 100
 
 
 def test_fragments_compose_in_any_order(tokenizers):

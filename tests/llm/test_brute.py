@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -337,6 +338,32 @@ def test_lexer_takes_linear_time():
 
 
 # Toxicity.
+def test_values_that_grow_without_end():
+    for start in ("abc9XYZ!q", "aaaa", "ab"):
+        doubled = f"secret = '{start}'\n" + "secret = secret + secret\n" * 5000
+        assert len(secrets.pairs(doubled)) == (start != "aaaa")
+    began = time.process_time()
+    grown = "token = 'x'\n" + "".join(f"token = token + '{chr(0x4E00 + i)}'\n" for i in range(15_000))
+    assert len(secrets.pairs(grown)) == 15_001
+    assert time.process_time() - began < 5
+
+
+def test_strength_against_plain_counts():
+    r = random.Random(8)
+    for _ in range(300):
+        parts = ["".join(r.choice("aab1Z- " if r.random() < 0.2 else "aab1Z-x") for _ in range(r.randrange(9))) for _ in range(r.randrange(1, 6))]
+        value, text = secrets.Value(), "".join(parts)
+        for p in parts:
+            one = secrets.Value()
+            one.literal(p, 0, len(p))
+            value.take(one)
+        counts, n = Counter(text), len(text)
+        bits = -sum(k * math.log2(k / n) for k in counts.values())
+        kinds = len({"a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in text})
+        want = 0.0 if n < 6 or " " in text else min(1.0, bits / 40) * (0.6 + 0.2 * min(2, kinds - 1))
+        assert abs(value.strength() - want) < 1e-9 or value.dummy
+
+
 def test_ftrl_against_plain_dictionaries():
     rng = np.random.default_rng(2)
     rows = [(np.unique(rng.integers(0, 50, rng.integers(1, 12))), int(rng.random() < 0.3)) for _ in range(200)]

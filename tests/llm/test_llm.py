@@ -34,7 +34,7 @@ def test_odd_tables(spark, odd):
 def test_odd_stages(spark, odd):
     import corpus_pipeline
 
-    clash = ["toxicity", "gone", "n_lines", "copies", "size", "fp", "component_id", "pieces"]
+    clash = ["__row", "__ROW_", "__id", "__kept", "__key", "__copies", "__copy", "__toxicity", "__gone", "__n_lines", "toxicity", "gone", "n_lines", "copies", "size", "fp", "component_id", "pieces"]
     docs = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *[F.lit(c).alias(c) for c in clash])
     for table in (docs, docs.where("false")):
         for name, stage in corpus_pipeline.STAGES[:-1]:
