@@ -35,4 +35,5 @@ def vector_text(a: Column) -> Column:
 
 
 def valid(a: Column, dim: int) -> Column:
-    return a.isNotNull() & (F.size(a) == dim) & ~F.exists(a, lambda x: x.isNull() | F.isnan(x))
+    """Whether a vector has the dimension and finite numbers."""
+    return a.isNotNull() & (F.size(a) == dim) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import documents
+from tessera.operators import documents, order
 
 YAML_FRONT, JSON_FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", r"(?s)\A~~~json\s*\n(.*?)\n~~~\s*(?:\n|\z)"
 #: Metadata keys that may hold a chunk's place in its document, the first list found counts.
@@ -135,15 +135,11 @@ def file_header(path: Column, index: Column) -> Column:
 def batches(df: DataFrame, size: int, id_col: str) -> DataFrame:
     """df with batch, start and end (exclusive) of slices of a fixed size in the order of a unique integer id, from 0.
 
-    Places come from counts over 256 equal ranges of ids, so that no task orders all rows.
+    Places come from counts over quantiles of the ids, so that no task orders all rows and ids may bunch anywhere.
+    Rows without id are left out.
     """
-    edge = df.agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"))
-    rows = df.join(F.broadcast(edge)).withColumn("__part", F.floor((F.col(id_col) - F.col("__lo")) * 256 / (F.col("__hi") - F.col("__lo") + 1)).cast("int")).drop("__lo", "__hi")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    at = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(id_col)) - 1
-    placed = rows.join(F.broadcast(counts), "__part").withColumn("batch", F.floor(at / size)).drop("__part", "__before")
-    total = df.agg(F.count("*").alias("__total"))
+    placed = order.places(df, id_col, "__at").withColumn("batch", F.floor(F.col("__at") / size)).drop("__at")
+    total = df.agg(F.count(id_col).alias("__total"))
     return placed.join(F.broadcast(total)).withColumn("start", F.col("batch") * size).withColumn("end", F.least(F.col("start") + size, F.col("__total"))).drop("__total")
 
 

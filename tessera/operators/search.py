@@ -34,21 +34,24 @@ def vector_search(chunks: DataFrame, query: list[float] | Column, k: int = 10, m
     return ranked(top.withColumn("similarity", vx.clamp(1.0 - F.col("distance"))), F.col("distance"), F.col(id_col))
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, metric: str, name: str) -> DataFrame:
-    """(dim, name): vectors without null or NaN components (nor, for cosine, zero ones) packed by length into blocks of about BLOCK."""
+def blocks(df: DataFrame, id_col: str, vec_col: str, metric: str, name: str, packs: int) -> DataFrame:
+    """(dim, pack, name): finite vectors (for cosine, no zero ones) packed by length into blocks of about BLOCK.
+
+    A vector's pack is a hash of its id; rows that repeat an id more than a block's worth make that block larger.
+    """
     v = F.col("vec")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = rows.where(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     if metric == "cosine":
         rows = rows.where(F.exists(v, lambda x: x != 0))
-    packs = max(1, -(-rows.count() // BLOCK))
-    return rows.groupBy(F.size("vec").alias("dim"), F.pmod(F.xxhash64("at"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("id", "vec")).alias(name)).drop("pack")
+    return rows.groupBy(F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct("id", "vec")).alias(name))
 
 
 def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of each query row (query_id, query_vec), however many there are.
 
-    Queries and rows meet in blocks of one length, and each pair of blocks hands on its k best for each query.
+    Queries and rows meet in blocks of one length, and each pair of blocks hands on its k best for each query. A pair's
+    key is the length and the pack of rows, to which every block of queries goes: pairs are spread over all tasks.
     """
     if metric not in ("cosine", "l2", "inner_product"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -70,7 +73,10 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, metric: str
                 near = np.lexsort((np.broadcast_to(xi, far.shape), far), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, near.shape[1])), pa.array(xi[near].reshape(-1)), pa.array(np.take_along_axis(far, near, 1).reshape(-1))], ["query_id", id_col, "distance"])
 
-    pairs = blocks(queries, "query_id", "query_vec", metric, "q").join(blocks(chunks, id_col, vec_col, metric, "x"), "dim").select("q", "x")
+    packs = max(1, -(-chunks.count() // BLOCK))
+    rows = blocks(chunks, id_col, vec_col, metric, "x", packs)
+    asked = blocks(queries, "query_id", "query_vec", metric, "q", max(1, -(-queries.count() // BLOCK))).drop("pack").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    pairs = asked.join(rows, ["dim", "pack"]).select("q", "x")
     found = pairs.mapInArrow(compare, f"query_id long, {id_col} long, distance double")
     by = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

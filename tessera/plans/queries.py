@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import english
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import boost, documents, filters, fusion, graph, metrics, rerank, respond, routing, search, text_index
+from tessera.operators import boost, documents, filters, fusion, graph, metrics, order, rerank, respond, routing, search, text_index
 from tessera.plans.registry import query, r8
 from tessera.sources import graph_tables as gt
 from tessera.sources import sinks, stored
@@ -60,7 +60,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count("embedding").alias("with_vector"), F.countDistinct("label").alias("categories"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x)]) = 0 AS valid FROM embeddings")
+@query("SELECT vec_id, len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AS valid FROM embeddings")
 def vector_valid(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select("vec_id", vx.valid(F.col("embedding"), 64).alias("valid"))
 
@@ -480,10 +480,10 @@ def metric_averages(spark: SparkSession, d: str) -> DataFrame:
     return metrics.averages(m, ["precision"]).select("queries", r8("precision").alias("precision"))
 
 
-@query("WITH r AS (SELECT lang AS query_id, n_chars AS score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents), l AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM r WHERE rank <= 1000) SELECT query_id, count(*) AS n, min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AS ranks_valid, bool_and(before IS NULL OR score <= before) AS sorted FROM l GROUP BY query_id")
+@query("WITH r AS (SELECT lang AS query_id, n_chars AS score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents), l AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM r) SELECT query_id, count(*) AS n, min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AS ranks_valid, bool_and(before IS NULL OR score <= before) AS sorted FROM l GROUP BY query_id")
 def rank_order(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return metrics.order_check(t(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("n_chars").alias("score"), rank.alias("rank")), "score")
+    placed = order.places(t(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("n_chars").alias("score"), "doc_id"), "doc_id", "place", ("query_id",))
+    return metrics.order_check(placed.withColumn("rank", F.col("place") + 1), "score")
 
 
 @query(f"WITH {RANKED}, a AS (SELECT query_id, doc_id, rank AS x, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS y FROM r) SELECT query_id, round(1 - 6 * CAST(sum((x - y) * (x - y)) AS DOUBLE) / (count(*) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 8) AS correlation FROM a GROUP BY query_id")
@@ -512,6 +512,26 @@ def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     return points.groupBy("weight", F.col("lang").alias("query_id")).agg(F.round(F.sum(vx.clamp(F.col("base") * (1 + F.col("weight") * F.col("hit")))), 6).alias("total"))
 
 
+SWEPT = {"vendor": "CASE WHEN source = 'src1' THEN 1 ELSE 0 END", "entity": "CASE WHEN contains(lower(text), 'worthless') THEN 1 ELSE 0 END", "recency": "doc_id % 7 / CAST(7 AS DOUBLE)"}
+
+
+@query(f"""WITH b AS (SELECT lang AS query_id, doc_id, toxic = 1 OR quality = 1 AS relevant, 0.4 + (doc_id * 37 % 101) / CAST(1000 AS DOUBLE) AS base, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in SWEPT.items())} FROM documents JOIN labels USING (doc_id)),
+p AS (SELECT unnest(['vendor', 'entity', 'recency']) AS factor), w AS (SELECT CAST(unnest([0, 5, 10, 15, 20, 25, 30]) AS DOUBLE) / 100 AS weight),
+s AS (SELECT factor, weight, query_id, doc_id, relevant, round(least(1, base * (1 + CASE WHEN factor = 'vendor' THEN weight ELSE CAST(0.15 AS DOUBLE) END * vendor + CASE WHEN factor = 'entity' THEN weight ELSE CAST(0.1 AS DOUBLE) END * entity + CASE WHEN factor = 'recency' THEN weight ELSE CAST(0.05 AS DOUBLE) END * recency)), 12) AS score FROM b, p, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY factor, weight, query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
+i AS (SELECT query_id, least(10, count(*)) AS n FROM b WHERE relevant GROUP BY query_id), g AS (SELECT unnest(range(1, 11)) AS j), d AS (SELECT query_id, sum(1 / (1 + log2(j))) AS ideal FROM i JOIN g ON j <= n GROUP BY query_id),
+q AS (SELECT factor, weight, query_id, sum(CASE WHEN relevant THEN 1 / (1 + log2(rank)) ELSE 0 END) / min(ideal) AS ndcg, coalesce(CAST(1 AS DOUBLE) / min(CASE WHEN relevant THEN rank END), 0) AS mrr, count(*) FILTER (relevant) / CAST(10 AS DOUBLE) AS precision FROM r JOIN d USING (query_id) GROUP BY ALL),
+m AS (SELECT factor, weight, avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(precision) AS precision FROM q GROUP BY ALL), c AS (SELECT *, round(CAST(0.4 AS DOUBLE) * ndcg + CAST(0.3 AS DOUBLE) * mrr + CAST(0.3 AS DOUBLE) * precision, 12) AS composite FROM m)
+SELECT factor, weight, round(ndcg, 8) AS ndcg, round(mrr, 8) AS mrr, round(precision, 8) AS precision, round(composite, 8) AS composite, row_number() OVER (PARTITION BY factor ORDER BY composite DESC, weight) = 1 AS is_best FROM c""")
+def factor_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Every weight of every factor ranked in one job; the best weight of each."""
+    c = F.col
+    shown = {"vendor": (c("source") == "src1").cast("double"), "entity": F.lower("text").contains("worthless").cast("double"), "recency": c("doc_id") % 7 / 7.0}
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(c("lang").alias("query_id"), c("doc_id").alias("id"), ((c("toxic") == 1) | (c("quality") == 1)).alias("relevant"), (0.4 + c("doc_id") * 37 % 101 / 1000.0).alias("base"), *[v.alias(n) for n, v in shown.items()])
+    found = metrics.factor_sweep(rows, {"vendor": 0.15, "entity": 0.1, "recency": 0.05})
+    return found.select("factor", "weight", *[r8(x).alias(x) for x in ("ndcg", "mrr", "precision", "composite")], "is_best")
+
+
 @query("SELECT doc_id, round(least(1, sum(s)), 8) AS relevance FROM (SELECT doc_id, CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) / 3 ELSE 0 END + CASE WHEN n > 1 THEN CAST(0.05 AS DOUBLE) * least(n - 1, 2) ELSE 0 END + CASE WHEN contains(substr(l, 1, 200), k) THEN CAST(0.05 AS DOUBLE) ELSE 0 END AS s FROM (SELECT doc_id, l, k, (len(l) - len(replace(l, k, ''))) // len(k) AS n FROM (SELECT doc_id, lower(text) AS l, unnest(['from', 'idiot', 'licensed']) AS k FROM documents))) GROUP BY doc_id")
 def keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", r8(metrics.keyword_relevance(F.col("text"), ["from", "idiot", "licensed"])).alias("relevance"))
