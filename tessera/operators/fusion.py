@@ -57,9 +57,3 @@ def normal_text(score: Column, p99: float = 10.0) -> Column:
 def first_seen(df: DataFrame, id_col: str, order: Column) -> DataFrame:
     """The first row of every id."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(order))).where("__n = 1").drop("__n")
-
-
-def above(df: DataFrame, least: float, k: int, id_col: str, *scores: str) -> DataFrame:
-    """Rows whose first non-zero score reaches the threshold, the k best, ranked anew."""
-    kept = df.withColumn("final", F.coalesce(*[F.nullif(F.col(s), F.lit(0.0)) for s in scores], F.lit(0.0))).where(F.col("final") >= least)
-    return reranked(kept.orderBy(F.desc("final"), id_col).limit(k), F.desc("final"), F.col(id_col))

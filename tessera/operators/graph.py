@@ -14,66 +14,100 @@ from pyspark.sql import functions as F
 from tessera.functions.text import snippet
 
 
+def bucket_name(column: str, buckets: int) -> str:
+    """The column by which a stored table is cut for lookups by another: it says how."""
+    return f"{column}_bucket_{buckets}"
+
+
+def bucket_of(df: DataFrame, column: str) -> tuple[str, int] | None:
+    found = [c for c in df.columns if c.startswith(f"{column}_bucket_")]
+    return (found[0], int(found[0].rpartition("_")[2])) if found else None
+
+
+def hashed(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def keyed(df: DataFrame, column: str, value: object) -> DataFrame:
+    """Rows whose column has the value; of a stored table only that key's partition, and there the row groups that can hold it."""
+    cut = bucket_of(df, column)
+    rows = df if cut is None else df.where(F.col(cut[0]) == hashed(F.lit(value), cut[1]))
+    return rows.where(F.col(column) == value)
+
+
+def joined(few: DataFrame, many: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """few with the rows of many that share column. Of a stored table only the partitions of the keys in few are read, which the planner finds at run time."""
+    cut = bucket_of(many, column)
+    if cut is None:
+        return few.join(many, column, how)
+    return few.withColumn(cut[0], hashed(F.col(column), cut[1])).join(many, [cut[0], column], how).drop(cut[0])
+
+
 def strong(edges: DataFrame, least: float, types: Sequence[str] | None = None) -> DataFrame:
     rows = edges.where(F.col("confidence") >= least)
     return rows.where(F.col("relationship_type").isin(list(types))) if types else rows
 
 
-def named(nodes: DataFrame, prefix: str) -> DataFrame:
-    return nodes.select(F.col("id").alias(f"{prefix}_id"), F.col("text").alias(f"{prefix}_text"), F.col("entity_type").alias(f"{prefix}_type"))
+def few_columns(nodes: DataFrame, *columns: str) -> DataFrame:
+    """Nodes by id with some of their columns."""
+    cut = bucket_of(nodes, "id")
+    return nodes.select("id", *columns, *([cut[0]] if cut else []))
 
 
 def one_hop(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, types: Sequence[str] | None = None, most: int = 50, target_types: Sequence[str] | None = None) -> DataFrame:
     """Outbound neighbours of an entity, strongest first."""
-    out = strong(edges, least, types).where(F.col("source") == start).select(F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence"))
+    out = keyed(strong(edges, least, types), "source", start).select(F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence"))
     ends = nodes if target_types is None else nodes.where(F.col("entity_type").isin(list(target_types)))
-    return out.join(ends, "id").orderBy(F.desc("relationship_confidence"), "id", "relationship_type").limit(most)
+    return joined(out, ends, "id").orderBy(F.desc("relationship_confidence"), "id", "relationship_type").limit(most)
 
 
 def two_hop(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, most: int = 100, distinct: bool = True, score: str = "root") -> DataFrame:
     """Paths of two edges that don't return to the start, a row for each path. score: root, sqrt(c1 c2), or product, c1 c2."""
-    first = strong(edges, least).where(F.col("source") == start).select(F.col("target").alias("mid_id"), F.col("relationship_type").alias("first_type"), F.col("confidence").alias("c1"))
+    first = keyed(strong(edges, least), "source", start).select(F.col("target").alias("source"), F.col("relationship_type").alias("first_type"), F.col("confidence").alias("c1"))
     first = first.distinct() if distinct else first
-    second = strong(edges, least).where(F.col("target") != start).select(F.col("source").alias("mid_id"), F.col("target").alias("id"), F.col("relationship_type").alias("second_type"), F.col("confidence").alias("c2"))
+    cut = bucket_of(edges, "source")
+    second = strong(edges, least).where(F.col("target") != start).select("source", F.col("target").alias("id"), F.col("relationship_type").alias("second_type"), F.col("confidence").alias("c2"), *([cut[0]] if cut else []))
     product = F.col("c1") * F.col("c2")
-    paths = first.join(second, "mid_id").join(nodes.select("id", "text", "entity_type"), "id").join(named(nodes, "mid").select("mid_id", "mid_text"), "mid_id")
+    ends, own = few_columns(nodes, "text", "entity_type"), few_columns(nodes, "text").withColumnRenamed("text", "mid_text")
+    middle = joined(joined(first, second, "source").withColumnRenamed("id", "__end").withColumnRenamed("source", "id"), own, "id").withColumnRenamed("id", "mid_id").withColumnRenamed("__end", "id")
+    paths = joined(middle, ends, "id")
     paths = paths.withColumn("path_confidence", F.sqrt(product) if score == "root" else product)
     return paths.orderBy(F.desc("path_confidence"), "id", "mid_id", "first_type", "second_type").limit(most)
 
 
-def bidirectional(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, most: int = 50) -> DataFrame:
-    """Entities reached out of or into an entity, with the sets of types each way. count is rows of the two-way join; edge_count the edges."""
-    rows = strong(edges, least)
-    out = rows.where(F.col("source") == start).select(F.col("target").alias("id"), F.col("relationship_type").alias("out_type"), F.col("confidence").alias("out_conf"))
-    into = rows.where(F.col("target") == start).select(F.col("source").alias("id"), F.col("relationship_type").alias("in_type"), F.col("confidence").alias("in_conf"))
+def bidirectional(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, most: int = 50, by_target: DataFrame | None = None) -> DataFrame:
+    """Entities reached out of or into an entity, with the sets of types each way. count is rows of the two-way join; edge_count the edges.
+
+    by_target: the same edges, stored for lookups by target.
+    """
+    out = keyed(strong(edges, least), "source", start).select(F.col("target").alias("id"), F.col("relationship_type").alias("out_type"), F.col("confidence").alias("out_conf"))
+    into = keyed(strong(edges if by_target is None else by_target, least), "target", start).select(F.col("source").alias("id"), F.col("relationship_type").alias("in_type"), F.col("confidence").alias("in_conf"))
     both = out.join(into, "id", "full_outer").groupBy("id").agg(
         F.sort_array(F.collect_set("out_type")).alias("outbound"), F.sort_array(F.collect_set("in_type")).alias("inbound"),
         F.greatest(F.coalesce(F.max("out_conf"), F.lit(0.0)), F.coalesce(F.max("in_conf"), F.lit(0.0))).alias("max_confidence"), F.count("*").alias("relationship_count"),
         (F.countDistinct("out_type") + F.countDistinct("in_type")).alias("edge_count"),
     )
-    return both.join(nodes.select("id", "text", "entity_type"), "id").withColumn("min_distance", F.lit(1)).orderBy(F.desc("relationship_count"), F.desc("max_confidence"), "id").limit(most)
+    return joined(both, few_columns(nodes, "text", "entity_type"), "id").withColumn("min_distance", F.lit(1)).orderBy(F.desc("relationship_count"), F.desc("max_confidence"), "id").limit(most)
 
 
 def entity_mentions(mentions: DataFrame, start: str, most: int = 100) -> DataFrame:
     """An entity's mentions, newest first."""
-    rows = mentions.where(F.col("entity_id") == start).select("document_id", "chunk_id", "created_at", "line_key", F.lit(1.0).alias("confidence"), F.lit(0).alias("chunk_index"))
+    rows = keyed(mentions, "entity_id", start).select("document_id", "chunk_id", "created_at", "line_key", F.lit(1.0).alias("confidence"), F.lit(0).alias("chunk_index"))
     return rows.orderBy(F.desc("created_at"), "document_id", "chunk_id", "line_key").limit(most)
 
 
-def entities_in(mentions: DataFrame, nodes: DataFrame, documents: Column) -> DataFrame:
-    """The distinct entities of the documents that a condition selects."""
-    return mentions.where(documents).select(F.col("entity_id").alias("id")).distinct().join(nodes, "id")
-
-
 def entities_by_document(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """The distinct entities of every document: (document_id, id and the node's columns)."""
     return mentions.select("document_id", F.col("entity_id").alias("id")).distinct().join(nodes, "id")
 
 
-def co_mentioned(mentions: DataFrame, start: str, most: int = 100) -> DataFrame:
-    """Entities in the same documents as the given one, by the number of distinct chunks. Only the documents of the start reach the join."""
-    here = mentions.where(F.col("entity_id") == start).select("document_id").distinct()
-    near = mentions.where(F.col("entity_id") != start).join(here, "document_id", "left_semi")
+def co_mentioned(mentions: DataFrame, start: str, most: int = 100, by_document: DataFrame | None = None) -> DataFrame:
+    """Entities in the same documents as the given one, by the number of distinct chunks. Only the documents of the start reach the join.
+
+    by_document: the same mentions, stored for lookups by document.
+    """
+    here = keyed(mentions, "entity_id", start).select("document_id").distinct()
+    near = joined(here, (mentions if by_document is None else by_document).where(F.col("entity_id") != start), "document_id")
     counts = near.groupBy("entity_id").agg(F.countDistinct("document_id", "chunk_id").alias("co_mentions"))
     return counts.orderBy(F.desc("co_mentions"), "entity_id").limit(most)
 
@@ -89,21 +123,23 @@ def type_counts(rows: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("counts"))
 
 
-def two_levels(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, most: int = 50) -> DataFrame:
+def two_levels(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7, most: int = 50, by_target: DataFrame | None = None) -> DataFrame:
     """Entities one or two edges away, edges read both ways: (id, text, entity_type, min_distance, paths, max_confidence).
 
     The confidence of two edges is the root of their product. An entity at distance 1 is not listed again at 2. Edges
     from the start are gathered first; the second level joins only the edges at their ends.
     """
-    rows = strong(edges, least)
-    both = lambda df: df.select(F.col("source").alias("a"), F.col("target").alias("b"), "confidence").unionByName(df.select(F.col("target").alias("a"), F.col("source").alias("b"), "confidence"))
-    first = both(rows.where((F.col("source") == start) | (F.col("target") == start))).where((F.col("a") == start) & (F.col("b") != start)).select(F.col("b").alias("mid"), F.col("confidence").alias("c1"))
-    second = both(rows).where((F.col("a") != start) & (F.col("b") != start)).join(first, F.col("a") == F.col("mid")).select(F.col("b").alias("id"), F.lit(2).alias("d"), F.sqrt(F.col("c1") * F.col("confidence")).alias("c"))
+    out, into = strong(edges, least), strong(edges if by_target is None else by_target, least)
+    ends = lambda a, b, df: df.select(F.col(a).alias("a"), F.col(b).alias("b"), "confidence")
+    first = ends("source", "target", keyed(out, "source", start)).unionByName(ends("target", "source", keyed(into, "target", start))).where(F.col("b") != start).select(F.col("b").alias("mid"), F.col("confidence").alias("c1"))
+    onward = lambda a, b, df: joined(first.withColumnRenamed("mid", a), df.where((F.col(a) != start) & (F.col(b) != start)), a).select(F.col(b).alias("id"), "c1", "confidence")
+    both = onward("source", "target", out).unionByName(onward("target", "source", into))
+    second = both.select("id", F.lit(2).alias("d"), F.sqrt(F.col("c1") * F.col("confidence")).alias("c"))
     reached = first.select(F.col("mid").alias("id"), F.lit(1).alias("d"), F.col("c1").alias("c")).unionByName(second)
     at = reached.groupBy("id").agg(F.min("d").alias("min_distance"), F.struct(*[F.struct(F.count_if(F.col("d") == n).alias("paths"), F.max(F.when(F.col("d") == n, F.col("c"))).alias("max_confidence")).alias(f"d{n}") for n in (1, 2)]).alias("by"))
     own = F.when(F.col("min_distance") == 1, F.col("by.d1")).otherwise(F.col("by.d2"))
     found = at.select("id", "min_distance", own["paths"].alias("paths"), own["max_confidence"].alias("max_confidence"))
-    return found.join(nodes.select("id", "text", "entity_type"), "id").orderBy("min_distance", F.desc("paths"), F.desc(F.round("max_confidence", 12)), "id").limit(most)
+    return joined(found, few_columns(nodes, "text", "entity_type"), "id").orderBy("min_distance", F.desc("paths"), F.desc(F.round("max_confidence", 12)), "id").limit(most)
 
 
 def chunk_mentions(bridge: DataFrame, chunks: DataFrame, entity: str, most: int = 100) -> DataFrame:
@@ -133,7 +169,8 @@ def vendor_info(nodes: DataFrame, edges: DataFrame, name: str, mode: str = "meta
     head = named_.select(F.lit(name).alias("vendor_name"), status.alias("status"), F.when(F.col("n") == 1, F.col("v.id")).alias("vendor_id"))
     out = head.withColumn("entity_ids", F.when(F.col("vendor_id").isNotNull(), F.array("vendor_id")))
     if mode != "ids_only":
-        near = edges.join(F.broadcast(head.select(F.col("vendor_id").alias("source"))), "source", "left_semi").select("source", F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence")).join(nodes.select("id", "text", "entity_type", "confidence"), "id")
+        own = joined(F.broadcast(head.where("vendor_id is not null").select(F.col("vendor_id").alias("source"))), edges, "source").select("source", F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence"))
+        near = joined(own, few_columns(nodes, "text", "entity_type", "confidence"), "id")
         tally = lambda c: near.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"{c}s"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{c}"))
         stats = tally("entity_type").join(F.broadcast(tally("relationship_type")))
         out = out.join(F.broadcast(stats.select(F.struct(F.col("n_entity_type").alias("entity_count"), F.col("n_relationship_type").alias("relationship_count"), F.col("entity_types").alias("entity_types"), F.col("relationship_types")).alias("statistics"))))

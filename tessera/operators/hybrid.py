@@ -10,10 +10,10 @@ from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import boost, fusion, rerank, respond, routing, search
+from tessera.operators import boost, fusion, rerank, respond, routing, search, text_index
 
 STRATEGIES = ("vector", "bm25", "hybrid")
 #: The most rows of one search, and so the size of what is broadcast to fetch their texts: two arms of so many ids.
@@ -46,11 +46,12 @@ class Plan:
     results: DataFrame
 
 
-def plan(chunks: DataFrame, query: str, vector: list[float], k: int = 10, strategy: str | None = None, where: Column | None = None, min_score: float = 0.0, settings: Settings = Settings(), as_of: date | None = None, normalised: bool = False) -> Plan:
+def plan(chunks: DataFrame, query: str, vector: list[float], k: int = 10, strategy: str | None = None, where: Column | None = None, min_score: float = 0.0, settings: Settings = Settings(), as_of: date | None = None, normalised: bool = False, index: text_index.TextIndex | None = None) -> Plan:
     """k rows of each arm that the strategy asks for (routed if None), fused and boosted if both, above the threshold, ranked.
 
     normalised divides fused scores by the most that a row first in both arms can reach, so that thresholds mean the same
-    for every strategy; without it they are at most 1 / (rrf_k + 1) before boosts.
+    for every strategy; without it they are at most 1 / (rrf_k + 1) before boosts. With an index of the chunks' texts by
+    id the text arm reads its postings, and of the chunks only what where asks for.
     """
     if not query.strip():
         raise ValueError("the query is empty")
@@ -65,7 +66,12 @@ def plan(chunks: DataFrame, query: str, vector: list[float], k: int = 10, strate
     if strategy != "bm25":
         arms["vector"] = search.vector_search(kept, vector, k, id_col="chunk_id").select("chunk_id", F.col("similarity").alias("similarity_score"), "rank")
     if strategy != "vector":
-        arms["bm25"] = search.text_search(kept, query, k, id_col="chunk_id", text_col="chunk_text").select("chunk_id", F.col("score").alias("bm25_score"), "rank")
+        if index is None:
+            texts = search.text_search(kept, query, k, id_col="chunk_id", text_col="chunk_text")
+        else:
+            among = None if where is None else kept.select(F.col("chunk_id").alias(index.id_col))
+            texts = text_index.text_search(index, query, k, among=among).withColumnRenamed(index.id_col, "chunk_id")
+        arms["bm25"] = texts.select("chunk_id", F.col("score").alias("bm25_score"), "rank")
     scores = [a.drop("rank") for a in arms.values()]
     found = reduce(lambda a, b: a.join(b, "chunk_id", "full"), scores)
     for name in ("similarity_score", "bm25_score"):
@@ -120,11 +126,11 @@ def semantic_search(chunks: DataFrame, query: str, vector: list[float], top_k: i
     request = {"query": query, "top_k": top_k, "mode": mode}
     offset = respond.offset_of(cursor, request)
     results = hybrid_search(chunks, query, vector, top_k, **({"strategy": "hybrid"} | options))
-    total = F.broadcast(results.agg(F.count("*").alias("total_found")))
-    shown = respond.page(results, offset, page_size)
-    shown = respond.only_fields(shown, fields) if fields else respond.project(shown, mode)
+    counted = results.withColumn("total_found", F.count("*").over(Window.partitionBy()))  # top_k rows at most
+    shown = respond.page(counted, offset, page_size)
+    shown = respond.only_fields(shown, [*fields, "total_found"]) if fields else respond.project(shown, mode, "total_found")
     more = F.col("total_found") > offset + page_size
-    return shown.join(total).withColumn("has_more", more).withColumn("next_cursor", F.when(more, respond.cursor(request, offset + page_size, mode)))
+    return shown.withColumn("has_more", more).withColumn("next_cursor", F.when(more, respond.cursor(request, offset + page_size, mode)))
 
 
 def reranked_search(chunks: DataFrame, query: str, vector: list[float], k: int = 5, least: float = 0.0, available: int = 80, **options: object) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import snippet
+from tessera.functions.vectors import distance
 
 MODES = {
     "ids_only": ("chunk_id", "hybrid_score", "rank"),
@@ -21,12 +22,13 @@ MODES = {
 TOKENS, ENVELOPE = {"ids_only": 10, "metadata": 200, "preview": 800, "full": 1500}, 300
 
 
-def project(page: DataFrame, mode: str) -> DataFrame:
+def project(page: DataFrame, mode: str, *more: str) -> DataFrame:
+    """The columns of a mode, and more that the page has."""
     if mode == "full":
         return page
     if mode == "preview":
         page = page.withColumn("chunk_snippet", snippet(F.col("chunk_text")))
-    return page.select(*MODES[mode])
+    return page.select(*MODES[mode], *more)
 
 
 def only_fields(page: DataFrame, fields: list[str]) -> DataFrame:
@@ -40,10 +42,6 @@ def shorten(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 
 
-def unshorten(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    return shorten(df, {v: k for k, v in names.items()})
-
-
 def query_hash(request: dict) -> str:
     return hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()
 
@@ -83,6 +81,24 @@ def similar_rows(page_: DataFrame, id_col: str, score: str, threshold: float = 0
     return pairs.agg(F.slice(F.sort_array(F.collect_list(F.col(f"b.{id_col}"))), 1, 5).alias("similar_ids"), F.coalesce(F.max(F.col("b.rank") < F.col("a.rank")), F.lit(False)).alias("is_duplicate"))
 
 
+#: Rows of a page at most, by contract; pairs are compared within a page alone.
+PAGE_AT_MOST = 50
+
+
+def content_duplicates(pages: DataFrame, text_col: str = "text", vec_col: str = "embedding", least: float = 0.95, page_col: str = "query_id", rank_col: str = "rank") -> DataFrame:
+    """pages with duplicate_of, the best rank of the same page whose content a row repeats, or null.
+
+    Content repeats if the texts are equal in lower case with single spaces, or the vectors' cosine is at least `least`.
+    A row without text or vector repeats by the other alone. Rows past PAGE_AT_MOST are no page's and stay as they are.
+    """
+    same = F.sha2(F.trim(F.regexp_replace(F.lower(text_col), r"\s+", " ")), 256)
+    rows = pages.select(F.col(page_col).alias("page"), F.col(rank_col).alias("rank"), same.alias("hash"), F.col(vec_col).alias("vec")).where(F.col("rank") <= PAGE_AT_MOST)
+    a, b = rows.alias("a"), rows.alias("b")
+    near = (F.col("a.page") == F.col("b.page")) & (F.col("b.rank") < F.col("a.rank")) & (F.coalesce(F.col("a.hash") == F.col("b.hash"), F.lit(False)) | F.coalesce(1.0 - distance(F.col("a.vec"), F.col("b.vec")) >= least, F.lit(False)))
+    first = a.join(b, near).groupBy(F.col("a.page").alias("__page"), F.col("a.rank").alias("__rank")).agg(F.min("b.rank").alias("duplicate_of"))
+    return pages.join(first, (F.col(page_col) == F.col("__page")) & (F.col(rank_col) == F.col("__rank")), "left").select(*pages.columns, "duplicate_of")
+
+
 def token_estimate(rows: Column, mode: str) -> Column:
     return rows * TOKENS[mode] + ENVELOPE
 

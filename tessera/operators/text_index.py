@@ -161,7 +161,7 @@ def compact(index: TextIndex, path: str) -> TextIndex:
     return new
 
 
-def all_of(index: TextIndex, terms: list[str], where: Column | None) -> DataFrame:
+def all_of(index: TextIndex, terms: list[str], where: Column | None, among: DataFrame | None = None) -> DataFrame:
     """(id, n_tokens, found: array of (term, positions)) for documents that have all terms; only blocks that have all of them are opened."""
     rows = index.postings(terms)
     if len(terms) > 1 and not index.generation:
@@ -170,6 +170,8 @@ def all_of(index: TextIndex, terms: list[str], where: Column | None) -> DataFram
     hits = index.matches(terms, rows)
     if where is not None:
         hits = hits.join(index.documents().where(where).select(index.id_col), index.id_col, "left_semi")
+    if among is not None:
+        hits = hits.join(among.select(F.col(index.id_col).alias(index.id_col)), index.id_col, "left_semi")
     return hits.groupBy(index.id_col, "n_tokens").agg(F.collect_list(F.struct("term", "positions")).alias("found")).where(F.size("found") == len(terms))
 
 
@@ -188,13 +190,16 @@ def density(terms: list[str]) -> Column:
     return F.aggregate(places, start, step, lambda s: s["sum"])
 
 
-def text_search(index: TextIndex, query: str, k: int = 10, where: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """Documents that hold all terms, by cover density over 1 + ln(tokens) and tokens; stop words count no tokens. One shuffle, by document."""
+def text_search(index: TextIndex, query: str, k: int = 10, where: Column | None = None, min_score: float = 0.0, among: DataFrame | None = None) -> DataFrame:
+    """Documents that hold all terms, by cover density over 1 + ln(tokens) and tokens; stop words count no tokens. One shuffle, by document.
+
+    where: on the index's attributes. among: a table whose ids alone are searched.
+    """
     terms = list(dict.fromkeys(t for t, _ in index.terms(query)))
     if not terms:
         return nothing(index.documents(), index.id_col, n_tokens=F.lit(0))
     n = F.col("n_tokens").cast("double")
-    scored = all_of(index, terms, where).withColumn("score", density(terms) / (1.0 + F.log(n)) / n).where(F.col("score") >= min_score)
+    scored = all_of(index, terms, where, among).withColumn("score", density(terms) / (1.0 + F.log(n)) / n).where(F.col("score") >= min_score)
     return ranked(scored.orderBy(F.desc("score"), index.id_col).limit(k), F.desc("score"), F.col(index.id_col)).select(index.id_col, "n_tokens", "score", "rank")
 
 
@@ -206,7 +211,7 @@ def phrase_search(index: TextIndex, phrase: str, k: int = 10, where: Column | No
         return nothing(index.documents(), index.id_col, n_tokens=F.lit(0), hits=F.lit(0))
 
     def begins(term: str, place: int) -> Column:
-        own = F.filter("found", lambda f: f["term"] == term)[0]["positions"]
+        own = F.get(F.filter("found", lambda f: f["term"] == term), F.lit(0))["positions"]
         return F.transform(own, lambda p: p - (place - placed[0][1]))
 
     hits = F.size(reduce(F.array_intersect, (begins(*t) for t in placed)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import english
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import boost, documents, filters, fusion, graph, metrics, order, rerank, respond, routing, search, text_index
+from tessera.operators import boost, documents, filters, fusion, graph, metrics, order, rerank, respond, routing, search, sql_functions, text_index, vector_index
 from tessera.plans.registry import query, r8
 from tessera.sources import graph_tables as gt
 from tessera.sources import sinks, stored
@@ -55,6 +55,31 @@ def vector_batch(spark: SparkSession, d: str) -> DataFrame:
     return search.batch_search(e, asked).select("query_id", "vec_id", r8("distance").alias("distance"), "rank")
 
 
+@query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 7), s AS (SELECT e.vec_id, {SIMILAR} AS c FROM embeddings e, q) SELECT vec_id, round(greatest(0, least(1, c)), 8) AS similarity, CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 25")
+def vector_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The exact search over a stored index, whose partitions are left out by their radii."""
+    source = f"{d}/embeddings.parquet"
+    place = stored.stored(spark, "vectors", [source], lambda to: vector_index.build(spark.read.parquet(source), to))
+    asked = spark.read.parquet(source).where("vec_id = 7").select("embedding").collect()
+    index = vector_index.VectorIndex.open(spark, place)
+    return vector_index.search(index, asked[0]["embedding"] if asked else [], 25).select("vec_id", r8("similarity").alias("similarity"), "rank")
+
+
+COPIED = """p AS (SELECT lang AS query_id, doc_id, text, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents QUALIFY rank <= 20), v AS (SELECT query_id, doc_id, text, rank, embedding FROM p JOIN embeddings ON vec_id = doc_id),
+pages AS (SELECT query_id, doc_id, rank, text, embedding FROM v UNION ALL SELECT query_id, doc_id + 1000000, rank + 20, replace(text, ' ', '  ') || '  ', NULL FROM v WHERE rank % 3 = 0 UNION ALL SELECT query_id, doc_id + 2000000, rank + 20, 'other', [2 * x FOR x IN embedding] FROM v WHERE rank % 3 = 1)"""
+
+
+@query(f"WITH {COPIED}, h AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS content FROM pages) SELECT a.doc_id, coalesce(min(b.rank), 0) AS duplicate_of FROM h a LEFT JOIN h b ON a.query_id = b.query_id AND b.rank < a.rank AND (a.content = b.content OR list_cosine_similarity({VEC.format('a.embedding')}, {VEC.format('b.embedding')}) >= 0.95) GROUP BY a.query_id, a.doc_id, a.rank")
+def page_content_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with planted copies: texts with wider spaces without vector, and other texts with the same direction."""
+    by = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
+    top = t(spark, d, "documents").withColumn("rank", F.row_number().over(by)).where("rank <= 20").select(F.col("lang").alias("query_id"), "doc_id", "text", "rank")
+    v = top.join(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("query_id", "doc_id", "rank", "text", "embedding")
+    loud = v.where("rank % 3 = 0").selectExpr("query_id", "doc_id + 1000000 as doc_id", "rank + 20 as rank", "replace(text, ' ', '  ') || '  ' as text", "cast(null as array<float>) as embedding")
+    turned = v.where("rank % 3 = 1").selectExpr("query_id", "doc_id + 2000000 as doc_id", "rank + 20 as rank", "'other' as text", "transform(embedding, x -> cast(2 * x as float)) as embedding")
+    return respond.content_duplicates(v.unionByName(loud).unionByName(turned)).select("doc_id", F.coalesce("duplicate_of", F.lit(0)).alias("duplicate_of"))
+
+
 @query("SELECT count(*) AS n, count(embedding) AS with_vector, count(DISTINCT label) AS categories FROM embeddings")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count("embedding").alias("with_vector"), F.countDistinct("label").alias("categories"))
@@ -129,6 +154,14 @@ def text_english(spark: SparkSession, d: str) -> DataFrame:
     return text_index.text_search(text_indexed(spark, d, "english"), "only the houses", 20).withColumn("score", r8("score"))
 
 
+@query(f"""WITH {ENGLISH}, h AS (SELECT a.doc_id, count(*) AS hits FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.pos = a.pos + 3 WHERE a.term = 'licens' AND b.term = 'apach' GROUP BY a.doc_id)
+SELECT doc_id, CAST(n_tokens AS INTEGER) AS n_tokens, round(hits / CAST(n_tokens AS DOUBLE), 8) AS similarity, CAST(row_number() OVER (ORDER BY hits / CAST(n_tokens AS DOUBLE) DESC, doc_id) AS INTEGER) AS rank FROM h JOIN sizes USING (doc_id) QUALIFY rank <= 30""")
+def text_phrase_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase by the table function of Spark SQL."""
+    sql_functions.register(text_indexed(spark, d, "english"), "search_documents")
+    return spark.sql("SELECT doc_id, n_tokens, round(similarity, 8) AS similarity, rank FROM search_documents_phrase('licensed under the Apache', 30)")
+
+
 @query(f"WITH {ENGLISH} SELECT token, stem FROM stems")
 def text_stems(spark: SparkSession, d: str) -> DataFrame:
     words = t(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).where(~F.col("token").isin(sorted(english.STOP_WORDS))).distinct()
@@ -143,7 +176,7 @@ x AS (SELECT doc_id AS id, score, row_number() OVER (ORDER BY round(score, 12) D
 
 def arms(spark: SparkSession, d: str, k: int = 200) -> tuple[DataFrame, DataFrame]:
     v = search.vector_search(t(spark, d, "embeddings"), first_vector(spark, d), k).select(F.col("vec_id").alias("id"), "similarity", "rank")
-    return v, search.text_search(t(spark, d, "documents"), "with from", k).select(F.col("doc_id").alias("id"), "score", "rank")
+    return v, text_index.text_search(text_indexed(spark, d), "with from", k).select(F.col("doc_id").alias("id"), "score", "rank")
 
 
 FUSED = f"{ARMS}, f AS (SELECT id, sum(w) AS score FROM (SELECT id, CAST(0.6 AS DOUBLE) / (60 + rank) AS w FROM v UNION ALL SELECT id, CAST(0.4 AS DOUBLE) / (60 + rank) FROM x) GROUP BY id)"
@@ -264,9 +297,17 @@ def filter_results(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").where(filters.matches("F", "1995-01-01", "1997-01-01", source_file="H", names=names)).select("o_orderkey")
 
 
+@query("SELECT doc_id FROM documents WHERE list_has_any([lang, source, 'all'], ['de', 'src2']) AND source <> 'src1'")
+def filter_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with any of the given tags."""
+    rows = t(spark, d, "documents").withColumn("labels", F.array("lang", "source", F.lit("all")))
+    return rows.where(filters.matches(tags=["de", "src2"], names={"tags": "labels"}) & (F.col("source") != "src1")).select("doc_id")
+
+
 # Graph.
 def g(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return gt.nodes(spark, d), gt.edges(spark, d), gt.mentions(spark, d)
+    x = gt.stored_graph(spark, d)
+    return x.nodes, x.edges, x.mentions
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT id, text, entity_type, relationship_type, e.confidence AS relationship_confidence FROM edges e JOIN nodes ON id = target WHERE source = 'S1' AND e.confidence >= 0.6 ORDER BY e.confidence DESC, id, relationship_type LIMIT 50")
@@ -296,7 +337,7 @@ SELECT b.id, entity_type, list_sort(list_distinct(coalesce(array_agg(ot) FILTER
 FROM b JOIN nodes n ON n.id = b.id GROUP BY b.id, entity_type ORDER BY relationship_count DESC, max_confidence DESC, b.id LIMIT 200""")
 def graph_bidirectional(spark: SparkSession, d: str) -> DataFrame:
     n, e, _ = g(spark, d)
-    return graph.bidirectional(n, e, "S1", 0.4, 200).select("id", "entity_type", "outbound", "inbound", "max_confidence", "relationship_count", "min_distance")
+    return graph.bidirectional(n, e, "S1", 0.4, 200, gt.stored_graph(spark, d).by_target).select("id", "entity_type", "outbound", "inbound", "max_confidence", "relationship_count", "min_distance")
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT id, entity_type, e.confidence AS relationship_confidence FROM edges e JOIN nodes ON id = target WHERE source = 'S1' AND e.confidence >= 0.6 AND relationship_type = 'hierarchical' AND entity_type IN ('GPE') ORDER BY e.confidence DESC, id LIMIT 50")
@@ -307,23 +348,24 @@ def graph_type_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT document_id, chunk_id, created_at, CAST(1 AS DOUBLE) AS confidence, CAST(0 AS INTEGER) AS chunk_index FROM mentions WHERE entity_id = 'P1' ORDER BY created_at DESC, document_id, chunk_id, line_key LIMIT 100")
 def graph_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entity_mentions(gt.mentions(spark, d), "P1").drop("line_key")
+    return graph.entity_mentions(g(spark, d)[2], "P1").drop("line_key")
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT DISTINCT document_id, id, text, entity_type FROM mentions JOIN nodes ON id = entity_id")
 def graph_document_entities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entities_by_document(gt.mentions(spark, d), gt.nodes(spark, d)).select("document_id", "id", "text", "entity_type")
+    n, _, m = g(spark, d)
+    return graph.entities_by_document(m, n).select("document_id", "id", "text", "entity_type")
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT b.entity_id, count(DISTINCT (b.document_id, b.chunk_id)) AS co_mentions FROM (SELECT DISTINCT document_id FROM mentions WHERE entity_id = 'P1') a JOIN mentions b ON a.document_id = b.document_id WHERE b.entity_id <> 'P1' GROUP BY b.entity_id ORDER BY co_mentions DESC, b.entity_id LIMIT 100")
 def graph_co_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return graph.co_mentioned(gt.mentions(spark, d), "P1")
+    x = gt.stored_graph(spark, d)
+    return graph.co_mentioned(x.mentions, "P1", by_document=x.by_document)
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT id, text, confidence FROM nodes WHERE lower(text) = (SELECT lower(s_name) FROM supplier WHERE s_suppkey = 1) AND entity_type = 'ORG' ORDER BY confidence DESC, id LIMIT 2")
 def graph_vendor_lookup(spark: SparkSession, d: str) -> DataFrame:
-    name = t(spark, d, "supplier").where("s_suppkey = 1").first()["s_name"]
-    return graph.lookup(gt.nodes(spark, d), name).select("id", "text", "confidence")
+    return graph.lookup(g(spark, d)[0], gt.supplier_name(spark, d, 1)).select("id", "text", "confidence")
 
 
 @query(f"WITH {gt.GRAPH_SQL}, h AS (SELECT entity_type, relationship_type FROM edges e JOIN nodes ON id = target WHERE source = 'S1' AND e.confidence >= 0.6 ORDER BY e.confidence DESC, id, relationship_type LIMIT 1000) SELECT 'entity' AS kind, entity_type AS name, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT 'relationship', relationship_type, count(*) FROM h GROUP BY ALL")
@@ -337,12 +379,12 @@ def graph_vendor_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {gt.GRAPH_SQL} SELECT relationship_type, string_agg(DISTINCT substr(source, 1, 1), ', ' ORDER BY substr(source, 1, 1)) AS sources, count(*) FILTER (confidence > 1) AS invalid, count(*) AS n FROM edges GROUP BY relationship_type")
 def graph_type_report(spark: SparkSession, d: str) -> DataFrame:
     by = F.substring("source", 1, 1)
-    return gt.edges(spark, d).groupBy("relationship_type").agg(F.array_join(F.sort_array(F.collect_set(by)), ", ").alias("sources"), F.count_if(F.col("confidence") > 1).alias("invalid"), F.count("*").alias("n"))
+    return g(spark, d)[1].groupBy("relationship_type").agg(F.array_join(F.sort_array(F.collect_set(by)), ", ").alias("sources"), F.count_if(F.col("confidence") > 1).alias("invalid"), F.count("*").alias("n"))
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT id, text FROM nodes WHERE entity_type = 'PRODUCT' ORDER BY id LIMIT 100")
 def graph_type_scan(spark: SparkSession, d: str) -> DataFrame:
-    return gt.nodes(spark, d).where("entity_type = 'PRODUCT'").orderBy("id").limit(100).select("id", "text")
+    return g(spark, d)[0].where("entity_type = 'PRODUCT'").orderBy("id").limit(100).select("id", "text")
 
 
 @query("SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00' - INTERVAL 1 HOUR ORDER BY ts DESC, event_id LIMIT 1000")

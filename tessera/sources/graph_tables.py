@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
+from tessera.sources import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +42,49 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(_id("P", "l_partkey").alias("entity_id"), F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_id"), F.col("l_shipdate").alias("created_at"), F.col("l_suppkey").alias("line_key"))
 
 
+def supplier_name(spark: SparkSession, sf_dir: str, key: int) -> str:
+    """A supplier's name, or an empty one, which no vendor has: one row is read."""
+    row = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") == key).first()
+    return row["s_name"] if row else ""
+
+
+@dataclass(frozen=True)
+class Graph:
+    """The graph as it is stored: nodes by id, edges by source and by target, mentions by entity and by document."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    by_target: DataFrame
+    mentions: DataFrame
+    by_document: DataFrame
+
+
+#: For each stored table the key of its lookups and what else orders its rows.
+LAYOUT = {"nodes": ("id", "text"), "edges": ("source", "target"), "by_target": ("target", "source"), "mentions": ("entity_id", "document_id"), "by_document": ("document_id", "entity_id")}
+
+
+def store(tables: dict[str, DataFrame], folder: str, buckets: int = 64) -> None:
+    """Writes the graph's tables in partitions by hash of their key, rows in order of key and second column.
+
+    Rows are dealt by ranges of (partition, key, second), so that a key with a third of all rows is spread over many files.
+    """
+    for name, (key, second) in LAYOUT.items():
+        cut = graph.bucket_name(key, buckets)
+        rows = tables[name].withColumn(cut, graph.hashed(F.col(key), buckets))
+        rows.repartitionByRange(cut, key, second).sortWithinPartitions(cut, key, second).write.partitionBy(cut).parquet(f"{folder}/{name}")
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the tables in sf_dir, written once for each state of their files."""
+
+    def build(folder: str) -> None:
+        e, m = edges(spark, sf_dir), mentions(spark, sf_dir)
+        store({"nodes": nodes(spark, sf_dir), "edges": e, "by_target": e, "mentions": m, "by_document": m}, folder)
+
+    place = stored.stored(spark, "graph", [f"{sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "supplier", "part", "nation", "customer")], build)
+    return Graph(*(spark.read.parquet(f"{place}/{name}") for name in LAYOUT))
+
+
 #: The same tables for one engine's SQL, as common table expressions.
 GRAPH_SQL = """
 nodes AS (

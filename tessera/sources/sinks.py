@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.functions.vectors import valid
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -23,21 +22,16 @@ def upsert(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(F.coalesce("__new", "__old").alias("row"), action.alias("action")).select("row.*", "action")
 
 
-def checked_vectors(rows: DataFrame, dim: int, vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, rows refused) by whether the vector has the dimension and finite numbers."""
-    fine = F.coalesce(valid(F.col(vec_col), dim), F.lit(False))
-    return rows.where(fine), rows.where(~fine)
-
-
 def write_report(df: DataFrame, path: str) -> None:
+    """Writes rows as JSON lines; a report that is there already is an error."""
     df.write.mode("errorifexists").json(path)
 
 
-def upsert_stats(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """One row with what an upsert does: rows inserted, updated and kept, and rows of new that repeat a key."""
-    both = new.groupBy(key).agg(F.count("*").alias("__new")).join(old.groupBy(key).agg(F.count("*").alias("__old")), key, "full")
+def upsert_stats(old: DataFrame, new: DataFrame, key: str, *by: str) -> DataFrame:
+    """What an upsert does: rows inserted, updated and kept, and rows of new that repeat a key; one row, or one for each value of the columns `by`."""
+    both = new.groupBy(key, *by).agg(F.count("*").alias("__new")).join(old.groupBy(key, *by).agg(F.count("*").alias("__old")), [key, *by], "full")
     is_new, is_old = F.col("__new").isNotNull(), F.col("__old").isNotNull()
-    return both.agg(F.count_if(is_new & ~is_old).alias("inserted"), F.count_if(is_new & is_old).alias("updated"), F.count_if(~is_new).alias("kept"), F.coalesce(F.sum(F.col("__new") - 1), F.lit(0)).alias("repeated"))
+    return both.groupBy(*by).agg(F.count_if(is_new & ~is_old).alias("inserted"), F.count_if(is_new & is_old).alias("updated"), F.count_if(~is_new).alias("kept"), F.coalesce(F.sum(F.col("__new") - 1), F.lit(0)).alias("repeated"))
 
 
 def from_arrays(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -92,20 +91,6 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "user_id", l
     return rows.groupBy(F.window(time, length), key).agg(F.count("*").alias("requests"))
 
 
-def limit_stream(events: DataFrame, limits: Limits = Limits(), key: str = "user_id", time: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """The rate limiter over a stream: each micro-batch's events of a key go through its three buckets, which are kept."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames)).sort_values([time, id_col])
-        allowed, held = limited((f[time] / 1e6).tolist(), limits, list(state.get[0]) if state.exists else None)
-        state.update((held,))
-        yield pd.DataFrame({key: f[key], id_col: f[id_col], "allowed": allowed})
-
-    rows = events.select(key, id_col, F.unix_micros(F.col(time).cast("timestamp")).alias(time))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {id_col} long, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def fresh_rows(stream: DataFrame, key: str = "chunk_hash", time: str = "ts", late: str = "1 day") -> DataFrame:
     """A stream of chunks without repeats of a key within the watermark."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
