@@ -116,7 +116,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     name, are not read. An empty table gives no rows.
 
     A share of at least `generalise` asks for df(t) <= df(e)^g N^(1-g), as co is at most df(e); so other terms and
-    pairs are left out before they are counted together, which changes no result.
+    pairs are left out before they are counted together, which changes no result. A text's pairs are its terms times
+    the distinct sets of texts that its entities stand in, not times its entities.
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
@@ -134,7 +135,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
         counted = counted.unionByName(again.select(words("text").alias("term"), (1 - F.col("n")).cast("int").alias("n")))
     spanned = own.where("size(base) > 0").dropDuplicates(["key"])
     entities = spanned.select("key", F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))).alias("entity"))
-    known = cut(entities.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < total)))
+    # Entities of the same texts have the same shares, so they count as one: what tells sets of texts apart is two exclusive ors of hashes.
+    sets = [F.bit_xor(F.xxhash64(F.lit(salt), "key")).cast("string") for salt in (1, 2)]
+    known = cut(entities.groupBy("entity").agg(F.count("*").alias("df_e"), F.concat_ws(":", *sets).alias("set")).where((F.col("df_e") >= support) & (F.col("df_e") < total)))
+    entities = entities.join(known, "entity").select("key", F.concat_ws(":", "set", "df_e").alias("entity"), "df_e").distinct()
     most = known.agg(F.max("df_e")).first()[0] or 0
     limit = lambda df_e: F.pow(df_e, F.lit(generalise)) * total ** (1 - generalise) + 1e-6
     all_terms = cut(counted.groupBy("term").agg(F.sum("n").alias("df_t")).where(F.col("df_t") >= support))
@@ -142,7 +146,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     hot = all_terms.orderBy(F.desc("df_t"), "term").limit(FREQUENT).where(F.col("df_t") > limit(F.lit(float(most)))).select(F.xxhash64("term").alias("hash"))
     held = spanned.select("key", F.explode(masked_terms(F.col("text"))).alias("term"))
     held = held.join(F.broadcast(hot), F.xxhash64("term") == F.col("hash"), "left_anti").join(rare, "term")
-    pairs = cut(held.join(entities.join(known, "entity"), "key").where(F.col("df_t") <= limit(F.col("df_e"))))
+    pairs = cut(held.join(entities, "key").where(F.col("df_t") <= limit(F.col("df_e"))))
 
     share = F.log(F.col("co") * total / (F.col("df_t").cast("double") * F.col("df_e"))) / F.log(total / F.col("df_e"))
     told = pairs.groupBy("entity", "term").agg(F.count("*").alias("co"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).where(F.col("co") >= support)

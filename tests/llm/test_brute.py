@@ -175,6 +175,20 @@ def test_terms_that_disclose(spark):
     assert got == want and sum(map(len, want.values())) > 100
 
 
+def test_many_entities_and_terms_of_two_texts(spark):
+    """10,000 addresses and 10,000 words in two texts: time grows with them, not with their pairs."""
+    text = " ".join(f"u{i}@example.org w{i}" for i in range(10_000))
+    docs = spark.createDataFrame([(i, text + f" own{i}" if i < 2 else f"quiet text {i} w{i}") for i in range(12)], "doc_id long, text string")
+    began = time.monotonic()
+    found = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert time.monotonic() - began < 120
+    third = {f"w{k}" for k in range(2, 12)}  # words that one quiet text holds as well disclose less
+    for doc in (0, 1):
+        assert {s.value for s in found[doc].terms if s.kind == "remove"} >= {f"w{k}" for k in range(12, 10_000)}
+        assert not {s.value for s in found[doc].terms if s.kind == "remove"} & third
+    assert all(not found[doc].terms for doc in range(2, 12))
+
+
 def test_terms_on_odd_tables(spark):
     far = "Zorbin " + "word " * 400 + "reach me at a@b.com"
     rows = [(1, far), (2, far.replace("word", "term")), (3, "nothing"), (4, None), (None, "a@b.com here"), (5, "nothing else")]
