@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
@@ -13,6 +14,7 @@ from tessera.functions.vectors import clamp
 
 # The word lists that decide the boosts, and their sizes.
 KNOWN_VENDORS = ("openai", "anthropic", "google", "aws", "azure", "meta", "xai", "mistral", "huggingface", "cohere", "perplexity", "claude", "gpt", "gemini", "llama", "deepseek", "databricks", "nvidia", "together", "antml ")
+STRATEGY_VENDORS = tuple(v.strip() for v in KNOWN_VENDORS)
 DOC_TYPES = {
     "api_docs": ("api", "endpoint", "request", "response", "authentication", "authorization", "rate limit", "parameter", "method", "http"),
     "guide": ("guide", "tutorial", "getting started", "introduction", "how to", "step by step", "walkthrough", "best practices", "example"),
@@ -49,8 +51,8 @@ def entities(query: str) -> list[str]:
     return [w.lower() for w in big + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a[0].isupper() and b[0].isupper()]]
 
 
-def vendor(query: str, metadata: Column) -> Column:
-    named = [v for v in KNOWN_VENDORS if v in query.lower()]
+def vendor(query: str, metadata: Column, vendors: tuple[str, ...] = KNOWN_VENDORS) -> Column:
+    named = [v for v in vendors if v in query.lower()]
     found = F.coalesce(*[F.get_json_object(metadata, f"$.{f}") for f in VENDOR_FIELDS])
     return F.when(F.coalesce(F.lower(found).isin(named), F.lit(False)), 1.0).otherwise(0.0) if named else F.lit(0.0)
 
@@ -75,18 +77,57 @@ def topic(query: str, text: Column) -> Column:
     return F.when(holding(F.lower(text), TOPICS[wanted]), 1.0).otherwise(0.0) if wanted else F.lit(0.0)
 
 
-#: Named strategies, each (factor from 0 to 1 as a column); register adds to them.
-STRATEGIES: dict[str, Callable[..., Column]] = {}
+Rule = Callable[..., Column]
 
 
-def register(name: str, strategy: Callable[..., Column]) -> None:
-    if name in STRATEGIES:
-        raise ValueError(f"strategy {name!r} exists")
-    STRATEGIES[name] = strategy
+@dataclass(frozen=True)
+class Strategy:
+    """A rule (a column from 0 to 1, by query and row) with the factor that it counts by."""
 
+    name: str
+    rule: Rule
+    factor: float
 
-for _name, _strategy in (("vendor", vendor), ("doc_type", doc_type), ("recency", recency), ("entity", entity), ("topic", topic)):
-    register(_name, _strategy)
+    def __post_init__(self) -> None:
+        if not 0.0 <= self.factor <= 1.0:
+            raise ValueError("a factor must lie between 0 and 1")
+
+    def boost(self, *args: object, **options: object) -> Column:
+        return self.factor * self.rule(*args, **options)
+
+
+#: Named rules and their factors unless others are asked for; register adds to them or puts another in a rule's place.
+RULES: dict[str, Rule] = {}
+FACTORS = dict(WEIGHTS)
+
+
+def register(name: str, rule: Rule, factor: float | None = None) -> None:
+    """Makes a rule known. Without factor a name keeps the one it has, and a new one counts 0 unless create is given another."""
+    if not callable(rule):
+        raise TypeError("a rule is a function that gives a column")
+    if factor is not None:
+        FACTORS[name] = Strategy(name, rule, factor).factor
+    RULES[name] = rule
+
+
+def create(name: str, factor: float | None = None) -> Strategy:
+    if name not in RULES:
+        raise KeyError(f"unknown strategy {name!r}")
+    return Strategy(name, RULES[name], FACTORS.get(name, 0.0) if factor is None else factor)
+
+
+def create_all(factors: dict[str, float] | None = None) -> list[Strategy]:
+    """One of each known rule, with its factor or the given one."""
+    return [create(name, (factors or {}).get(name)) for name in RULES]
+
+
+def known_vendor(query: str, metadata: Column) -> Column:
+    """The vendor rule by STRATEGY_VENDORS, which differs in one name."""
+    return vendor(query, metadata, STRATEGY_VENDORS)
+
+
+for _name, _rule in (("vendor", known_vendor), ("doc_type", doc_type), ("recency", recency), ("entity", entity), ("topic", topic)):
+    register(_name, _rule)
 
 
 def boosted(base: Column, factors: dict[str, Column], weights: dict[str, float] | None = None) -> Column:

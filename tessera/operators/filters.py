@@ -95,6 +95,20 @@ def checked(field: str, value: Any, kinds: tuple[type, ...]) -> Any:
 ORDERED = (int, float, str, date)
 
 
+def iso_date(value: str | date) -> date:
+    """A date, or one from its ISO form YYYY-MM-DD."""
+    if isinstance(value, date):
+        return value
+    try:
+        return date.fromisoformat(value)
+    except (ValueError, TypeError) as e:
+        raise ValueError(f"not a date of the form YYYY-MM-DD: {value!r}") from e
+
+
+def date_between(field: str, low: str | date, high: str | date) -> Filter:
+    return between(field, iso_date(low), iso_date(high))
+
+
 def equals(field: str, value: Any) -> Filter:
     return Filter("eq", field, checked(field, value, (int, float, str, bool, date)))
 
@@ -157,15 +171,15 @@ def not_(part: Filter) -> Filter:
 
 
 def matches(category: str | None = None, min_date: Any = None, max_date: Any = None, tags: Sequence[str] | None = None, source_file: str | None = None, names: dict[str, str] | None = None) -> Column:
-    """The result filter: exact category, a date range that rows without date pass, any tag, part of the file name."""
+    """The result filter: exact category, a date range that rows without date pass, any tag, part of the file name. Dates are dates or of the form YYYY-MM-DD."""
     at = {"category": "source_category", "date": "document_date", "tags": "tags", "file": "source_file"} | (names or {})
     out = F.lit(True)
     if category is not None:
         out = out & F.coalesce(F.col(at["category"]) == category, F.lit(False))
     if min_date is not None:
-        out = out & F.coalesce(F.col(at["date"]) >= F.lit(min_date), F.lit(True))
+        out = out & F.coalesce(F.col(at["date"]) >= F.lit(iso_date(min_date)), F.lit(True))
     if max_date is not None:
-        out = out & F.coalesce(F.col(at["date"]) <= F.lit(max_date), F.lit(True))
+        out = out & F.coalesce(F.col(at["date"]) <= F.lit(iso_date(max_date)), F.lit(True))
     if tags is not None:
         out = out & F.coalesce(F.arrays_overlap(F.col(at["tags"]), F.array(*map(F.lit, tags))), F.lit(False))
     if source_file is not None:

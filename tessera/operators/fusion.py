@@ -11,17 +11,19 @@ from tessera.functions.vectors import clamp
 
 
 def rrf(arms: dict[str, tuple[DataFrame, float]], k: int = 60, id_col: str = "id") -> DataFrame:
-    """(id, score, sources, rank): sum of weight / (k + rank) over the arms' (id, rank) rows, weights normalised to sum 1.
+    """(id, score, sources, confidence, rank): sum of weight / (k + rank) over the arms' (id, rank) rows, weights normalised to sum 1.
 
-    Rows that repeat an id within an arm count once, at their last rank.
+    Rows that repeat an id within an arm count once, at their last rank. confidence is the largest of the arms' (their
+    column confidence, 0 if an arm has none).
     """
     if not 1 <= k <= 1000:
         raise ValueError("k must lie between 1 and 1000")
     total = sum(w for _, w in arms.values())
     if total <= 0:
         raise ValueError("weights must not all be zero")
-    parts = [df.groupBy(id_col).agg(F.max("rank").alias("rank")).select(id_col, (F.lit(w / total) / (k + F.col("rank"))).alias("part"), F.lit(name).alias("source")) for name, (df, w) in arms.items() if w > 0]
-    fused = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.sum("part").alias("score"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    sure = lambda df: (F.max("confidence") if "confidence" in df.columns else F.lit(0.0)).cast("double").alias("confidence")
+    parts = [df.groupBy(id_col).agg(F.max("rank").alias("rank"), sure(df)).select(id_col, (F.lit(w / total) / (k + F.col("rank"))).alias("part"), F.lit(name).alias("source"), "confidence") for name, (df, w) in arms.items() if w > 0]
+    fused = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.sum("part").alias("score"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.max("confidence").alias("confidence"))
     return reranked(fused.withColumn("score", clamp(F.col("score"))), F.desc("score"), F.col(id_col))
 
 

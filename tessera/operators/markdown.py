@@ -128,6 +128,13 @@ def displayed(header: Column) -> Column:
     return F.trim(header)
 
 
+def normal_date(raw: Column, kind: str = "string") -> Column:
+    """A date as text: timestamps in ISO form, strings without white space around them, null if nothing is left."""
+    if kind == "timestamp":
+        return F.date_format(raw, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.nullif(F.regexp_replace(raw.cast("string"), r"\A\s+|\s+\z", ""), F.lit(""))
+
+
 def file_header(path: Column, index: Column) -> Column:
     return F.concat(file_name(path), F.lit(" > Chunk "), index.cast("string"))
 

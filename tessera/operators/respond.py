@@ -68,6 +68,15 @@ def percentile(score: Column, by: tuple[str, ...] = ()) -> Column:
     return 100.0 * (1.0 - (F.rank().over(own.orderBy(F.desc("score"))) - 1) / F.count("*").over(own)) if score is not None else F.lit(None)
 
 
+#: How good sources and how recent documents are taken to be.
+SOURCE_QUALITY, RECENCY = 0.9, 0.85
+
+
+def confidence(score: Column, by: tuple[str, ...] = ()) -> Column:
+    """What stands behind a result: where its score lies among the page's (0 to 1), and the two constants."""
+    return F.struct((percentile(score, by) / 100.0).alias("score_reliability"), F.lit(SOURCE_QUALITY).alias("source_quality"), F.lit(RECENCY).alias("recency"))
+
+
 def rank_label(rank: Column) -> Column:
     return F.when(rank == 1, "best").when(rank <= 3, "top").when(rank <= 10, "relevant").otherwise("other")
 

@@ -54,6 +54,14 @@ def header_parts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", markdown.hierarchy_path(named).alias("path"), markdown.origin_line(named).alias("origin"), markdown.header_problem(F.when(c("doc_id") % 5 == 0, "  ").otherwise(c("text"))).alias("problem"), markdown.displayed(shown).alias("shown"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, [x FOR x IN [trim(y) FOR y IN string_split_regex(text, '\n\s*\n')] IF x <> ''] AS p FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(p) AS INTEGER) AS total_chunks, sha256(c) AS chunk_hash, CAST(len(c) AS INTEGER) AS chars FROM (SELECT doc_id, p, unnest(p) AS c, generate_subscripts(p, 1) - 1 AS i FROM p)""")
+def chunk_blank_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs between blank lines, with their texts."""
+    rows = documents.paragraphs(t(spark, d, "documents"), r"\n\s*\n")
+    return rows.select("doc_id", "chunk_index", "total_chunks", "chunk_hash", F.length("chunk_text").alias("chars"))
+
+
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 * 100 AS start, least((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 * 100 + 100, count(*) OVER ()) AS \"end\" FROM orders")
 def fixed_batches(spark: SparkSession, d: str) -> DataFrame:
     return markdown.batches(t(spark, d, "orders").select("o_orderkey"), 100, "o_orderkey")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import english
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import boost, documents, filters, fusion, graph, metrics, order, rerank, respond, routing, search, sql_functions, text_index, vector_index
+from tessera.operators import boost, documents, filters, fusion, graph, markdown, metrics, order, rerank, respond, routing, search, sql_functions, text_index, vector_index
 from tessera.plans.registry import query, r8
 from tessera.sources import graph_tables as gt
 from tessera.sources import sinks, stored
@@ -90,6 +90,13 @@ def vector_valid(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select("vec_id", vx.valid(F.col("embedding"), 64).alias("valid"))
 
 
+@query("SELECT vec_id, len(embedding) AS n, true AS same FROM embeddings WHERE embedding IS NOT NULL")
+def vector_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The text form of every vector, read back, is the vector."""
+    back = F.from_json(vx.vector_text(F.col("embedding")), "array<float>")
+    return t(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.size(back).cast("long").alias("n"), (back == F.col("embedding")).alias("same"))
+
+
 @query()
 def vector_text(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select("vec_id", vx.vector_text(F.col("embedding")).alias("vector"))
@@ -189,6 +196,14 @@ def fusion_rrf(spark: SparkSession, d: str) -> DataFrame:
     return fused.orderBy(F.round("score", 14).desc(), "id").limit(50).withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 14).desc(), "id"))).select("id", r8("score").alias("score"), "rank")
 
 
+@query(f"WITH {ARMS} SELECT id, round(sum(w), 8) AS score, round(max(c), 8) AS confidence FROM (SELECT id, CAST(0.6 AS DOUBLE) / (60 + rank) AS w, least(1, greatest(0, score)) AS c FROM v UNION ALL SELECT id, CAST(0.4 AS DOUBLE) / (60 + rank), least(1, 10 * score) FROM x) GROUP BY id")
+def fusion_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Fused rows with the largest confidence of the arms."""
+    v, x = arms(spark, d)
+    fused = fusion.rrf({"vector": (v.withColumn("confidence", F.col("similarity")), 0.6), "text": (x.withColumn("confidence", F.least(F.lit(1.0), 10 * F.col("score"))), 0.4)})
+    return fused.select("id", r8("score").alias("score"), r8("confidence").alias("confidence"))
+
+
 @query(f"WITH {ARMS}, z AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 100) SELECT id, round(sum(w), 8) AS score FROM (SELECT id, CAST(1 AS DOUBLE) / 3 / (60 + rank) AS w FROM v UNION ALL SELECT id, CAST(1 AS DOUBLE) / 3 / (60 + rank) FROM x UNION ALL SELECT id, CAST(1 AS DOUBLE) / 3 / (60 + rank) FROM z) GROUP BY id")
 def fusion_multiple(spark: SparkSession, d: str) -> DataFrame:
     v, x = arms(spark, d)
@@ -248,6 +263,23 @@ def boost_vendor(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select("s_suppkey", boost.vendor("gpt from openai", meta).alias("vendor"), boost.doc_type("api guide", F.col("s_name")).alias("doc_type"))
 
 
+@query("SELECT s_suppkey, round(CAST(0.3 AS DOUBLE) * CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CAST(0.1 AS DOUBLE) * CASE WHEN contains(lower(s_name), 'api') THEN 1 ELSE 0 END + CAST(0.08 AS DOUBLE) * CASE WHEN contains(lower(s_name), 'error') OR contains(lower(s_name), 'retry') THEN 1 ELSE 0 END + CAST(0.25 AS DOUBLE) * CASE WHEN contains(s_name, '7') THEN 1 ELSE 0 END, 8) AS boost FROM supplier")
+def boost_registry(spark: SparkSession, d: str) -> DataFrame:
+    """The boosts of strategies by name, with a factor of one's own and a rule that is put in."""
+    meta = F.to_json(F.struct(F.when(F.col("s_suppkey") % 2 == 0, "antml").alias("vendor")))
+    seven = boost.Strategy("seven", lambda name: name.contains("7").cast("double"), 0.25)
+    own = boost.create("vendor", 0.3).boost("news of antml", meta) + boost.create("doc_type").boost("api guide", F.col("s_name")) + boost.create("topic").boost("why this error", F.col("s_name"))
+    return t(spark, d, "supplier").select("s_suppkey", r8(own + seven.boost(F.col("s_name"))).alias("boost"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS at, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') END AS given FROM orders")
+def normal_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of two kinds in the form that front matter gets."""
+    day = F.col("o_orderdate").cast("timestamp")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, " \n ").otherwise(F.concat(F.lit("\t "), F.date_format(day, "yyyy-MM-dd"), F.lit(" ")))
+    return t(spark, d, "orders").select("o_orderkey", markdown.normal_date(day, "timestamp").alias("at"), markdown.normal_date(raw).alias("given"))
+
+
 @query()
 def reranked_results(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").cast("double").alias("score"))
@@ -593,6 +625,12 @@ def page_confidence(spark: SparkSession, d: str) -> DataFrame:
     return result_page(spark, d).select("o_orderkey", "score", "rank", F.round(respond.percentile(F.col("score")), 6).alias("percentile"), respond.rank_label(F.col("rank")).alias("label"))
 
 
+@query(f"WITH {PAGE} SELECT o_orderkey, round(1 - CAST(rank() OVER (ORDER BY score DESC) - 1 AS DOUBLE) / count(*) OVER (), 8) AS score_reliability, CAST(0.9 AS DOUBLE) AS source_quality, CAST(0.85 AS DOUBLE) AS recency FROM p")
+def page_confidence_parts(spark: SparkSession, d: str) -> DataFrame:
+    found = result_page(spark, d).select("o_orderkey", respond.confidence(F.col("score")).alias("c"))
+    return found.select("o_orderkey", r8("c.score_reliability").alias("score_reliability"), "c.source_quality", "c.recency")
+
+
 @query(f"WITH {PAGE} SELECT o_orderkey, rank FROM p WHERE rank BETWEEN 21 AND 30")
 def page_slice(spark: SparkSession, d: str) -> DataFrame:
     return respond.page(result_page(spark, d), 20, 10).select("o_orderkey", "rank")

@@ -88,6 +88,13 @@ def semantic_search_page(spark: SparkSession, d: str) -> DataFrame:
     return page.withColumn("hybrid_score", r8("hybrid_score")).drop("next_cursor")
 
 
+@query(f"WITH {sql_hybrid(40)} SELECT id AS chunk_id, sha256(text) AS text_hash, '{{\"vendor\":\"' || h.lang || '\"}}' AS metadata, CAST(rank AS INTEGER) AS rank, (SELECT count(*) FROM h) AS total_found FROM h JOIN documents ON doc_id = id WHERE rank <= 10")
+def semantic_search_full(spark: SparkSession, d: str) -> DataFrame:
+    """The first page with all columns."""
+    page = hybrid.semantic_search(chunks(spark, d), QUERY, first_vector(spark, d), 40, mode="full", as_of=AS_OF, index=text_indexed(spark, d))
+    return page.select("chunk_id", F.sha2("chunk_text", 256).alias("text_hash"), "metadata", "rank", "total_found")
+
+
 @query(f"WITH {sql_hybrid(40)} SELECT least(10, count(*)) AS returned, least(10, count(*)) * 10 + 300 AS tokens, CAST(NULL AS VARCHAR) AS warning FROM h")
 def semantic_search_envelope(spark: SparkSession, d: str) -> DataFrame:
     page = hybrid.semantic_search(chunks(spark, d), QUERY, first_vector(spark, d), 40, mode="ids_only", as_of=AS_OF, index=text_indexed(spark, d)).select(*respond.MODES["ids_only"])
