@@ -31,8 +31,10 @@ from tessera.llm.common import ROWS_AT_MOST, cut, shared_folder, spread
 FOLDER, BYTE_LEVEL, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a range of a long document; ranges that are composed at a time.
 RANGE, FAN = 65_536, 16
+#: Texts whose units are put together at a time.
+AT_ONCE = 200
 #: Units a worker keeps, and characters of the longest of them.
-KEPT, LONG = 250_000, 100
+KEPT, LONG = 100_000, 60
 #: How the first tokenizer's pre-tokenizer parts a text (fixed).
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units, where there is other white space than spaces and newlines, and where there is none.
@@ -284,8 +286,8 @@ def short_rows(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(folder)
         for big in batches:
-            for first in range(0, big.num_rows, 500):
-                batch = big.slice(first, 500)
+            for first in range(0, big.num_rows, AT_ONCE):
+                batch = big.slice(first, AT_ONCE)
                 units = [e.units(" " + t) if t else [] for t in batch["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch["id"], *whole_rows(e, units)], ["id", *(x.split()[0] for x in ROW.split(", "))])
 
