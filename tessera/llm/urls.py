@@ -14,25 +14,37 @@ from tessera.llm.common import arrow_map, ascii_lower, spread
 #: Fixed values: (verdict, host, path). A rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: The labelled table that the model is trained on: 1 marks a url to block.
-LABELLED = (
-    ("http://spam-farm.example.org/en/12", 1), ("https://www.spamlinks.example.org/offers/7", 1), ("http://best-spam.info/free/88", 1), ("https://linkfarm.example.net/de/3", 1),
-    ("http://cheap-pills.example.org/en/450", 1), ("https://pills-online.example.net/buy/2", 1), ("http://cheap-meds.info/order", 1), ("https://m.cheappharmacy.biz/sale/11", 1),
-    ("https://adult-x.example.org/fr/780", 1), ("http://www.adult-video.example.net/xxx/5", 1), ("https://xxx-cams.info/live/1", 1), ("http://hot-adult.biz/x/9", 1),
-    ("http://casino-win.example.org/en/5", 1), ("https://www.free-casino.info/bonus/44", 1), ("http://poker-bets.biz/jackpot", 1), ("https://betting-casino.example.net/es/21", 1),
-    ("http://fast-loans.example.org/apply/3", 1), ("https://payday-loans.info/cheap/8", 1), ("http://replica-watches.biz/sale/77", 1), ("https://free-prize-winner.info/click/1", 1),
-    ("http://torrent-crack.example.org/download/6", 1), ("https://warez-keygen.info/crack/2", 1), ("http://phish-login.example.net/verify/4", 1), ("https://malware-host.biz/exe/3", 1),
-    ("https://clickbait-ads.example.org/track/19", 1), ("http://ads.doubletrack.biz/pixel/6", 1), ("https://spam.example.org/", 1), ("http://blog.cheap-viagra.info/en/3", 1),
-    ("http://therha.example.org/en/676", 0), ("https://ththin.example.org/en/671", 0), ("https://blog.tiontion.example.org/de/853/", 0), ("http://m.therou.example.org/en/474.html", 0),
-    ("https://www.thened.example.net/en/25", 0), ("http://thther.example.org/es/685", 0), ("https://therin.example.net/de/770", 0), ("http://www.ththan.example.org/fr/960", 0),
-    ("https://en.wikipedia.org/wiki/Logistic_regression", 0), ("https://docs.python.org/3/library/math.html", 0), ("http://www.library.example.org/catalogue/42", 0), ("https://university.example.edu/physics/notes.html", 0),
-    ("https://news.example.org/2021/05/economy", 0), ("http://blog.garden.example.org/posts/roses", 0), ("https://museum.example.net/exhibits/17", 0), ("http://recipes.example.org/bread/3", 0),
-    ("https://weather.example.org/de/berlin", 0), ("https://www.city.example.org/council/minutes/8", 0), ("http://history.example.net/en/rome.html", 0), ("https://m.travel.example.org/es/madrid", 0),
-    ("http://www.school.example.org/fr/classes/2", 0), ("https://science.example.net/en/articles/99", 0), ("https://health.example.gov/en/vaccines", 0), ("http://music.example.org/de/bach/12", 0),
-    ("https://forum.example.org/thread/881", 0), ("https://wiki.example.net/en/maps", 0), ("http://open.data.example.org/tables/5", 0), ("https://example.org/", 0),
-)
+#: Words of hosts and paths to block, and of harmless ones.
+UNWANTED = "spam linkfarm clickbait pills pharmacy viagra meds casino poker jackpot betting lottery slots adult xxx porn cams escort loans payday credit replica rolex torrent warez keygen crack serial phish malware trojan scam prize winner doubletrack popads".split()
+HARMLESS = (
+    "wiki library museum university school science physics history geography music garden recipes bread weather city council travel maps health hospital news economy sports football chess cinema theatre poetry "
+    "novel grammar language dictionary forum blog docs manual tutorial software data tables archive atlas birds forest river mountain ocean climate energy solar railway bridge castle cathedral market farming cheese "
+    "coffee kitchen furniture painting sculpture photography astronomy planets chemistry biology medicine nursing algebra geometry statistics"
+).split()
+
+
+def labelled_urls(per_word: int = 3) -> tuple[tuple[str, int], ...]:
+    """The labelled table that the model is trained on, by a rule: 1 marks a url to block.
+
+    Each word stands in `per_word` urls, beside another word of its kind. Both kinds get the same schemes, domains,
+    numbers and places, so the words alone tell them apart, and of urls without any of them the more harmless ones decide.
+    """
+    ends, tongues, out = ("example.org", "example.net", "info", "biz", "com"), ("en", "de", "es", "fr"), []
+    for label, words in ((1, UNWANTED), (0, HARMLESS)):
+        for i, word in enumerate(words):
+            for k in range(per_word):
+                n, other = i * per_word + k, words[(i + 7 * k + 1) % len(words)]
+                host = (f"{word}.{ends[n % 5]}", f"www.{other}-{word}.{ends[(n + 1) % 5]}", f"m.{word}{n % 90 + 10}.{ends[(n + 2) % 5]}")[k % 3]
+                path = (f"/{tongues[n % 4]}/{n * 7 % 900}", f"/{word}/{n * 11 % 500}.html", f"/{tongues[n % 4]}/{other}")[k % 3]
+                out.append((f"http{'s' * (n % 2)}://{host}{path}", label))
+    return tuple(out)
+
+
+LABELLED = labelled_urls()
 
 BITS = 16
+#: A url is blocked from this score on: without evidence it passes.
+THRESHOLD = 0.6
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -69,19 +81,20 @@ def parts_of(url: str) -> tuple[str, str]:
     return rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
 
 
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, rate: float = 1.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last one is the bias) by gradient descent over the labelled table, which is small by contract."""
-    rows = []
-    for url, label in labelled:
-        rows.append((features(*parts_of(url)), label))
+def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, rate: float = 6.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last one is the bias) by gradient descent over the labelled table, which is small by contract. Both labels count alike, however many rows each has."""
+    found = [features(*parts_of(url)) for url, _ in labelled]
+    label = np.array([y for _, y in labelled], float)
+    row, at = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(found))))
+    share = np.where(label == 1, 1 / max(1, label.sum()), 1 / max(1, (1 - label).sum())) / 2
     weights = np.zeros(2**BITS + 1)
     for _ in range(rounds):
-        step = np.zeros_like(weights)
-        for at, label in rows:
-            error = probability(weights, at) - label
-            step[at] += error / max(1, len(at)) ** 0.5
-            step[-1] += error
-        weights -= rate * (step / len(rows) * 4 + decay * weights)
+        margin = weights[-1] + np.bincount(row, weights[at], len(found)) * scale
+        error = (1 / (1 + np.exp(-margin)) - label) * share
+        weights *= 1 - rate * decay
+        weights[:-1] -= 4 * rate * np.bincount(at, (error * scale)[row], 2**BITS)
+        weights[-1] -= 4 * rate * error.sum()
     return weights
 
 
@@ -94,7 +107,12 @@ def held_out(labelled: tuple[tuple[str, int], ...] = LABELLED, folds: int = 8) -
     return out
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, weights: np.ndarray | None = None, threshold: float = 0.5) -> DataFrame:
+def accuracy(scored: list[tuple[float, int]], threshold: float = THRESHOLD) -> float:
+    """The share of (score, label) rows on the right side of the threshold."""
+    return sum((score >= threshold) == bool(label) for score, label in scored) / len(scored)
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, weights: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of pages.
 
     The longest fitting rule decides; where none fits, the model does: block if its score is at least the
