@@ -32,9 +32,9 @@ FOLDER, BYTE_LEVEL, PIECES = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_
 #: Bytes of a range of a long document; ranges that are composed at a time.
 RANGE, FAN = 65_536, 16
 #: Texts whose units are put together at a time.
-AT_ONCE = 200
+AT_ONCE = 350
 #: Units a worker keeps, and characters of the longest of them.
-KEPT, LONG = 100_000, 60
+KEPT, LONG = 170_000, 60
 #: How the first tokenizer's pre-tokenizer parts a text (fixed).
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units, where there is other white space than spaces and newlines, and where there is none.
