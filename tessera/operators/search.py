@@ -25,7 +25,7 @@ def vector_search(chunks: DataFrame, query: list[float] | Column, k: int = 10, m
     """
     if not 1 <= k <= 1000:
         raise ValueError("k must lie between 1 and 1000")
-    q = F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, list) else query
+    q = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>") if isinstance(query, list) else query
     rows = chunks.where(F.col(vec_col).isNotNull())
     if where is not None:
         rows = rows.where(where)

@@ -25,7 +25,9 @@ SIMILAR = f"list_cosine_similarity({VEC.format('e.embedding')}, {VEC.format('q.e
 
 
 def first_vector(spark: SparkSession, d: str) -> list[float]:
-    return t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+    """The vector of vec_id 0; none, to which nothing is near, if there is no such row."""
+    row = t(spark, d, "embeddings").where("vec_id = 0 and embedding is not null").first()
+    return row["embedding"] if row else []
 
 
 @query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT e.vec_id, {SIMILAR} AS c FROM embeddings e, q) SELECT vec_id, round(greatest(0, least(1, c)), 8) AS similarity, CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")

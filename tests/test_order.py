@@ -61,6 +61,12 @@ def test_batch_search_leaves_infinite_vectors_out(spark):
         assert pairs == {(a, b) for a in want for b in want} | {(9, 9)} and all(r.distance == r.distance for r in found)
 
 
+def test_nothing_is_near_to_no_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    for metric in ("cosine", "l2", "inner_product"):
+        assert search.vector_search(df, [], metric=metric).count() == 0
+
+
 def test_batch_search_is_spread(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 16)
     rows = spark.range(200).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k + k).alias("x") for k in range(1, 5)]).alias("embedding"))
