@@ -34,7 +34,8 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, k: int = 10, query_col:
 def spearman(actual: DataFrame, expected: DataFrame, id_col: str = "id", query_col: str = "query_id") -> DataFrame:
     """Rank correlation of two orders of the ids they share (columns rank); one shared id gives 1, none no row."""
     both = actual.select(query_col, id_col, F.col("rank").alias("a")).join(expected.select(query_col, id_col, F.col("rank").alias("b")), [query_col, id_col])
-    sums = both.groupBy(query_col).agg(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).cast("double").alias("d2"), F.count("*").cast("double").alias("n"))
+    apart = F.col("a").cast("long") - F.col("b")  # its square passes an int from 46,341 ranks on, the sum of squares a long from some three million
+    sums = both.groupBy(query_col).agg(F.sum((apart * apart).cast("decimal(20,0)")).cast("double").alias("d2"), F.count("*").cast("double").alias("n"))
     return sums.select(query_col, F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(-1.0), 1.0 - 6.0 * F.col("d2") / (F.col("n") * (F.col("n") * F.col("n") - 1.0)))).alias("correlation"))
 
 
