@@ -131,6 +131,6 @@ for _name, _rule in (("vendor", known_vendor), ("doc_type", doc_type), ("recency
 
 
 def boosted(base: Column, factors: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
-    """base (1 + sum of weight * factor), within 0 and 1."""
+    """base (1 + sum of weight * factor), added up from 1 on in the order of the factors, within 0 and 1."""
     weights = WEIGHTS | (weights or {})
-    return clamp(base * (1.0 + reduce(lambda a, b: a + b, (weights[n] * f for n, f in factors.items()), F.lit(0.0))))
+    return clamp(base * reduce(lambda a, b: a + b, (weights[n] * f for n, f in factors.items()), F.lit(1.0)))

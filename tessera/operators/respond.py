@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,10 +137,16 @@ def as_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
+@F.pandas_udf("string")
+def three_places(x: pd.Series) -> pd.Series:
+    """A number to three places by its exact value: 0.0075 lies below the middle and gives 0.007, where format_string rounds its shortest decimal form."""
+    return x.map("{:.3f}".format)
+
+
 def as_text(score: Column, with_metadata: bool = True) -> Column:
     """A result row for a reader: rank, score, origin, place and up to 200 characters of text, a line each."""
     text = F.col("chunk_text")
-    lines = [F.format_string("Rank: %d", "rank"), F.format_string("Score: %.3f", score), F.concat(F.lit("Source: "), "source_file"), F.concat(F.lit("Category: "), "source_category"), F.concat(F.lit("Context: "), "context_header"), F.format_string("Chunk: %d/%d", F.col("chunk_index") + 1, F.col("total_chunks")), F.lit(""), F.concat(F.lit("Text: "), snippet(text))]
+    lines = [F.format_string("Rank: %d", "rank"), F.concat(F.lit("Score: "), F.when(score.isNotNull(), three_places(score))), F.concat(F.lit("Source: "), "source_file"), F.concat(F.lit("Category: "), "source_category"), F.concat(F.lit("Context: "), "context_header"), F.format_string("Chunk: %d/%d", F.col("chunk_index") + 1, F.col("total_chunks")), F.lit(""), F.concat(F.lit("Text: "), snippet(text))]
     return F.concat_ws("\n", *lines, *([F.concat(F.lit("Metadata: "), "metadata")] if with_metadata else []))
 
 
