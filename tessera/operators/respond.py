@@ -137,7 +137,7 @@ def as_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def three_places(x: pd.Series) -> pd.Series:
     """A number to three places by its exact value: 0.0075 lies below the middle and gives 0.007, where format_string rounds its shortest decimal form."""
     return x.map("{:.3f}".format)
