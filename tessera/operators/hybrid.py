@@ -6,6 +6,7 @@ comes with the results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
@@ -46,12 +47,13 @@ class Plan:
     results: DataFrame
 
 
-def plan(chunks: DataFrame, query: str, vector: list[float], k: int = 10, strategy: str | None = None, where: Column | None = None, min_score: float = 0.0, settings: Settings = Settings(), as_of: date | None = None, normalised: bool = False, index: text_index.TextIndex | None = None) -> Plan:
+def plan(chunks: DataFrame, query: str, vector: list[float], k: int = 10, strategy: str | None = None, where: Column | None = None, min_score: float = 0.0, settings: Settings = Settings(), as_of: date | None = None, normalised: bool = False, index: text_index.TextIndex | Callable[[], text_index.TextIndex] | None = None) -> Plan:
     """k rows of each arm that the strategy asks for (routed if None), fused and boosted if both, above the threshold, ranked.
 
     normalised divides fused scores by the most that a row first in both arms can reach, so that thresholds mean the same
     for every strategy; without it they are at most 1 / (rrf_k + 1) before boosts. With an index of the chunks' texts by
-    id the text arm reads its postings, and of the chunks only what where asks for.
+    id the text arm reads its postings, and of the chunks only what where asks for. A function that gives the index is
+    called only if the strategy has a text arm.
     """
     if not query.strip():
         raise ValueError("the query is empty")
@@ -69,6 +71,7 @@ def plan(chunks: DataFrame, query: str, vector: list[float], k: int = 10, strate
         if index is None:
             texts = search.text_search(kept, query, k, id_col="chunk_id", text_col="chunk_text")
         else:
+            index = index() if callable(index) else index
             among = None if where is None else kept.select(F.col("chunk_id").alias(index.id_col))
             texts = text_index.text_search(index, query, k, among=among).withColumnRenamed(index.id_col, "chunk_id")
         arms["bm25"] = texts.select("chunk_id", F.col("score").alias("bm25_score"), "rank")
