@@ -43,6 +43,18 @@ def joined(few: DataFrame, many: DataFrame, column: str, how: str = "inner") ->
     return few.withColumn(cut[0], hashed(F.col(column), cut[1])).join(many, [cut[0], column], how).drop(cut[0])
 
 
+#: Keys up to which a lookup of many is sent to all tasks.
+KEYS_AT_MOST = 500_000
+
+
+def narrowed(few: DataFrame, many: DataFrame, column: str) -> DataFrame:
+    """The rows of many that can join few. Of a table that is not stored by key they are found where it is read, below what it is derived by: the keys of few are counted first and sent to all tasks."""
+    if bucket_of(many, column) is not None:
+        return many
+    keys = few.select(column).distinct()
+    return many.join(F.broadcast(keys), column, "left_semi") if keys.limit(KEYS_AT_MOST + 1).count() <= KEYS_AT_MOST else many
+
+
 def strong(edges: DataFrame, least: float, types: Sequence[str] | None = None) -> DataFrame:
     rows = edges.where(F.col("confidence") >= least)
     return rows.where(F.col("relationship_type").isin(list(types))) if types else rows
@@ -69,7 +81,7 @@ def two_hop(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.7,
     second = strong(edges, least).where(F.col("target") != start).select("source", F.col("target").alias("id"), F.col("relationship_type").alias("second_type"), F.col("confidence").alias("c2"), *([cut[0]] if cut else []))
     product = F.col("c1") * F.col("c2")
     ends, own = few_columns(nodes, "text", "entity_type"), few_columns(nodes, "text").withColumnRenamed("text", "mid_text")
-    middle = joined(joined(first, second, "source").withColumnRenamed("id", "__end").withColumnRenamed("source", "id"), own, "id").withColumnRenamed("id", "mid_id").withColumnRenamed("__end", "id")
+    middle = joined(joined(first, narrowed(first, second, "source"), "source").withColumnRenamed("id", "__end").withColumnRenamed("source", "id"), own, "id").withColumnRenamed("id", "mid_id").withColumnRenamed("__end", "id")
     paths = joined(middle, ends, "id")
     paths = paths.withColumn("path_confidence", F.sqrt(product) if score == "root" else product)
     return paths.orderBy(F.desc("path_confidence"), "id", "mid_id", "first_type", "second_type").limit(most)
@@ -107,7 +119,8 @@ def co_mentioned(mentions: DataFrame, start: str, most: int = 100, by_document:
     by_document: the same mentions, stored for lookups by document.
     """
     here = keyed(mentions, "entity_id", start).select("document_id").distinct()
-    near = joined(here, (mentions if by_document is None else by_document).where(F.col("entity_id") != start), "document_id")
+    others = (mentions if by_document is None else by_document).where(F.col("entity_id") != start)
+    near = joined(here, narrowed(here, others, "document_id"), "document_id")
     counts = near.groupBy("entity_id").agg(F.countDistinct("document_id", "chunk_id").alias("co_mentions"))
     return counts.orderBy(F.desc("co_mentions"), "entity_id").limit(most)
 
@@ -132,7 +145,11 @@ def two_levels(nodes: DataFrame, edges: DataFrame, start: str, least: float = 0.
     out, into = strong(edges, least), strong(edges if by_target is None else by_target, least)
     ends = lambda a, b, df: df.select(F.col(a).alias("a"), F.col(b).alias("b"), "confidence")
     first = ends("source", "target", keyed(out, "source", start)).unionByName(ends("target", "source", keyed(into, "target", start))).where(F.col("b") != start).select(F.col("b").alias("mid"), F.col("confidence").alias("c1"))
-    onward = lambda a, b, df: joined(first.withColumnRenamed("mid", a), df.where((F.col(a) != start) & (F.col(b) != start)), a).select(F.col(b).alias("id"), "c1", "confidence")
+
+    def onward(a: str, b: str, df: DataFrame) -> DataFrame:
+        mid, rows = first.withColumnRenamed("mid", a), df.where((F.col(a) != start) & (F.col(b) != start))
+        return joined(mid, narrowed(mid, rows, a), a).select(F.col(b).alias("id"), "c1", "confidence")
+
     both = onward("source", "target", out).unionByName(onward("target", "source", into))
     second = both.select("id", F.lit(2).alias("d"), F.sqrt(F.col("c1") * F.col("confidence")).alias("c"))
     reached = first.select(F.col("mid").alias("id"), F.lit(1).alias("d"), F.col("c1").alias("c")).unionByName(second)
@@ -169,7 +186,8 @@ def vendor_info(nodes: DataFrame, edges: DataFrame, name: str, mode: str = "meta
     head = named_.select(F.lit(name).alias("vendor_name"), status.alias("status"), F.when(F.col("n") == 1, F.col("v.id")).alias("vendor_id"))
     out = head.withColumn("entity_ids", F.when(F.col("vendor_id").isNotNull(), F.array("vendor_id")))
     if mode != "ids_only":
-        own = joined(F.broadcast(head.where("vendor_id is not null").select(F.col("vendor_id").alias("source"))), edges, "source").select("source", F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence"))
+        asked = head.where("vendor_id is not null").select(F.col("vendor_id").alias("source"))
+        own = joined(F.broadcast(asked), narrowed(asked, edges, "source"), "source").select("source", F.col("target").alias("id"), "relationship_type", F.col("confidence").alias("relationship_confidence"))
         near = joined(own, few_columns(nodes, "text", "entity_type", "confidence"), "id")
         tally = lambda c: near.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"{c}s"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{c}"))
         stats = tally("entity_type").join(F.broadcast(tally("relationship_type")))

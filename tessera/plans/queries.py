@@ -340,7 +340,7 @@ def filter_tags(spark: SparkSession, d: str) -> DataFrame:
 
 # Graph.
 def g(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    x = gt.stored_graph(spark, d)
+    x = gt.read_graph(spark, d)
     return x.nodes, x.edges, x.mentions
 
 
@@ -371,7 +371,7 @@ SELECT b.id, entity_type, list_sort(list_distinct(coalesce(array_agg(ot) FILTER
 FROM b JOIN nodes n ON n.id = b.id GROUP BY b.id, entity_type ORDER BY relationship_count DESC, max_confidence DESC, b.id LIMIT 200""")
 def graph_bidirectional(spark: SparkSession, d: str) -> DataFrame:
     n, e, _ = g(spark, d)
-    return graph.bidirectional(n, e, "S1", 0.4, 200, gt.stored_graph(spark, d).by_target).select("id", "entity_type", "outbound", "inbound", "max_confidence", "relationship_count", "min_distance")
+    return graph.bidirectional(n, e, "S1", 0.4, 200, gt.read_graph(spark, d).by_target).select("id", "entity_type", "outbound", "inbound", "max_confidence", "relationship_count", "min_distance")
 
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT id, entity_type, e.confidence AS relationship_confidence FROM edges e JOIN nodes ON id = target WHERE source = 'S1' AND e.confidence >= 0.6 AND relationship_type = 'hierarchical' AND entity_type IN ('GPE') ORDER BY e.confidence DESC, id LIMIT 50")
@@ -393,7 +393,7 @@ def graph_document_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {gt.GRAPH_SQL} SELECT b.entity_id, count(DISTINCT (b.document_id, b.chunk_id)) AS co_mentions FROM (SELECT DISTINCT document_id FROM mentions WHERE entity_id = 'P1') a JOIN mentions b ON a.document_id = b.document_id WHERE b.entity_id <> 'P1' GROUP BY b.entity_id ORDER BY co_mentions DESC, b.entity_id LIMIT 100")
 def graph_co_mentions(spark: SparkSession, d: str) -> DataFrame:
-    x = gt.stored_graph(spark, d)
+    x = gt.read_graph(spark, d)
     return graph.co_mentioned(x.mentions, "P1", by_document=x.by_document)
 
 
