@@ -21,6 +21,8 @@ from tessera.llm.vectors import augmented, clean, distances, foremost, lengths,
 #: Bounds of what every task holds and of what it is fitted on: lists grow with the root of the table up to MAX_LISTS
 #: (67 million vectors), from where on lists grow longer, in blocks; the sample holds SAMPLE_ROWS vectors at most.
 MAX_LISTS, SAMPLE_ROWS = 8192, 131_072
+#: Vectors for each task that scores pairs of blocks: a query has k rows from each of these tasks, so they are no more than the work needs.
+SCORED_AT_ONCE = 65_536
 NO_KEY = np.uint64(2**64 - 1)
 
 
@@ -250,4 +252,5 @@ def one_length(rows: DataFrame, n: int, norm: float, is_query: Column, k: int, p
     salts = stored.groupBy("list").agg(F.ceil(F.count("*") / 4).alias("salts"))
     queries = blocks.where("asks").join(salts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
     stored = stored.join(salts, "list").select("list", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), "ids", "mat")
-    return ranked(score_pairs(queries.join(stored, ["list", "salt"]), k), k)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // SCORED_AT_ONCE))
+    return ranked(score_pairs(queries.join(stored, ["list", "salt"]).coalesce(tasks), k), k)
