@@ -76,7 +76,7 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, metric: str
     packs = max(1, -(-chunks.count() // BLOCK))
     rows = blocks(chunks, id_col, vec_col, metric, "x", packs)
     asked = blocks(queries, "query_id", "query_vec", metric, "q", max(1, -(-queries.count() // BLOCK))).drop("pack").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    pairs = asked.join(rows, ["dim", "pack"]).select("q", "x")
+    pairs = asked.join(rows.hint("merge"), ["dim", "pack"]).select("q", "x")  # blocks are large rows, whatever their plan's estimate: none goes through the driver
     found = pairs.mapInArrow(compare, f"query_id long, {id_col} long, distance double")
     by = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
