@@ -28,9 +28,9 @@ from tessera.llm.common import mix64, spread
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Bytes of text encoded at a time within a batch; a longer text is encoded alone.
-AT_ONCE = 2_500_000
+AT_ONCE = 1_000_000
 #: Characters of the units whose lattices a task keeps for later batches; beyond that it starts afresh.
-KEPT = 3_000_000
+KEPT = 1_500_000
 #: Units longer than this are filtered one by one.
 LONG = 512
 BASE, BYTE = np.uint64(0x100000001B3), -1
