@@ -5,8 +5,8 @@ and its bytes. Every bit is predicted by the low, middle and high context (for t
 before; for bytes: one, three, five before), whose counts over all learning documents stand in tables by a hash of
 context and code prefix, and by what the document itself has shown so far. The predictions are mixed in the logistic
 domain by weights that a gate selects: token or byte, depth in the code, and which predictors know the context. The
-weights are fitted by online Newton steps on a fold of the learning documents, whose own bits are taken out of the
-counts for it, and go on adapting within each document. Plain token counts give the base score beside it.
+weights are fitted by online Newton steps on all learning documents, each bit taken out of the counts before they
+predict it, and go on adapting within each document. Plain token counts give the base score beside it.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ SPAN, STEP = 65_536, 4096
 AT_ONCE = 8_000
 ESCAPE, END, KINDS, INPUTS = 0, 1, 48, 5
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Log of counts, by which a document's own predictions are looked up.
-DEPTHS = np.array([0] * 4 + [4] * 6 + [8] * 54, np.uint8)
+#: The gate's share that depth gives, for tokens (codes have less than 32 bits), then for bytes.
+DEPTHS = np.array([0] * 4 + [4] * 6 + [8] * 22 + [12] * 32, np.uint8)
 LOW, HALF, LN2 = np.uint64((1 << 32) - 1), np.uint64(32), math.log(2)
 A32, B32 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: Log of counts, by which a document's own predictions are looked up.
 LOGS = np.log(np.arange(SPAN + 1) + 0.3).astype(np.float32)
 
 
@@ -238,28 +239,28 @@ def packs(doc: np.ndarray, most: int = 8192) -> Iterator[list[tuple[int, int]]]:
 def bits_of(s: Symbols, some: list[tuple[int, int]], lexicon: Lexicon, slot_bits: int, learn: bool = False) -> Bits:
     """The bits of some spans. To learn, the low slots of bytes' bits alone are given, as tokens have theirs from their counts, and nothing else but the hashed slots."""
     a, z = some[0][0], some[-1][1]
-    length = s.length[a:z]
-    rep = np.repeat(np.arange(z - a, dtype=np.int32), length)
+    length, is_byte = s.length[a:z], s.byte[a:z]
     first = np.cumsum(length, dtype=np.int32) - length
-    there = np.arange(len(rep), dtype=np.int32)
-    depth = there - first[rep]
-    last = s.code[a:z][rep] >> (length[rep] - depth - 1).astype(np.uint32)
+    n = int(length.sum())
+    there = np.arange(n, dtype=np.int32)
+    depth = there - np.repeat(first, length)
+    last = np.repeat(s.code[a:z], length) >> (np.repeat(first + length - 1, length) - there).astype(np.uint32)
     bit = (last & np.uint32(1)).astype(np.uint8)
     node = (last >> np.uint32(1)) | (np.uint32(1) << depth.astype(np.uint32))
-    byte = s.byte[a:z][rep]
     mixed, shift = node * A32, np.uint32(32 - slot_bits)
-    hashed = [((h[a:z][rep] ^ mixed) * B32) >> shift for h in (s.middle, s.high)]
-    byte_low = lexicon.tokens.n_inner + 256 * s.low[a:z]
+    hashed = [(((np.repeat(h[a:z], length) ^ mixed) * B32) >> shift).astype(np.int64) for h in (s.middle, s.high)]
+    byte_low = lexicon.tokens.n_inner + 256 * s.low[a:z].astype(np.int64)
     if learn:
-        some_ = np.flatnonzero(byte)
-        low = byte_low[rep[some_]] + node[some_] + lexicon.bytes_.by_node()[depth[some_]]
+        some_ = np.flatnonzero(np.repeat(is_byte, length))
+        low = np.repeat(byte_low[is_byte], length[is_byte]) + node[some_] + lexicon.bytes_.by_node()[depth[some_]]
         return Bits(bit, [(low, bit[some_]), *((h, bit) for h in hashed)], None, None, [])
-    low = node + np.where(byte, byte_low[rep] + lexicon.bytes_.by_node()[depth], lexicon.tokens.by_node()[depth])
-    edges = np.append(first, len(rep))
+    kind = depth + np.repeat(np.where(is_byte, np.int32(32), np.int32(0)), length)
+    low = node + np.repeat(np.where(is_byte, byte_low, 0), length) + np.concatenate([lexicon.tokens.by_node(), lexicon.bytes_.by_node()]).take(kind)
+    edges = np.append(first, n)
     found = [(int(s.doc[x]), int(edges[x - a]), int(edges[y - a])) for x, y in some]
     span = np.repeat(np.arange(len(some), dtype=np.uint64), [y - x for x, y in some])
     own = (mix64(s.own[a:z] + span * B) >> HALF).astype(np.uint32)
-    seen = ((own[rep] ^ mixed) * B32).astype(np.uint64) << HALF
+    seen = ((np.repeat(own, length) ^ mixed) * B32).astype(np.uint64) << HALF
     seen |= there.astype(np.uint64)
     seen.sort()
     at = (seen & LOW).view(np.int64)
@@ -268,16 +269,16 @@ def bits_of(s: Symbols, some: list[tuple[int, int]], lexicon: Lexicon, slot_bits
     sorted_bit = bit[at]
     ones = np.cumsum(sorted_bit, dtype=np.int32) - sorted_bit
     n1 = ones - ones[start]
-    own_counts = np.empty(len(rep), np.float32)
+    own_counts = np.empty(n, np.float32)
     own_counts[at] = LOGS[n1] - LOGS[there - start - n1]
-    return Bits(bit, [low, *hashed], own_counts, np.where(byte, np.uint8(12), DEPTHS[depth]), found)
+    return Bits(bit, [low, *hashed], own_counts, DEPTHS.take(kind), found)
 
 
 def inputs(b: Bits, stretched: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The predictors' outputs in the logistic domain and a constant, a row each; and the gate."""
+    """The predictors' outputs in the logistic domain and a constant, a row each; and the gate. stretched are twelfths."""
     x = np.empty((INPUTS, len(b.bit)), np.float32)
     for k, v in enumerate(stretched):
-        x[k] = v
+        np.divide(v, np.float32(12), out=x[k])
     x[3], x[4] = b.own, 1.0
     return x, b.kind + (x[1] != 0) + np.uint8(2) * (x[2] != 0) + np.uint8(16) * (b.own != 0)
 
@@ -340,7 +341,7 @@ def bit_counts(docs: DataFrame, lexicon, slot_bits: int, sizes: list[int]) -> li
                 s, _ = symbols(lexicon.value, docs)
                 for some in packs(s.doc):
                     for t, (slot, bit) in zip(total, bits_of(s, some, lexicon.value, slot_bits, learn=True).slots, strict=True):
-                        np.add.at(t, 2 * slot.astype(np.int64) + bit, np.uint32(1))
+                        np.add.at(t, 2 * slot + bit, np.uint32(1))
         for k, t in enumerate(total):
             for at in range(0, len(t), CHUNK):
                 part = t[at : at + CHUNK]
@@ -378,14 +379,22 @@ def stretched(pairs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(12 * np.log(n[:, 1] / n[:, 0])), -127, 127).astype(np.int8)
 
 
+def without_one(pairs: np.ndarray) -> np.ndarray:
+    """stretched() of each slot's counts without one of its zeros, then without one of its ones."""
+    less = [pairs.reshape(-1, 2).copy() for _ in range(2)]
+    for bit, n in enumerate(less):
+        n[:, bit] -= n[:, bit] > 0
+    return np.stack([stretched(n) for n in less], axis=1).ravel()
+
+
 def start_weights() -> np.ndarray:
     return np.tile(np.array([0.5, 0.3, 0.3, 0.2, 0.0]), (KINDS, 1))
 
 
-def mixing_weights(docs: DataFrame, lexicon, counts, slot_bits: int) -> np.ndarray:
-    """Weights by gate from online Newton steps over the fold docs, each task by itself; their mean by the tasks' curvatures.
+def mixing_weights(docs: DataFrame, lexicon, tables, slot_bits: int) -> np.ndarray:
+    """Weights by gate from online Newton steps over all docs, each task by itself; their mean by the tasks' curvatures.
 
-    A bit's own count is taken out of the tables before they predict it.
+    docs are those that were counted; tables hold without_one() of the counts, as a bit must not predict itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,20 +404,16 @@ def mixing_weights(docs: DataFrame, lexicon, counts, slot_bits: int) -> np.ndarr
                 s, _ = symbols(lexicon.value, docs)
                 for some in packs(s.doc):
                     b = bits_of(s, some, lexicon.value, slot_bits)
-                    outs, own = [], np.arange(len(b.bit))
-                    for t, slot in zip(counts.value, b.slots, strict=True):
-                        n = t.reshape(-1, 2)[slot].astype(np.float32)
-                        n[own, b.bit] = np.maximum(n[own, b.bit] - 1, 0)
-                        outs.append(np.rint(12 * np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))) / 12)
-                    x, gate = inputs(b, outs)
+                    x, gate = inputs(b, [t.take(2 * slot + b.bit) for t, slot in zip(tables.value, b.slots, strict=True)])
                     order = np.argsort(gate, kind="stable")
                     edges = np.searchsorted(gate[order], np.arange(KINDS + 1))
+                    x, bit = x.take(order, axis=1), b.bit[order]
                     for kind in np.flatnonzero(np.diff(edges)).tolist():
-                        m = order[edges[kind] : edges[kind + 1]]
+                        m = slice(edges[kind], edges[kind + 1])
                         q = x[:, m].astype(float)
                         p = 1 / (1 + np.exp(-(w[kind] @ q)))
                         curve[kind] += (q * (p * (1 - p))) @ q.T
-                        w[kind] += np.linalg.solve(curve[kind], q @ (b.bit[m] - p))
+                        w[kind] += np.linalg.solve(curve[kind], q @ (bit[m] - p))
         out = np.concatenate([curve.ravel(), np.einsum("gij,gj->gi", curve, w).ravel()])
         yield pa.RecordBatch.from_pydict({"dim": pa.array([0], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
 
@@ -425,20 +430,21 @@ def bits_needed(model: Model, s: Symbols, n_docs: int, rate: float = 0.2) -> np.
     out, w = np.zeros(n_docs), np.ascontiguousarray(model.weights.T.astype(np.float32))
     for some in packs(s.doc):
         b = bits_of(s, some, model.lexicon, model.slot_bits)
-        x, gate = inputs(b, [t[slot].astype(np.float32) / np.float32(12) for t, slot in zip(model.tables, b.slots, strict=True)])
+        x, gate = inputs(b, [t.take(slot) for t, slot in zip(model.tables, b.slots, strict=True)])
+        gate = gate.astype(np.int64)
         sign = b.bit.astype(np.float32) * 2 - 1
         for doc, first, last in b.spans:
             shift = np.zeros(INPUTS, np.float32)
             for a in range(first, last, STEP):
                 z = min(a + STEP, last)
                 q, y = x[:, a:z], sign[a:z]
-                odds = np.exp(-y * np.clip(np.einsum("kn,kn->n", w.take(gate[a:z], axis=1), q) + shift @ q, -12, 12))  # against the bit
+                odds = np.exp(-y * np.clip(np.einsum("kn,kn->n", w.take(gate[a:z], axis=1, mode="clip"), q) + shift @ q, -12, 12))  # against the bit
                 out[doc] += np.log(1 + odds).sum(dtype=float) / LN2
                 shift = shift + np.float32(rate / (z - a)) * (q @ (y * odds / (1 + odds)))
     return out
 
 
-def train(docs: DataFrame, learn: Column, fold: Column, lexicon_size: int = LEXICON) -> tuple[DataFrame, object, int, int]:
+def train(docs: DataFrame, learn: Column, lexicon_size: int = LEXICON) -> tuple[DataFrame, object, int, int]:
     """(token counts, broadcast model, number of learning tokens, number of distinct ones)."""
     context = docs.sparkSession.sparkContext
     learning = docs.where(learn)
@@ -450,8 +456,8 @@ def train(docs: DataFrame, learn: Column, fold: Column, lexicon_size: int = LEXI
     slot_bits = min(SLOT_BITS, max(12, math.ceil(math.log2(n + 1)) + 1))
     sizes = [lexicon.value.n_low, 1 << slot_bits, 1 << slot_bits]
     tables = bit_counts(learning, lexicon, slot_bits, sizes)
-    sent = context.broadcast(tables)
-    weights = mixing_weights(docs.where(learn & fold), lexicon, sent, slot_bits)
+    sent = context.broadcast([without_one(t) for t in tables])
+    weights = mixing_weights(learning, lexicon, sent, slot_bits)
     sent.unpersist()
     return counts, context.broadcast(Model(lexicon.value, slot_bits, [stretched(t) for t in tables], weights)), n, distinct
 
@@ -459,8 +465,8 @@ def train(docs: DataFrame, learn: Column, fold: Column, lexicon_size: int = LEXI
 def score(docs: DataFrame, folds: int = 10, lexicon_size: int = LEXICON) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs.
 
-    Documents whose crc32(doc_id as text) mod folds is 0 are held out; the others are learned from, and weights are
-    fitted on those whose remainder by ten times folds is 1, a hundredth of all. Rows without id are scored, neither held out nor learned from. Null and empty
+    Documents whose crc32(doc_id as text) mod folds is 0 are held out; counts, lexicon and weights are learned from all
+    others. Rows without id are scored, neither held out nor learned from. Null and empty
     texts are one end token; their bits_per_byte is null. Repeated rows count like any; other columns of docs are not
     read; no rows give none. With nothing to learn from every base_score is 0. score is log10 of the probability of
     the lower-cased tokens, unknown ones spelled. Hashed tables have up to 4,194,304 slots, which contexts share
@@ -468,7 +474,7 @@ def score(docs: DataFrame, folds: int = 10, lexicon_size: int = LEXICON) -> Data
     """
     crc = F.crc32(F.col("doc_id").cast("string"))
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    counts, model, n, distinct = train(rows, F.coalesce(crc % folds != 0, F.lit(False)), crc % (10 * folds) == 1, lexicon_size)
+    counts, model, n, distinct = train(rows, F.coalesce(crc % folds != 0, F.lit(False)), lexicon_size)
     total = n + 0.1 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

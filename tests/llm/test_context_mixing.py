@@ -162,3 +162,18 @@ def test_spans_bound_the_work(monkeypatch):
     parts = cm.spans(s.doc)
     assert all(z - a <= 100 and len(set(s.doc[a:z])) == 1 for a, z in parts) and sum(z - a for a, z in parts) == len(s.doc) == 351 + 21 + 503
     assert [p for some in cm.packs(s.doc) for p in some] == parts
+
+
+def test_weights_are_fitted_on_all_learning_documents(spark, monkeypatch):
+    ids = [i for i in range(120) if not held(i) and zlib.crc32(str(i).encode()) % 100 != 1]  # none of a former fold
+    fit, seen = cm.mixing_weights, []
+    monkeypatch.setattr(cm, "mixing_weights", lambda docs, *more: seen.append((docs.count(), fit(docs, *more))) or seen[-1][1])
+    assert cm.score(spark.createDataFrame([(i, f"the cat sat {i} the cat") for i in ids], "doc_id long, text string")).count() == len(ids)
+    (n, weights), = seen
+    assert n == len(ids) and np.isfinite(weights).all() and np.abs(weights - cm.start_weights()).max() > 0.05
+
+
+def test_a_bit_is_taken_out_of_its_counts():
+    counts = np.array([3, 5, 0, 1, 1, 0, 0, 0, 65535, 2], np.uint16)
+    want = [max(-127, min(127, round(12 * math.log((n1 - (b and n1 > 0) + 0.4) / (n0 - (not b and n0 > 0) + 0.4))))) for n0, n1 in counts.reshape(-1, 2).tolist() for b in (0, 1)]
+    assert cm.without_one(counts).tolist() == want and counts.tolist() == [3, 5, 0, 1, 1, 0, 0, 0, 65535, 2]
