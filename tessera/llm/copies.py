@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, cut, shuffle_partitions, spread
+from tessera.llm.common import arrow_map, cut, lean, shuffle_partitions, spread
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bit_majority, fingerprint, joint, links, shingles
 
@@ -98,13 +98,13 @@ def similar(sets: DataFrame, least: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(xs[i]), pa.array(ys[j])], ["a", "b"])
 
     dealt = sets.repartitionByRange(shuffle_partitions(sets.sparkSession), "part", "size", "sig").sortWithinPartitions("part", "size", "sig")
-    packed = dealt.select("part", "size", "sig", "data").mapInArrow(pack, "part long, lo long, hi long, sigs binary, sizes binary, data binary")
+    packed = dealt.select("part", "size", "sig", "data").mapInArrow(lean(pack), "part long, lo long, hi long, sigs binary, sizes binary, data binary")
     blocks = cut(packed.withColumn("block", F.monotonically_increasing_id()))
     a, b = (blocks.select("part", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")]) for s in "ab")
     met = a.join(b, "part").where("block_a <= block_b").where(F.col("hi_a") >= least * F.col("lo_b") - 1e-9).where(F.col("hi_b") >= least * F.col("lo_a") - 1e-9).select("block_a", "block_b")
     for s in "ab":
         met = met.join(blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "sigs", "sizes", "data")]), f"block_{s}")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    return met.mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, second: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:

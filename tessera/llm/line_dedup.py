@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.llm.common import cut, free, shuffle_partitions, small, spread
+from tessera.llm.common import cut, free, lean, shuffle_partitions, small, spread
 
 #: A position: its text (is the id null, the id or 0, a hash of id and text) and the unit's number in it.
 TEXT = ["none", "id", "doc"]
@@ -214,7 +214,7 @@ def packed_units(texts: DataFrame, least: int, whole_lines: bool) -> DataFrame:
                 places = [pa.array(batch.column(c).to_numpy()[kept]) for c in TEXT]
                 yield pa.RecordBatch.from_arrays([*places, *(pa.array(c, pa.binary()) for c in columns)], [*TEXT, "digests", "words", "seqs"])
 
-    return spread(texts).mapInArrow(pack, "none int, id long, doc long, digests binary, words binary, seqs binary")
+    return spread(texts).mapInArrow(lean(pack), "none int, id long, doc long, digests binary, words binary, seqs binary")
 
 
 def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -407,4 +407,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[kept.names.index(text_col)] = pa.array([t for t, _, _ in done], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in done], pa.int32()), pa.array([g for _, _, g in done], pa.list_(pa.int32()))], [*kept.names, f"{prefix}n_lines", f"{prefix}gone"])
 
-    return rows.mapInArrow(delete, schema)
+    return rows.mapInArrow(lean(delete), schema)

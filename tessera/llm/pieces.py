@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.llm.common import mix64, spread
+from tessera.llm.common import lean, mix64, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Bytes of text encoded at a time within a batch; a longer text is encoded alone.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 #: Characters of the units whose lattices a task keeps for later batches; beyond that it starts afresh.
-KEPT = 1_500_000
+KEPT = 500_000
 #: Units longer than this are filtered one by one.
 LONG = 512
 BASE, BYTE = np.uint64(0x100000001B3), -1
@@ -312,7 +312,7 @@ def sampled_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part[0], len(part)), lists, pa.array(n), pa.array(fine)], ["doc_id", "pieces", "n_pieces", "lossless"])
 
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("__key"), F.col(text_col).alias("__text")))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, pieces array<int>, n_pieces int, lossless boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, pieces array<int>, n_pieces int, lossless boolean")
 
 
 def decoded_texts(encoded: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:

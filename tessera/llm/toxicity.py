@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix64, spread
+from tessera.llm.common import cut, lean, mix64, spread
 
 #: Places in the weight table: 2^BITS single-precision numbers, 4 MB, whatever the corpus; only those that L1 leaves are sent.
 BITS = 20
@@ -152,4 +152,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = pa.array([shared.value.score(t, seen) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -242,3 +242,31 @@ def test_pipeline(spark):
             assert kept.count() == len(set(groups_of(texts)))
     last = corpus_pipeline.run(spark, D)
     assert last.where("not lossless").count() == 0 and last.count() == kept.count()
+
+
+def test_a_worker_gives_back_what_it_freed():
+    import gc
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.common import lean
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nRss:\s+(\d+)", f.read())[1]) / 1024
+
+    def run(batches):
+        for batch in batches:
+            some = [b"x" * (100_000 + k) for k in range(1500)]  # about 150 MB in pieces that the allocator would keep
+            yield batch
+            del some
+
+    gc.collect()
+    before = held()
+    pins = []
+    for batch in lean(run)(iter([pa.RecordBatch.from_pydict({"x": [1]})])):
+        pins.append(b"y" * 110_000)  # keeps the heap's end in use
+        assert batch.num_rows == 1 and held() > before + 100
+    assert held() < before + 40
