@@ -36,9 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def small(df: DataFrame, ints: str | None = None) -> DataFrame:
-    """df for a join: to be broadcast if its rows, and the numbers in its column ints, are few. Its columns must be of fixed width but for ints."""
-    size = df.agg(F.count("*"), F.sum(F.size(ints) if ints else F.lit(0))).first()
+def small(df: DataFrame, *ints: str) -> DataFrame:
+    """df for a join: to be broadcast if its rows, and the numbers in its columns ints, are few. Its columns must be of fixed width but for ints."""
+    size = df.agg(F.count("*"), F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in ints), F.lit(0)))).first()
     return F.broadcast(df) if size[0] <= ROWS_AT_MOST and (size[1] or 0) <= INTS_AT_MOST else df
 
 

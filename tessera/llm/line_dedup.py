@@ -1,17 +1,17 @@
-"""Repeated runs of lines, by a suffix array over line ids that distributed prefix doubling builds.
+"""Repeated runs of lines, by prefix doubling and one distributed sort that lays out intervals of the suffix array.
 
 It is done twice: over whole lines, and then, over what that leaves, over lines cut further at sentence ends, so that
-passages within lines are found too; the first turn spares the second most positions. Ids are ranks of these units.
+passages within lines are found too; the first turn spares the second most positions.
 In each turn positions that no repeated run can hold are passed over first: each unit opens the shortest run from it on
 with enough words, and one whose opening run has a hash that occurs once in the corpus opens no repeated run. The
-hashes are counted with partial sums, so a hot one is no one task's. All that follows is exact and over what is left.
-Only units that occur twice there can belong to a repeated run; any other unit ends a run. Rank k orders
-positions by their first 2^k units: positions are sorted by pairs (rank k - 1 here, rank k - 1 at 2^(k-1) units on),
-each class of equal pairs is an interval of the suffix array whose common prefix has 2^k units or more, and positions
-whose prefix is unique drop out. A run of L units is named by two overlapping ranks, so that sorting the runs by their
-names lays out the intervals of common prefixes of L units, each with its first copy in front. The shortest runs with
-enough words, from every unit on and up to every unit, cover each maximal repeated run; all but first copies go. Of
-texts that are equal as a whole only the first takes part, as the others are later copies of it from end to end.
+hashes travel packed, each once for a task, so a hot one is no one task's; those that occur twice are bits of a table of
+bounded size that every task reads, and one that is there by chance only costs a position that the sort drops.
+Prefix doubling then names every position's first 2^k units by the names of its first and second 2^(k-1) units; names
+are 128 bits that follow from the units alone, as the units' own digests do, so that no level has to be dealt out. A run
+of L units is named by two overlapping names, and sorting all runs by their names and places lays out the intervals of
+common prefixes of L units, each with its first copy in front. The shortest runs with enough words, from every unit on
+and up to every unit, cover each maximal repeated run; all but first copies go. Of texts that are equal as a whole only
+the first takes part, as the others are later copies of it from end to end.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.llm.common import cut, free, lean, shuffle_partitions, small, spread
+from tessera.llm.common import cut, free, lean, mix64, shuffle_partitions, small, spread
 
 #: A position: its text (is the id null, the id or 0, a hash of id and text) and the unit's number in it.
 TEXT = ["none", "id", "doc"]
 PLACE = [*TEXT, "seq"]
 PLACE_DDL = "none int, id long, doc long, seq int"
+#: Bits of the table of repeated hashes at most, as a power of 2 (16 MB).
+TABLE_BITS = 27
 
 
 def units(text: str) -> list[bytes]:
@@ -102,79 +104,65 @@ def reached(text: np.ndarray, seq: np.ndarray, words: np.ndarray, opening: np.nd
     return np.cumsum(step[:-1]) > 0
 
 
-def longest_over(first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
-    """The size of the longest of the runs (first, size) over each of n units, 0 without one."""
-    most = np.zeros(n, np.int32)
-    for s in np.unique(size):
-        step = np.zeros(n + 1, np.int64)
-        np.add.at(step, first[size == s], 1)
-        np.add.at(step, first[size == s] + s, -1)
-        most[np.cumsum(step[:-1]) > 0] = s
-    return most
+def names(digest: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two numbers for each run (first, size) over units with two digests each, which runs of equal units share: doubling names 2^k units by two names of 2^(k-1)."""
+    out, name, level = np.zeros((len(first), 2), np.uint64), digest.view(np.uint64), 1
+    while len(first) and level <= size.max():
+        m = (size >= level) & (size < 2 * level)
+        out[m] = mix64(mix64(name[first[m]]) + name[first[m] + size[m] - level])
+        name, level = mix64(mix64(name[:-level]) + name[level:]), 2 * level
+    return out.view(np.int64)
 
 
 def text_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_.cast("string"), text)
 
 
-def classes(df: DataFrame, key: list[str], later: bool, carry: str | None = None) -> DataFrame:
+def later_copies(df: DataFrame, key: list[str]) -> DataFrame:
     """The suffix-array intervals of positions (columns PLACE) that agree in the integer columns key.
 
     Positions are sorted by key, then place, over range partitions; a class may span any number of them, so a key of
     very many positions is no one task's. Each task learns from a summary of a row for each partition, which the
-    driver holds, where the class that it begins with began. Gives PLACE and rank (equal in a class, rising with key)
-    for the positions that share their class with others (and the integer column carry, if named), or, if later, PLACE, the first column of key, and the place of the
+    driver holds, where the class that it begins with began. Gives PLACE, the first column of key, and the place of the
     class's first position (lead_...) for all but that first position. Places must be distinct within a class.
     """
-    order, more = [*key, *PLACE], [carry] if carry else []
-    dealt = df.select(*order, *more).repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    order = [*key, *PLACE]
+    dealt = df.select(*order).repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
     placed = cut(dealt.select("*", F.monotonically_increasing_id().alias("at")))
     last = F.struct(*key, (-F.col("at")).alias("back"))
     edges = placed.groupBy(F.shiftright("at", 33).alias("pid")).agg(F.min(F.struct(*key)).alias("first"), F.max(last).alias("last"), F.max_by(F.struct("at", *PLACE), last).alias("head")).orderBy("pid").collect()
-    known: dict[int, tuple] = {}  # by partition: the key and the first position of the class before it, the key after it
+    known: dict[int, tuple] = {}  # by partition: the key and the first position of the class before it
     held_key = held_head = None
-    for i, e in enumerate(edges):
-        after = tuple(edges[i + 1]["first"]) if i + 1 < len(edges) else None
-        known[e["pid"]] = (held_key, held_head, after)
+    for e in edges:
+        known[e["pid"]] = (held_key, held_head)
         ends = tuple(e["last"])[: len(key)]
-        held_head = held_head if ends == held_key else tuple(e["head"])
+        held_head = held_head if ends == held_key else tuple(e["head"])[1:]
         held_key = ends
     shared = df.sparkSession.sparkContext.broadcast(known)
-    names = [*PLACE, key[0], *(f"lead_{c}" for c in PLACE)] if later else [*PLACE, "rank", *more]
+    names = [*PLACE, key[0], *(f"lead_{c}" for c in PLACE)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = before = head = after = None
-
-        def done(batch: pa.RecordBatch, following: tuple | None) -> pa.RecordBatch:
-            nonlocal before, head
-            columns = {c: batch.column(c).to_numpy() for c in [*order, *more, "at"]}
+        before = head = None
+        begun = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not begun:
+                before, head = shared.value[batch.column("at")[0].as_py() >> 33]
+                begun = True
+            columns = {c: batch.column(c).to_numpy() for c in order}
             keys = [columns[c] for c in key]
             new = np.ones(batch.num_rows, bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
             new[0] = before != tuple(int(k[0]) for k in keys)
-            ends = tuple(int(k[-1]) for k in keys)
-            begun = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            heads = [np.where(begun >= 0, columns[c][begun], 0 if head is None else head[i]) for i, c in enumerate(["at", *PLACE])]
-            alone = new & np.append(new[1:], following != ends)
-            before, head = ends, tuple(int(h[-1]) for h in heads)
-            keep = ~new if later else ~alone
-            out = [columns[c][keep] for c in PLACE] + ([columns[key[0]][keep], *(h[keep].astype(columns[c].dtype) for h, c in zip(heads[1:], PLACE, strict=True))] if later else [heads[0][keep], *(columns[c][keep] for c in more)])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is None:
-                before, head, after = shared.value[batch.column("at")[0].as_py() >> 33]
-            else:
-                yield done(held, tuple(batch.column(c)[0].as_py() for c in key))
-            held = batch
-        if held is not None:
-            yield done(held, after)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            heads = [np.where(first >= 0, columns[c][first], 0 if head is None else head[i]).astype(columns[c].dtype) for i, c in enumerate(PLACE)]
+            before, head = tuple(int(k[-1]) for k in keys), tuple(int(h[-1]) for h in heads)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~new]) for x in (*(columns[c] for c in PLACE), columns[key[0]], *heads)], names)
 
     kinds = dict(placed.dtypes)
     lead = ", ".join(f"lead_{x}" for x in PLACE_DDL.split(", "))
-    return placed.mapInArrow(scan, f"{PLACE_DDL}, {key[0]} {kinds[key[0]]}, {lead}" if later else f"{PLACE_DDL}, rank long" + "".join(f", {c} {kinds[c]}" for c in more))
+    return placed.mapInArrow(scan, f"{PLACE_DDL}, {key[0]} {kinds[key[0]]}, {lead}")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -186,7 +174,12 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def later_texts(texts: DataFrame) -> DataFrame:
     """(none, id, doc) of the texts that equal one of a smaller place."""
     once = texts.select(*TEXT, F.lit(0).alias("seq"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")).distinct()
-    return classes(once, ["t1", "t2"], later=True).select(*TEXT)
+    return later_copies(once, ["t1", "t2"]).select(*TEXT)
+
+
+def numbers(ranges: list[int] | None) -> list[int]:
+    """The numbers in ranges, given as first, end, first, end and so on."""
+    return [i for a, z in zip((ranges or [])[::2], (ranges or [])[1::2], strict=True) for i in range(a, z)]
 
 
 def packed_units(texts: DataFrame, least: int, whole_lines: bool) -> DataFrame:
@@ -194,7 +187,7 @@ def packed_units(texts: DataFrame, least: int, whole_lines: bool) -> DataFrame:
 
     def held(text: str, gone: list[int] | None) -> tuple[list[bytes], range | list[int]]:
         if gone:
-            drop = set(gone)
+            drop = set(numbers(gone))
             left = [(i, x.strip()) for line, i, x in numbered(text) if i >= 0 and line not in drop]
             return [x for _, x in left], [i for i, _ in left]
         parts = [x for x in map(bytes.strip, text.encode("utf-8", "surrogatepass").split(b"\n") if whole_lines else units(text)) if x]
@@ -204,11 +197,11 @@ def packed_units(texts: DataFrame, least: int, whole_lines: bool) -> DataFrame:
         for batch in batches:
             columns, kept = [[], [], []], []
             for row, (text, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone_lines").to_pylist(), strict=True)):
-                parts, numbers = held(text, gone)
+                parts, seqs = held(text, gone)
                 words = np.array([len(x.split()) for x in parts], np.int32)
                 if words.sum() >= least:
                     kept.append(row)
-                    for column, value in zip(columns, (b"".join(map(xxhash.xxh3_128_digest, parts)), words.tobytes(), np.array(numbers, np.int32).tobytes()), strict=True):
+                    for column, value in zip(columns, (b"".join(map(xxhash.xxh3_128_digest, parts)), words.tobytes(), np.array(seqs, np.int32).tobytes()), strict=True):
                         column.append(value)
             if kept:
                 places = [pa.array(batch.column(c).to_numpy()[kept]) for c in TEXT]
@@ -217,12 +210,60 @@ def packed_units(texts: DataFrame, least: int, whole_lines: bool) -> DataFrame:
     return spread(texts).mapInArrow(lean(pack), "none int, id long, doc long, digests binary, words binary, seqs binary")
 
 
-def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, row, number, words, digest): where each row of packed_units() begins, and for every unit its row, number, words and digest, in two columns."""
-    words, seqs, digests = (batch.column(c).to_pylist() for c in ("words", "seqs", "digests"))
-    sizes = np.array([len(w) // 4 for w in words])
-    each = np.repeat(np.arange(len(words)), sizes)
-    return np.cumsum(sizes) - sizes, each, np.frombuffer(b"".join(seqs), np.int32), np.frombuffer(b"".join(words), np.int32), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, row, number, words, digest) for some rows of packed_units() at a time: for every unit its row, number, words and digest, in two columns."""
+    for whole in batches:
+        for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+            words, seqs, digests = (batch.column(c).to_pylist() for c in ("words", "seqs", "digests"))
+            each = np.repeat(np.arange(len(words)), [len(w) // 4 for w in words])
+            yield batch, each, np.frombuffer(b"".join(seqs), np.int32), np.frombuffer(b"".join(words), np.int32), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
+def twice_seen(packed: DataFrame, least: int) -> DataFrame:
+    """(run): the hashes of opening runs that occur more than once. Each task sends its own once, marked if it has them more often, as packed ranges of hashes."""
+    n = shuffle_partitions(packed.sparkSession)
+    edges = np.arange(4 * n + 1, dtype=np.uint64) * np.uint64((1 << 64) // (4 * n))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            run, times = np.unique(np.concatenate(held), return_counts=True)
+            at = np.append(np.searchsorted(run, edges[:-1]), len(run))
+            rows = [(k, run[a:z], times[a:z] > 1) for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if a < z]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([r[~m].tobytes() for _, r, m in rows], pa.binary()), pa.array([r[m].tobytes() for _, r, m in rows], pa.binary())], ["range", "once", "more"])
+
+        for _, each, seq, words, digest in unpacked(batches):
+            held.append(openings(each, seq, words, digest[:, 0], least)[1].view(np.uint64))
+            if sum(map(len, held)) > 2_000_000:
+                yield out()
+                held.clear()
+        if sum(map(len, held)):
+            yield out()
+
+    def among_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for batch in batches for x in (*batch.column("once").to_pylist(), *2 * batch.column("more").to_pylist())]
+        run = np.sort(np.frombuffer(b"".join(found), np.int64))
+        run = run[1:][run[1:] == run[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(run[np.append(True, run[1:] != run[:-1])] if len(run) else run)], ["run"])
+
+    return packed.mapInArrow(own, "range int, once binary, more binary").repartition(n, "range").mapInArrow(among_all, "run long")
+
+
+def table_of(hashes: DataFrame, most: int = TABLE_BITS) -> np.ndarray:
+    """A table of bits with one set for each hash (column run), by its leading bits; 32 for each hash, but 2^most in all at most."""
+    bits = min(most, max(10, (32 * hashes.count()).bit_length()))
+    at = F.shiftrightunsigned("run", 64 - bits)
+    set_ = hashes.select((at / 64).cast("long").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[set_["word"].to_numpy()] = set_["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def held_by(table: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Whether the table has each hash's bit."""
+    at = run.view(np.uint64) >> np.uint64(58 - (len(table).bit_length() - 1))
+    return table[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
 
 
 def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False) -> DataFrame:
@@ -230,94 +271,53 @@ def repeated_runs(texts: DataFrame, least: int = 30, whole_lines: bool = False)
 
     A run begins with unit seq of a text and has `lines` units; units (or lines, if whole_lines) are numbered without
     those that hold no words. none, id and doc tell the text: whether its id is null, the id, and text_key(id, text);
-    texts has each once. The units of lines in its column gone_lines, if it isn't null, are passed over.
+    texts has each once. The units of lines in its column gone_lines (ranges), if it isn't null, are passed over.
     """
     packed = cut(packed_units(texts, least, whole_lines))
+    twice = texts.sparkSession.sparkContext.broadcast(table_of(cut(twice_seen(packed, least))))
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, each, seq, words, digest = unpacked(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(openings(each, seq, words, digest[:, 0], least)[1])], ["run"])
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                begin, each, seq, words, digest = unpacked(batch)
-                at, run = openings(each, seq, words, digest[:, 0], least)
-                yield pa.RecordBatch.from_arrays([*placed(batch, each[at], (at - begin[each[at]]).astype(np.int32)), pa.array(run)], [*TEXT, "nth", "run"])
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                begin, each, seq, words, digest = unpacked(batch)
-                held = batch.column("opening")
-                opening = held.flatten().to_numpy() + np.repeat(begin, np.diff(held.offsets.to_numpy()))
-                keep = reached(each, seq, words, opening, least)
-                yield pa.RecordBatch.from_arrays([*placed(batch, each[keep], seq[keep]), *(pa.array(digest[keep, i]) for i in (0, 1)), pa.array(words[keep])], [*PLACE, "h1", "h2", "words"])
-
-    def placed(batch: pa.RecordBatch, each: np.ndarray, seq: np.ndarray) -> list[pa.Array]:
-        return [*(pa.array(batch.column(c).to_numpy()[each]) for c in TEXT), pa.array(seq)]
-
-    twice = cut(packed.mapInArrow(hashes, "run long").groupBy("run").count().where("count > 1").select("run"))
-    opening = packed.mapInArrow(opened, "none int, id long, doc long, nth int, run long").join(small(twice), "run", "left_semi")
-    opening = cut(opening.groupBy(*TEXT).agg(F.collect_list("nth").alias("opening")))  # a text's units at most
-    every = packed.join(small(opening, "opening"), TEXT).mapInArrow(left, f"{PLACE_DDL}, h1 long, h2 long, words int")
-    seen = classes(every, ["h1", "h2"], later=False, carry="words")
-    held = cut(seen.groupBy(*TEXT).agg(F.sort_array(F.collect_list(F.struct("seq", "words", "rank"))).alias("at")))
-
-    def units_held(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        at = batch.column("at")
-        each = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
-        return (each, *(at.flatten().field(c).to_numpy() for c in ("seq", "words", "rank")))
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                each, seq, words, _ = units_held(batch)
-                first, size = windows(each, seq, words, least)
-                yield pa.RecordBatch.from_arrays([*placed(batch, each[first], seq[first]), pa.array(size.astype(np.int32))], [*PLACE, "lines"])
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, each, seq, words, digest in unpacked(batches):
+            at, run = openings(each, seq, words, digest[:, 0], least)
+            keep = reached(each, seq, words, at[held_by(twice.value, run)], least)
+            each, seq, digest = each[keep], seq[keep], digest[keep]
+            first, size = windows(each, seq, words[keep], least)
+            name = names(digest, first, size)
+            places = [*(batch.column(c).to_numpy()[each[first]] for c in TEXT), seq[first], size.astype(np.int32), name[:, 0], name[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in places], [*PLACE, "lines", "n1", "n2"])
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ranks of the units in runs, with the size of the longest; no others are asked for."""
-        for batch in batches:
-            if batch.num_rows:
-                each, seq, words, rank = units_held(batch)
-                most = longest_over(*windows(each, seq, words, least), len(seq))
-                keep = most > 0
-                yield pa.RecordBatch.from_arrays([*placed(batch, each[keep], seq[keep]), pa.array(rank[keep]), pa.array(most[keep])], [*PLACE, "rank", "most"])
-
-    runs = cut(held.mapInArrow(cover, f"{PLACE_DDL}, lines int"))
-    ranks = cut(held.mapInArrow(possible, f"{PLACE_DDL}, rank long, most int"))
-    longest = runs.agg(F.max("lines")).first()[0] or 0
-    named, size = None, 1
-    while size <= longest:
-        # A run of `size` to 2 size - 1 units is named by the ranks of `size` units at its begin and before its end.
-        some = runs.where((F.col("lines") >= size) & (F.col("lines") < 2 * size)).join(ranks.select(*PLACE, F.col("rank").alias("r1")), PLACE)
-        ends = ranks.select(*TEXT, F.col("seq").alias("end"), F.col("rank").alias("r2"))
-        some = some.withColumn("end", F.col("seq") + F.col("lines") - size).join(ends, [*TEXT, "end"]).select("lines", "r1", "r2", *PLACE)
-        named = some if named is None else named.unionByName(some)
-        if 2 * size <= longest:
-            longer = ranks.where(F.col("most") >= 2 * size)
-            on = longer.select(*TEXT, (F.col("seq") - size).alias("seq"), F.col("rank").alias("r2"))
-            ranks = cut(classes(longer.withColumnRenamed("rank", "r1").join(on, PLACE), ["r1", "r2"], later=False, carry="most"))
-        size *= 2
-    if named is None:
-        return texts.sparkSession.createDataFrame([], f"{PLACE_DDL}, lines int, lead_none int, lead_id long, lead_doc long, lead_seq int")
-    return classes(named, ["lines", "r1", "r2"], later=True)
+    return later_copies(packed.mapInArrow(lean(named), f"{PLACE_DDL}, lines int, n1 long, n2 long"), ["lines", "n1", "n2"])
 
 
 def beyond_first(runs: DataFrame) -> DataFrame:
-    """(none, id, doc, gone): the numbers that later copies of runs cover in each text, without what they share with a first copy in it."""
+    """(none, id, doc, gone): the ranges that later copies of runs cover in each text, without what they share with a first copy in it: first, end, first, end and so on."""
     same = (F.col("none") == F.col("lead_none")) & (F.col("id") == F.col("lead_id")) & (F.col("doc") == F.col("lead_doc"))
     begin = F.when(same, F.greatest("seq", F.col("lead_seq") + F.col("lines"))).otherwise(F.col("seq"))
     parts = runs.select(*TEXT, begin.alias("begin"), (F.col("seq") + F.col("lines")).alias("end")).where("begin < end")
-    gone = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(p["begin"], p["end"] - 1))))
-    return parts.groupBy(*TEXT).agg(F.collect_set(F.struct("begin", "end")).alias("parts")).select(*TEXT, F.sort_array(gone).alias("gone"))  # a text's runs at most
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                begins, ends = (batch.column(c) for c in ("begins", "ends"))
+                each = np.repeat(np.arange(batch.num_rows), np.diff(begins.offsets.to_numpy()))
+                first, end = begins.flatten().to_numpy(), ends.flatten().to_numpy()
+                order = np.lexsort((first, each))
+                shift = each[order] * (1 << 32)  # keeps texts apart
+                first, end = first[order] + shift, np.maximum.accumulate(end[order] + shift)
+                new = np.append(True, first[1:] > end[:-1])
+                last = np.append(new[1:], True)
+                flat = np.stack([first[new], end[last]], axis=1) & ((1 << 32) - 1)
+                sizes = np.bincount(each[order][new], minlength=batch.num_rows)
+                gone = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(2 * sizes)), pa.int32()), pa.array(flat.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TEXT), gone], [*TEXT, "gone"])
+
+    # A text's runs at most; both lists come in one order, and without nulls.
+    of_text = parts.groupBy(*TEXT).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    return of_text.mapInArrow(joined, "none int, id long, doc long, gone array<int>")
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(doc_id, key, gone_lines, gone_units, whole): numbers of the lines and units to delete from a text, or whole for a text that equals an earlier one."""
+    """(doc_id, key, gone_lines, gone_units, whole): ranges of the lines and units to delete from a text, or whole for a text that equals an earlier one."""
     texts = texts_of(docs, id_col, text_col)
     if texts.groupBy(*TEXT).count().where("count > 1").limit(1).count():
         texts = texts.dropDuplicates(TEXT)  # rows equal in id and text are one text
@@ -395,14 +395,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = free(docs, "doc_id", "key", "lines", "units", "whole", "own")
     gone = repeats(docs, id_col, text_col, least).select(F.col("doc_id").alias(f"{p}doc_id"), F.col("key").alias(f"{p}key"), F.col("gone_lines").alias(f"{p}lines"), F.col("gone_units").alias(f"{p}units"), F.col("whole").alias(f"{p}whole"))
     rows = docs.drop(f"{prefix}n_lines", f"{prefix}gone").withColumn(f"{p}own", text_key(F.col(id_col).cast("long"), F.col(text_col)))
-    rows = rows.join(small(gone, f"{p}lines"), F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}doc_id")) & (F.col(f"{p}own") == F.col(f"{p}key")), "left").drop(f"{p}own", f"{p}doc_id", f"{p}key")
+    rows = rows.join(small(gone, f"{p}lines", f"{p}units"), F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}doc_id")) & (F.col(f"{p}own") == F.col(f"{p}key")), "left").drop(f"{p}own", f"{p}doc_id", f"{p}key")
     kept = rows.drop(f"{p}lines", f"{p}units", f"{p}whole").schema
     schema = StructType([*kept.fields, StructField(f"{prefix}n_lines", IntegerType()), StructField(f"{prefix}gone", ArrayType(IntegerType()))])
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            done = [(None, 0, []) if t is None else rest_of(t, x or [], y or [], bool(w), least) for t, x, y, w in zip(*(batch.column(c).to_pylist() for c in (at, f"{p}lines", f"{p}units", f"{p}whole")), strict=True)]
+            done = [(None, 0, []) if t is None else rest_of(t, numbers(x), numbers(y), bool(w), least) for t, x, y, w in zip(*(batch.column(c).to_pylist() for c in (at, f"{p}lines", f"{p}units", f"{p}whole")), strict=True)]
             columns = [batch.column(c) for c in kept.names]
             columns[kept.names.index(text_col)] = pa.array([t for t, _, _ in done], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in done], pa.int32()), pa.array([g for _, _, g in done], pa.list_(pa.int32()))], [*kept.names, f"{prefix}n_lines", f"{prefix}gone"])
