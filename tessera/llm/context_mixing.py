@@ -16,7 +16,6 @@ import heapq
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,21 +34,26 @@ LEXICON, LONGEST, SLOT_BITS = 196_608, 64, 22
 CHUNK = 65_536
 #: Symbols after which a document's own statistics start afresh, and bits between two steps of its weights.
 SPAN, STEP = 65_536, 4096
-#: Tokens whose bits are worked on at a time.
-AT_ONCE = 8_000
+#: Bytes of text whose tokens are looked up at a time, and tokens whose symbols are made at a time.
+AT_ONCE, TOKENS_AT_ONCE = 4 << 20, 16_000
 ESCAPE, END, KINDS, INPUTS = 0, 1, 48, 5
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: The gate's share that depth gives, for tokens (codes have less than 32 bits), then for bytes.
-DEPTHS = np.array([0] * 4 + [4] * 6 + [8] * 22 + [12] * 32, np.uint8)
-LOW, HALF, LN2 = np.uint64((1 << 32) - 1), np.uint64(32), math.log(2)
+#: The gate's share that depth gives for tokens (codes have less than 32 bits), and that of bytes.
+DEPTHS, BYTES = [0] * 4 + [4] * 6 + [8] * 22, 12
+HALF, LN2 = np.uint64(32), math.log(2)
 A32, B32 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: A bit's predictors; its gate with the bit itself above six bits. Units of the predictors and of a constant.
+INPUT = np.dtype([("own", np.float32), ("low", np.int8), ("middle", np.int8), ("high", np.int8), ("gate", np.uint8)])
+UNITS = np.array([1 / 12, 1 / 12, 1 / 12, 1, 1])
 #: Log of counts, by which a document's own predictions are looked up.
 LOGS = np.log(np.arange(SPAN + 1) + 0.3).astype(np.float32)
 
 
-def name_of(token: bytes) -> str:
-    """A token as a key: itself, or a hash (after a space, which no token holds) if it is long."""
-    return token.decode() if len(token) <= LONGEST else " " + hashlib.sha256(token).hexdigest()
+def names_of(tokens: pa.Array) -> pa.Array:
+    """Tokens as keys: themselves, or a hash (after a space, which no token holds) if they are long."""
+    long = pc.greater(pc.binary_length(tokens), LONGEST)
+    hashed = [b" " + hashlib.sha256(w).hexdigest().encode() for w in tokens.filter(long).to_pylist()]
+    return pc.replace_with_mask(tokens, long, pa.array(hashed, pa.binary())).cast(pa.string()) if hashed else tokens.cast(pa.string())
 
 
 def code_lengths(weights: list[int]) -> np.ndarray:
@@ -68,13 +72,6 @@ def code_lengths(weights: list[int]) -> np.ndarray:
     return depth[:n]
 
 
-class Ids(dict):
-    """Numbers of tokens; one that is not in the lexicon has that of the escape."""
-
-    def __missing__(self, token: bytes) -> int:
-        return ESCAPE
-
-
 @dataclass
 class Code:
     """Canonical Huffman codes: short ones first, so that at each depth the inner nodes follow the leaves. prefix + inner[depth] is an inner node's number."""
@@ -115,7 +112,7 @@ class Code:
 class Lexicon:
     """Tokens with their counts and codes, and codes of the bytes that spell others."""
 
-    ids: Ids
+    words: pa.Array
     counts: np.ndarray
     others: int
     tokens: Code
@@ -127,7 +124,16 @@ class Lexicon:
         letters = np.ones(256)
         for w, n in words[:5000]:
             np.add.at(letters, np.frombuffer(w + b" ", np.uint8), n**0.5)
-        return cls(Ids({w: i + 2 for i, (w, _) in enumerate(words)}), np.array(counts, np.int64), others, Code.of([others + 1, ends + 1, *counts[2:]]), Code.of(letters.astype(int).tolist()))
+        return cls(pa.array([w for w, _ in words], pa.binary()), np.array(counts, np.int64), others, Code.of([others + 1, ends + 1, *counts[2:]]), Code.of(letters.astype(int).tolist()))
+
+    @property
+    def ids(self) -> dict[bytes, int]:
+        """Numbers of the tokens; the escape and the end come before them."""
+        return {w: i + 2 for i, w in enumerate(self.words.to_pylist())}
+
+    def numbers(self, tokens: pa.Array) -> np.ndarray:
+        """Numbers of tokens; one that is not in the lexicon has that of the escape."""
+        return pc.index_in(tokens, value_set=self.words).fill_null(ESCAPE - 2).to_numpy() + 2
 
     @property
     def n_low(self) -> int:
@@ -135,6 +141,16 @@ class Lexicon:
         return self.tokens.n_inner + 257 * 256
 
 
+@dataclass
+class Words:
+    """Tokens of some rows: the first row, the tokens, their numbers if looked up, and how many each row has."""
+
+    first: int
+    words: pa.Array
+    ids: np.ndarray | None
+    sizes: np.ndarray
+
+
 @dataclass
 class Symbols:
     """What is coded: codes with their lengths and context hashes; the document, its span and place."""
@@ -149,71 +165,86 @@ class Symbols:
     doc: np.ndarray
 
 
-def before(x: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
-    """x k places before, 0 where that lies in another stretch; start is each place's first."""
-    out = np.zeros_like(x)
-    out[k:] = x[:-k] if k < len(x) else 0
-    out[np.arange(len(x)) - start < k] = 0
-    return out
+def parts_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of tokens, each closed by a space, and how many each has with it."""
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+    first = np.frombuffer(words.buffers()[1], np.int32, 1, 4 * words.offset)[0] if len(words) else 0
+    n = int(sizes.sum())
+    flat = np.full(n + len(words), ord(" "), np.uint8)
+    flat[np.arange(n) + np.repeat(np.arange(len(words)), sizes)] = np.frombuffer(words.buffers()[2], np.uint8, n, first) if n else 0
+    return flat, sizes + 1
 
 
-def symbols(lexicon: Lexicon, docs: list[list[bytes]]) -> tuple[Symbols, list[np.ndarray]]:
-    """The symbols of documents as lists of tokens, each closed by an end; and the ids of their tokens."""
-    get = lexicon.ids.__getitem__
-    each = [np.array([*map(get, words), END]) for words in docs]
-    ids = np.concatenate(each)
-    doc = np.repeat(np.arange(len(docs)), [len(x) for x in each])
-    first = np.repeat(np.cumsum([0, *(len(x) for x in each[:-1])]), [len(x) for x in each])
-    odd = [w for words, x in zip(docs, each, strict=True) for w, i in zip(words, x.tolist(), strict=False) if i == ESCAPE]
-    # Tokens: contexts are the two before.
-    token = (ids.astype(np.uint64) + np.uint64(1)) * A
-    token[ids == ESCAPE] ^= np.fromiter(map(zlib.crc32, odd), np.uint64, len(odd)) * B
-    one, two = before(token, first, 1), before(token, first, 2)
-    middle, high = mix64(one + np.uint64(0x51)), mix64(mix64(one + np.uint64(0x52)) + two)
+def symbols(lexicon: Lexicon, docs: list[list[bytes]]) -> tuple[Symbols, np.ndarray]:
+    """The symbols of documents as lists of tokens, each closed by an end; and the numbers of their tokens and ends."""
+    words = pa.array([w for d in docs for w in d], pa.binary())
+    return symbols_of(lexicon, Words(0, words, lexicon.numbers(words), np.array([len(d) for d in docs], np.int64)))
+
+
+def symbols_of(lexicon: Lexicon, some: Words) -> tuple[Symbols, np.ndarray]:
+    """symbols() of tokens whose numbers are known."""
+    n_docs, sizes = len(some.sizes), some.sizes + 1
+    stop = np.cumsum(sizes)
+    doc = np.repeat(np.arange(n_docs), sizes)
+    ids = np.full(int(sizes.sum()), END, np.int64)
+    ids[np.arange(len(some.ids)) + np.repeat(np.arange(n_docs), some.sizes)] = some.ids
+    odd = np.flatnonzero(ids == ESCAPE)
     # Bytes of the others, each closed by a space.
-    flat = np.frombuffer(b"".join(w + b" " for w in odd), np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(w) + 1 for w in odd), np.int64, len(odd))
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    p = [before(flat + np.uint64(1), start, k) for k in range(1, 6)]
+    flat, long = parts_of(some.words.filter(pa.array(some.ids == ESCAPE)))
+    start = np.cumsum(long) - long
+    nth = np.arange(len(flat)) - np.repeat(start, long)
+    p = [np.zeros(len(flat), np.uint64) for _ in range(5)]
+    for k, x in enumerate(p, 1):
+        x[k:] = np.where(nth[k:] >= k, flat[:-k].astype(np.uint64) + np.uint64(1), np.uint64(0))
     third = (p[0] << np.uint64(18)) | (p[1] << np.uint64(9)) | p[2]
     fifth = (third << np.uint64(18)) | (p[3] << np.uint64(9)) | p[4]
-    nth = np.arange(len(flat)) - start
-    powers = np.cumprod(np.full(int(sizes.max(initial=1)) + 1, A | np.uint64(1)))
-    rising = np.cumsum(np.concatenate([np.zeros(1, np.uint64), (flat + np.uint64(1)) * powers[nth]]))
-    prefix = mix64(rising[np.arange(len(flat))] - rising[start] + np.uint64(0x55))
+    powers = np.cumprod(np.full(int(long.max(initial=1)) + 1, A | np.uint64(1)))
+    rising = np.cumsum(np.concatenate([np.zeros(1, np.uint64), (flat.astype(np.uint64) + np.uint64(1)) * powers[nth]]))
+    prefix = mix64(rising[:-1] - np.repeat(rising[start], long) + np.uint64(0x55))
+    # Tokens: contexts are the two before.
+    token = (ids.astype(np.uint64) + np.uint64(1)) * A
+    token[odd] ^= prefix[start + long - 1]
+    one, two = np.zeros_like(token), np.zeros_like(token)
+    one[1:], two[2:] = token[:-1], token[:-2]
+    first = stop - sizes
+    one[first] = two[first] = 0
+    two[(first + 1)[sizes > 1]] = 0
+    middle, high = mix64(one + np.uint64(0x51)), mix64(mix64(one + np.uint64(0x52)) + two)
     # Both in order of the text.
     extra = np.zeros(len(ids), np.int64)
-    extra[ids == ESCAPE] = sizes
-    at = np.cumsum(1 + extra) - 1 - extra
+    extra[odd] = long
+    at = np.arange(len(ids)) + np.cumsum(extra) - extra
     n = len(ids) + len(flat)
     is_byte = np.ones(n, bool)
     is_byte[at] = False
+    bytes_at = np.flatnonzero(is_byte)
 
     def both(x: np.ndarray, y: np.ndarray, kind: type) -> np.ndarray:
         out = np.empty(n, kind)
-        out[at], out[is_byte] = x, y
+        out[at], out[bytes_at] = x, y
         return out
 
     return Symbols(
-        both(lexicon.tokens.bits[ids], lexicon.bytes_.bits[flat.astype(np.int64)], np.uint32),
-        both(lexicon.tokens.lengths[ids], lexicon.bytes_.lengths[flat.astype(np.int64)], np.int32),
-        both(np.zeros(len(ids), np.int32), p[0], np.int32),
+        both(lexicon.tokens.bits[ids], lexicon.bytes_.bits[flat], np.uint32),
+        both(lexicon.tokens.lengths[ids], lexicon.bytes_.lengths[flat], np.int32),
+        both(np.int32(0), p[0], np.int32),
         both(middle >> HALF, mix64(third + np.uint64(0x53 << 48)) >> HALF, np.uint32),
         both(high >> HALF, mix64(fifth + np.uint64(0x54 << 48)) >> HALF, np.uint32),
-        both(np.zeros(len(ids), np.uint64), prefix, np.uint64),
+        both(np.uint64(0), prefix, np.uint64),
         is_byte,
         np.repeat(doc, 1 + extra),
-    ), each
+    ), ids
 
 
 @dataclass
 class Bits:
-    """Bits to predict: the slots of their contexts, the document's own predictions before them, the gate's share that is known beforehand, and (document, first, last)."""
+    """Bits to predict, all first bits of the symbols, then all second ones: the slots of their contexts, the document's own predictions before them, the gate's share that is known beforehand, their places in the text, and (document, first, last) of these."""
 
     bit: np.ndarray
     slots: list[np.ndarray]
     own: np.ndarray
     kind: np.ndarray
+    at: np.ndarray
     spans: list[tuple[int, int, int]]
 
 
@@ -224,8 +255,8 @@ def spans(doc: np.ndarray) -> list[tuple[int, int]]:
     return [(a, min(a + SPAN, z)) for s, z in zip(starts.tolist(), stops.tolist(), strict=True) for a in range(s, z, SPAN)]
 
 
-def packs(doc: np.ndarray, most: int = 8192) -> Iterator[list[tuple[int, int]]]:
-    """Spans in groups of about `most` symbols, few enough that their bits stay in a processor's cache."""
+def packs(doc: np.ndarray, most: int = 65_536) -> Iterator[list[tuple[int, int]]]:
+    """Spans in groups of about `most` symbols: of less than 2 ** 17, as a key of shown_before() has room for."""
     some: list[tuple[int, int]] = []
     for a, z in spans(doc):
         some.append((a, z))
@@ -236,51 +267,113 @@ def packs(doc: np.ndarray, most: int = 8192) -> Iterator[list[tuple[int, int]]]:
         yield some
 
 
+def shown_before(key: np.ndarray, order: np.ndarray, rows: list[np.ndarray]) -> list[np.ndarray]:
+    """For each bit the log odds of a one among those that its span has had before it in this context and at this code prefix.
+
+    rows holds the bits of each depth, for symbols in `order`, of falling length. key has their contexts in order of the text; its last
+    17 bits are the place.
+    """
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    key = np.sort(key)
+    at = rank.take((key & np.uint64((1 << 17) - 1)).view(np.int64))
+    key >>= np.uint64(17)
+    size = np.diff(np.flatnonzero(np.append(True, key[1:] != key[:-1])), append=len(at))
+    go = size > 1  # a context's only symbol has nothing before it
+    at, size = at.take(np.flatnonzero(np.repeat(go, size))), size[go]
+    out, places = [np.zeros(len(row), np.float32) for row in rows], np.arange(len(at))
+    for depth, row in enumerate(rows):
+        if not len(at):
+            break
+        # at holds the symbols by context and prefix, and those of a group as in the text: its zeros go on before its ones.
+        stop = np.cumsum(size)
+        bit = row.take(at, mode="clip").astype(np.int64)
+        ones = np.cumsum(bit)
+        total = ones.take(stop - 1)
+        ones_before = np.append(0, total[:-1])
+        n1 = ones - bit
+        n1 -= np.repeat(ones_before, size)
+        n0 = places[: len(at)] - n1
+        pos = n0.copy()
+        n0 -= np.repeat(stop - size, size)
+        out[depth][at] = LOGS.take(n1, mode="clip") - LOGS.take(n0, mode="clip")
+        if depth + 1 == len(rows):
+            break
+        total -= ones_before
+        n1 += np.repeat(stop - total, size)
+        n1 -= pos
+        n1 *= bit
+        pos += n1
+        moved = np.empty_like(at)
+        moved[pos] = at
+        kids = np.stack([size - total, total], axis=1).ravel()
+        # Symbols that are alone have nothing before them from here on; ended codes are whole groups.
+        go = (kids > 1) & (moved.take(np.cumsum(kids) - kids, mode="clip") < len(rows[depth + 1]))
+        at, size = moved.take(np.flatnonzero(np.repeat(go, kids))), kids[go]
+    return out
+
+
 def bits_of(s: Symbols, some: list[tuple[int, int]], lexicon: Lexicon, slot_bits: int, learn: bool = False) -> Bits:
     """The bits of some spans. To learn, the low slots of bytes' bits alone are given, as tokens have theirs from their counts, and nothing else but the hashed slots."""
     a, z = some[0][0], some[-1][1]
-    length, is_byte = s.length[a:z], s.byte[a:z]
-    first = np.cumsum(length, dtype=np.int32) - length
-    n = int(length.sum())
-    there = np.arange(n, dtype=np.int32)
-    depth = there - np.repeat(first, length)
-    last = np.repeat(s.code[a:z], length) >> (np.repeat(first + length - 1, length) - there).astype(np.uint32)
-    bit = (last & np.uint32(1)).astype(np.uint8)
-    node = (last >> np.uint32(1)) | (np.uint32(1) << depth.astype(np.uint32))
-    mixed, shift = node * A32, np.uint32(32 - slot_bits)
-    hashed = [(((np.repeat(h[a:z], length) ^ mixed) * B32) >> shift).astype(np.int64) for h in (s.middle, s.high)]
-    byte_low = lexicon.tokens.n_inner + 256 * s.low[a:z].astype(np.int64)
+    order = np.argsort((32 - s.length[a:z]).astype(np.uint8), kind="stable")
+    length = s.length[a:z].take(order)
+    alive = (len(length) - np.cumsum(np.bincount(length))[:-1]).tolist()  # symbols with a bit at each depth
+    code = s.code[a:z].take(order) << (32 - length).astype(np.uint32)
+    is_byte = s.byte[a:z].take(order)
+    contexts, shift = [h[a:z].take(order) for h in (s.middle, s.high)], np.uint32(32 - slot_bits)
+    byte_low = s.low[a:z].take(order) * np.int32(256) + np.int32(lexicon.tokens.n_inner)
+    token_nodes, byte_nodes = lexicon.tokens.by_node().tolist(), lexicon.bytes_.by_node().tolist()
+    bytes_at, flag = np.flatnonzero(is_byte), is_byte.view(np.uint8)
+    byte_length, low_base = length[bytes_at], byte_low * flag
+    rows: list[np.ndarray] = []
+    slots: list[list[np.ndarray]] = [[], [], []]
+    byte_bits, kinds, places = [], [], []
+    if not learn:
+        first = np.cumsum(s.length[a:z], dtype=np.int32) - s.length[a:z]
+        place = first.take(order)
+    for depth, m in enumerate(alive):
+        node = (code[:m] >> np.uint32(32 - depth)) | np.uint32(1 << depth) if depth else np.ones(m, np.uint32)
+        bit = (code[:m] >> np.uint32(31 - depth)).astype(np.uint8) & np.uint8(1)
+        rows.append(bit)
+        mixed = node * A32
+        for k, h in enumerate(contexts, 1):
+            slots[k].append(((h[:m] ^ mixed) * B32) >> shift)
+        node = node.view(np.int32)
+        if learn:
+            there = bytes_at[: int(np.count_nonzero(byte_length > depth))]
+            slots[0].append(byte_low.take(there) + node.take(there) + np.int32(byte_nodes[depth]))
+            byte_bits.append(bit.take(there))
+        else:
+            slots[0].append(low_base[:m] + node + (flag[:m] * np.int32(byte_nodes[depth] - token_nodes[depth]) + np.int32(token_nodes[depth])))
+            kinds.append(flag[:m] * np.uint8(BYTES - DEPTHS[depth]) + np.uint8(DEPTHS[depth]))
+            places.append(place[:m] + np.int32(depth))
+    low, *hashed = (np.concatenate(x, dtype=np.int64, casting="unsafe") for x in slots)
+    bit = np.concatenate(rows)
     if learn:
-        some_ = np.flatnonzero(np.repeat(is_byte, length))
-        low = np.repeat(byte_low[is_byte], length[is_byte]) + node[some_] + lexicon.bytes_.by_node()[depth[some_]]
-        return Bits(bit, [(low, bit[some_]), *((h, bit) for h in hashed)], None, None, [])
-    kind = depth + np.repeat(np.where(is_byte, np.int32(32), np.int32(0)), length)
-    low = node + np.repeat(np.where(is_byte, byte_low, 0), length) + np.concatenate([lexicon.tokens.by_node(), lexicon.bytes_.by_node()]).take(kind)
-    edges = np.append(first, n)
+        return Bits(bit, [(low, np.concatenate(byte_bits)), *((h, bit) for h in hashed)], None, None, None, [])
+    edges = np.append(first, len(bit))
     found = [(int(s.doc[x]), int(edges[x - a]), int(edges[y - a])) for x, y in some]
     span = np.repeat(np.arange(len(some), dtype=np.uint64), [y - x for x, y in some])
-    own = (mix64(s.own[a:z] + span * B) >> HALF).astype(np.uint32)
-    seen = ((np.repeat(own, length) ^ mixed) * B32).astype(np.uint64) << HALF
-    seen |= there.astype(np.uint64)
-    seen.sort()
-    at = (seen & LOW).view(np.int64)
-    group = (seen >> HALF).astype(np.uint32)
-    start = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), there, 0))
-    sorted_bit = bit[at]
-    ones = np.cumsum(sorted_bit, dtype=np.int32) - sorted_bit
-    n1 = ones - ones[start]
-    own_counts = np.empty(n, np.float32)
-    own_counts[at] = LOGS[n1] - LOGS[there - start - n1]
-    return Bits(bit, [low, *hashed], own_counts, DEPTHS.take(kind), found)
-
-
-def inputs(b: Bits, stretched: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The predictors' outputs in the logistic domain and a constant, a row each; and the gate. stretched are twelfths."""
-    x = np.empty((INPUTS, len(b.bit)), np.float32)
-    for k, v in enumerate(stretched):
-        np.divide(v, np.float32(12), out=x[k])
-    x[3], x[4] = b.own, 1.0
-    return x, b.kind + (x[1] != 0) + np.uint8(2) * (x[2] != 0) + np.uint8(16) * (b.own != 0)
+    key = ((mix64(s.own[a:z] + span * B) >> np.uint64(18)) << np.uint64(17)) | np.arange(z - a, dtype=np.uint64) | (s.byte[a:z].astype(np.uint64) << np.uint64(63))
+    return Bits(bit, [low, *hashed], np.concatenate(shown_before(key, order, rows)), np.concatenate(kinds), np.concatenate(places, dtype=np.int64), found)
+
+
+def inputs(b: Bits, stretched: list[np.ndarray]) -> np.ndarray:
+    """What predicts each bit, as one number that moves as a whole: an INPUT's fields. stretched are twelfths."""
+    x = np.empty(len(b.bit), INPUT)
+    x["own"], x["low"], x["middle"], x["high"] = b.own, *stretched
+    gate = b.kind + (b.bit << np.uint8(6))
+    for v, at in zip((*stretched[1:], b.own), (0, 1, 4), strict=True):
+        gate += (v != 0).view(np.uint8) << np.uint8(at)
+    x["gate"] = gate
+    return x.view(np.uint64)
+
+
+def rows_of(x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The predictors' outputs in the logistic domain, to be multiplied by UNITS; the gates; the bits."""
+    x = x.view(INPUT)
+    return [x[k].astype(np.float32) for k in ("low", "middle", "high", "own")], x["gate"] & np.uint8(63), x["gate"] >> np.uint8(6)
 
 
 @dataclass
@@ -291,38 +384,44 @@ class Model:
     weights: np.ndarray
 
 
-def groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first row, tokens of each row) of slices of about AT_ONCE tokens. A-Z lower-cased; bytes.split parts at ASCII white space alone. A null has no tokens."""
-    first, n, docs = 0, 0, []
-    for i, t in enumerate(batch["text"].cast(pa.binary())):
-        docs.append((t.as_py() or b"").lower().split())
-        n += len(docs[-1]) + 1
-        if n >= AT_ONCE:
-            yield first, docs
-            first, n, docs = i + 1, 0, []
-    if docs:
-        yield first, docs
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, each closed by the row that brings its sizes to `most`."""
+    stops, a, done = np.cumsum(sizes), 0, 0
+    while a < len(sizes):
+        z = min(int(np.searchsorted(stops, done + most)) + 1, len(sizes))
+        yield a, z
+        a, done = z, int(stops[z - 1])
+
+
+def words_of(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[Words]:
+    """Tokens of slices of about `most` bytes. A-Z lower-cased, parted at ASCII white space alone. A null has no tokens."""
+    texts = pc.fill_null(batch["text"], "")
+    for a, z in slices(pc.binary_length(texts).to_numpy() + 1, most):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, z - a)))
+        words = parts.flatten().cast(pa.binary())
+        some = pc.binary_length(words).to_numpy() > 0  # white space at an edge gives empty ones
+        before = np.append(0, np.cumsum(some))
+        stops = before[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        yield Words(a, words if some.all() else words.filter(pa.array(some)), None, np.diff(stops))
+
+
+def groups(batch: pa.RecordBatch, lexicon: Lexicon) -> Iterator[Words]:
+    """Tokens with their numbers, in slices of about TOKENS_AT_ONCE tokens."""
+    for w in words_of(batch):
+        ids, edges = lexicon.numbers(w.words), np.append(0, np.cumsum(w.sizes))
+        for a, z in slices(w.sizes + 1, TOKENS_AT_ONCE):
+            i, j = int(edges[a]), int(edges[z])
+            yield Words(w.first + a, w.words.slice(i, j - i), ids[i:j], w.sizes[a:z])
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, count) over all learning documents, whose ends are counted as '' (no token is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name_of(w) for w in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["token", "count"])
-
         for batch in batches:
-            for _, docs in groups(batch):
-                for words in docs:
-                    seen.update(words)
-                seen[b""] += len(docs)
-                if len(seen) > 300_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for w in words_of(batch, 4 * AT_ONCE):
+                tokens, counts = w.words.value_counts().flatten()
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names_of(tokens), pa.array([""])]), pa.concat_arrays([counts, pa.array([len(w.sizes)], pa.int64())])], ["token", "count"])
 
     return docs.select("text").mapInArrow(run, "token string, count long").groupBy("token").agg(F.sum("count").alias("count"))
 
@@ -337,11 +436,13 @@ def bit_counts(docs: DataFrame, lexicon, slot_bits: int, sizes: list[int]) -> li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(2 * n, np.uint32) for n in sizes]
         for batch in batches:
-            for _, docs in groups(batch):
-                s, _ = symbols(lexicon.value, docs)
+            for words in groups(batch, lexicon.value):
+                s, _ = symbols_of(lexicon.value, words)
                 for some in packs(s.doc):
                     for t, (slot, bit) in zip(total, bits_of(s, some, lexicon.value, slot_bits, learn=True).slots, strict=True):
-                        np.add.at(t, 2 * slot + bit, np.uint32(1))
+                        slot <<= 1
+                        slot |= bit
+                        np.add.at(t, slot, np.uint32(1))
         for k, t in enumerate(total):
             for at in range(0, len(t), CHUNK):
                 part = t[at : at + CHUNK]
@@ -391,6 +492,42 @@ def start_weights() -> np.ndarray:
     return np.tile(np.array([0.5, 0.3, 0.3, 0.2, 0.0]), (KINDS, 1))
 
 
+def step(w: np.ndarray, curve: np.ndarray, x: np.ndarray) -> None:
+    """A Newton step of the weights of each gate, in place, with the curvature of all bits so far."""
+    gate = x.view(INPUT)["gate"] & np.uint8(63)
+    edges = np.append(0, np.cumsum(np.bincount(gate, minlength=KINDS)))
+    rows, _, bit = rows_of(x.take(np.argsort(gate, kind="stable"), mode="clip"))
+    slope, bend, scaled = np.zeros((KINDS, INPUTS)), np.zeros_like(curve), (w * UNITS).astype(np.float32)
+    for kind in np.flatnonzero(np.diff(edges)).tolist():
+        m = slice(edges[kind], edges[kind + 1])
+        q, v = [row[m] for row in rows], scaled[kind]
+        p = q[0] * v[0]
+        p += v[-1]
+        for row, one in zip(q[1:], v[1:-1], strict=True):
+            p += row * one
+        np.clip(p, -30, 30, out=p)
+        np.negative(p, out=p)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        off, steep = bit[m] - p, p * (1 - p)
+        slope[kind] = *(row @ off for row in q), off.sum()
+        for i, row in enumerate(q):
+            bent = row * steep
+            bend[kind, i, : i + 1] = [bent @ other for other in q[: i + 1]]
+            bend[kind, -1, i] = bent.sum()
+        bend[kind, -1, -1] = steep.sum()
+    bend *= np.outer(UNITS, UNITS)
+    curve += bend + np.tril(bend, -1).transpose(0, 2, 1)
+    w += np.linalg.solve(curve, (slope * UNITS)[:, :, None])[:, :, 0]
+
+
+def less_one(tables: list[np.ndarray], b: Bits) -> list[np.ndarray]:
+    """What tables of without_one() have for bits; both numbers of a slot are read at once, as they lie together."""
+    half = b.bit.astype(np.uint16) << np.uint16(3)
+    return [(t.view("<u2").take(slot, mode="clip") >> half).astype(np.int8) for t, slot in zip(tables, b.slots, strict=True)]
+
+
 def mixing_weights(docs: DataFrame, lexicon, tables, slot_bits: int) -> np.ndarray:
     """Weights by gate from online Newton steps over all docs, each task by itself; their mean by the tasks' curvatures.
 
@@ -400,20 +537,11 @@ def mixing_weights(docs: DataFrame, lexicon, tables, slot_bits: int) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, curve = start_weights(), np.tile(np.eye(INPUTS) * 20.0, (KINDS, 1, 1))
         for batch in batches:
-            for _, docs in groups(batch):
-                s, _ = symbols(lexicon.value, docs)
+            for words in groups(batch, lexicon.value):
+                s, _ = symbols_of(lexicon.value, words)
                 for some in packs(s.doc):
                     b = bits_of(s, some, lexicon.value, slot_bits)
-                    x, gate = inputs(b, [t.take(2 * slot + b.bit) for t, slot in zip(tables.value, b.slots, strict=True)])
-                    order = np.argsort(gate, kind="stable")
-                    edges = np.searchsorted(gate[order], np.arange(KINDS + 1))
-                    x, bit = x.take(order, axis=1), b.bit[order]
-                    for kind in np.flatnonzero(np.diff(edges)).tolist():
-                        m = slice(edges[kind], edges[kind + 1])
-                        q = x[:, m].astype(float)
-                        p = 1 / (1 + np.exp(-(w[kind] @ q)))
-                        curve[kind] += (q * (p * (1 - p))) @ q.T
-                        w[kind] += np.linalg.solve(curve[kind], q @ (bit[m] - p))
+                    step(w, curve, inputs(b, less_one(tables.value, b)))
         out = np.concatenate([curve.ravel(), np.einsum("gij,gj->gi", curve, w).ravel()])
         yield pa.RecordBatch.from_pydict({"dim": pa.array([0], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
 
@@ -427,20 +555,36 @@ def mixing_weights(docs: DataFrame, lexicon, tables, slot_bits: int) -> np.ndarr
 
 def bits_needed(model: Model, s: Symbols, n_docs: int, rate: float = 0.2) -> np.ndarray:
     """Bits that each document takes: minus log2 of what the mix gives to its bits, with weights that follow the document."""
-    out, w = np.zeros(n_docs), np.ascontiguousarray(model.weights.T.astype(np.float32))
+    out, w = np.zeros(n_docs), np.ascontiguousarray((model.weights * UNITS).T.astype(np.float32))
+    units = UNITS.astype(np.float32)
     for some in packs(s.doc):
         b = bits_of(s, some, model.lexicon, model.slot_bits)
-        x, gate = inputs(b, [t.take(slot) for t, slot in zip(model.tables, b.slots, strict=True)])
+        x = np.empty(len(b.bit), np.uint64)
+        x[b.at] = inputs(b, [t.take(slot, mode="clip") for t, slot in zip(model.tables, b.slots, strict=True)])
+        rows, gate, bit = rows_of(x)
         gate = gate.astype(np.int64)
-        sign = b.bit.astype(np.float32) * 2 - 1
+        mixed = w[-1].take(gate, mode="clip")
+        for row, one in zip(rows, w[:-1], strict=True):
+            mixed += one.take(gate, mode="clip") * row
+        against = 1 - 2 * bit.astype(np.float32)
         for doc, first, last in b.spans:
             shift = np.zeros(INPUTS, np.float32)
             for a in range(first, last, STEP):
                 z = min(a + STEP, last)
-                q, y = x[:, a:z], sign[a:z]
-                odds = np.exp(-y * np.clip(np.einsum("kn,kn->n", w.take(gate[a:z], axis=1, mode="clip"), q) + shift @ q, -12, 12))  # against the bit
-                out[doc] += np.log(1 + odds).sum(dtype=float) / LN2
-                shift = shift + np.float32(rate / (z - a)) * (q @ (y * odds / (1 + odds)))
+                q, y, odds = [row[a:z] for row in rows], against[a:z], mixed[a:z]
+                if a > first:
+                    odds += shift[-1]
+                    for row, one in zip(q, shift[:-1] * units[:-1], strict=True):
+                        odds += row * one
+                np.clip(odds, -12, 12, out=odds)
+                odds *= y
+                np.exp(odds, out=odds)  # against the bit
+                more = 1 + odds
+                out[doc] += np.log(more).sum(dtype=float) / LN2
+                if z < last:
+                    odds /= more
+                    odds *= y
+                    shift -= np.float32(rate / (z - a)) * units * np.array([*(row @ odds for row in q), odds.sum()], np.float32)
     return out
 
 
@@ -480,24 +624,31 @@ def score(docs: DataFrame, folds: int = 10, lexicon_size: int = LEXICON) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         base = np.log10((m.lexicon.counts + 0.1) / total)
+        base[ESCAPE] = 0.0
         for batch in batches:
-            sizes = [x or 0 for x in pc.binary_length(batch["text"]).to_pylist()]
-            for i, docs in groups(batch):
-                j = i + len(docs)
-                s, each = symbols(m.lexicon, docs)
-                bits = bits_needed(m, s, j - i)
-                others = [Counter(name_of(w) for w, x in zip(words, ids.tolist(), strict=False) if x == ESCAPE) for words, ids in zip(docs, each, strict=True)]
-                known = [ids[ids != ESCAPE] for ids in each]
+            text_sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+            for words in groups(batch, m.lexicon):
+                i, n_rows = words.first, len(words.sizes)
+                s, ids = symbols_of(m.lexicon, words)
+                bits = bits_needed(m, s, n_rows)
+                row = np.repeat(np.arange(n_rows), words.sizes + 1)
+                sizes = text_sizes[i : i + n_rows]
+                # The others of each row, once each.
+                odd = words.ids == ESCAPE
+                others = names_of(words.words.filter(pa.array(odd))).dictionary_encode()
+                many = max(len(others.dictionary), 1)
+                each, times = np.unique(np.repeat(np.arange(n_rows), words.sizes)[odd] * many + others.indices.to_numpy(), return_counts=True)
+                edges = pa.array(np.searchsorted(each, np.arange(n_rows + 1) * many), pa.int32())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch["doc_id"].slice(i, j - i),
-                        "n_tokens": pa.array([len(x) for x in each], pa.int64()),
-                        "known": pa.array([int((m.lexicon.counts[x] > 0).sum()) for x in known], pa.int64()),
-                        "base": pa.array([float(base[x].sum()) for x in known]),
+                        "doc_id": batch["doc_id"].slice(i, n_rows),
+                        "n_tokens": pa.array(words.sizes + 1, pa.int64()),
+                        "known": pa.array(np.bincount(row, m.lexicon.counts[ids] > 0, n_rows).astype(np.int64)),
+                        "base": pa.array(np.bincount(row, base[ids], n_rows)),
                         "score": pa.array(-bits * math.log10(2)),
-                        "bits_per_byte": pa.array([b / z if z else None for b, z in zip(bits.tolist(), sizes[i:j], strict=True)], pa.float64()),
-                        "others": pa.array([[*c] for c in others], pa.list_(pa.string())),
-                        "times": pa.array([[*c.values()] for c in others], pa.list_(pa.int32())),
+                        "bits_per_byte": pa.array(bits / np.maximum(sizes, 1), mask=sizes == 0),
+                        "others": pa.ListArray.from_arrays(edges, others.dictionary.take(pa.array(each % many))),
+                        "times": pa.ListArray.from_arrays(edges, pa.array(times, pa.int32())),
                     }
                 )
 
